@@ -1,0 +1,80 @@
+"""Row numbers within groups that stay correct and balanced under skew.
+
+``row_number() over (partition by k order by o)`` sends every group to one
+task, so a key holding a third of the rows becomes a third of the job in one
+task. Here the rows are range-partitioned on ``(k, o)`` instead: a hot group
+is cut across many partitions. Each partition numbers its own slice of a
+group; a group can continue from earlier partitions only as a partition's
+first group, so per-partition boundary statistics (one row per partition,
+a size bounded by the partition count) give the offset to add.
+
+The numbered slices are read three times (boundaries, offsets, result) and
+every read must see the same partition boundaries. Range boundaries come
+from a sample, and column pruning would give each read its own exchange and
+its own sample, so the slices are written once to the shared checkpoint
+folder (a reliable checkpoint, which also survives lost executors).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from fonolytics.plans.materialize import materialize
+
+_PID = "_rk_pid"
+_LOCAL = "_rk_local"
+_KEY = "_rk_key"
+
+
+def _cols(cols: list[str | Column]) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in cols]
+
+
+def row_number_by_range(
+    df: DataFrame,
+    partition_by: list[str],
+    order_by: list[str | Column],
+    out: str = "orden",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Add ``out`` = 1-based row number of each row in its ``partition_by``
+    group, ascending by ``order_by`` (nulls first), without a per-group task.
+
+    ``order_by`` should make the order total, otherwise ties are numbered in
+    an unspecified but consistent order.
+    """
+    keys = _cols(partition_by)
+    order = _cols(order_by)
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    ranged = df.repartitionByRange(n, *keys, *order).withColumns(
+        {_PID: F.spark_partition_id(), _KEY: F.struct(*keys)}
+    )
+    local = materialize(
+        ranged.withColumn(
+            _LOCAL, F.row_number().over(Window.partitionBy(_PID, *partition_by).orderBy(*order))
+        ),
+        "checkpoint",
+    )
+
+    # One row per non-empty partition: its first and last group, and how many
+    # rows of the last group it holds.
+    bounds = local.groupBy(_PID).agg(
+        F.min(_KEY).alias("first_key"),
+        F.max(_KEY).alias("last_key"),
+        F.max_by(F.col(_LOCAL), F.struct(F.col(_KEY), F.col(_LOCAL))).alias("last_n"),
+    )
+    a, b = bounds.alias("a"), bounds.alias("b")
+    offsets = (
+        a.join(b, F.col("b.last_key").eqNullSafe(F.col("a.first_key")) & (F.col(f"b.{_PID}") < F.col(f"a.{_PID}")))
+        .groupBy(F.col(f"a.{_PID}").alias(_PID), F.col("a.first_key").alias("first_key"))
+        .agg(F.sum("b.last_n").alias("_rk_offset"))
+    )
+    # ``offsets`` has at most one row per partition: a bounded broadcast.
+    joined = local.join(F.broadcast(offsets), _PID, "left")
+    carry = F.when(F.col(_KEY).eqNullSafe(F.col("first_key")), F.col("_rk_offset")).otherwise(F.lit(0))
+    return joined.withColumn(out, (F.col(_LOCAL) + F.coalesce(carry, F.lit(0))).cast("bigint")).drop(
+        _PID, _LOCAL, _KEY, "first_key", "_rk_offset"
+    )

@@ -1,0 +1,161 @@
+"""The stage graph of the profile and alert jobs, built once per run.
+
+Each stage is a ``DataFrame`` computed lazily and memoised, so a stage with
+two consumers (first contacts -> D8 and D9; the base profile -> D13, D14 and
+the final report) is one subtree in the plan and Spark reuses its exchanges.
+"""
+
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fonolytics.config import ProfileConfig
+from fonolytics.operators import alerts, assignment, attempts, profile, report
+from fonolytics.plans.materialize import materialize
+from fonolytics.sources.tables import ContactTables, normalise_text
+
+
+class ContactPipeline:
+    """All stages D1-D22 over one set of tables and one configuration.
+
+    ``base`` chooses how the shared base profile is handed to the alert
+    stages: ``none`` keeps one plan (exchange reuse), ``checkpoint`` writes it
+    once to the shared checkpoint folder.
+    """
+
+    def __init__(self, tables: ContactTables, cfg: ProfileConfig, base: str = "none"):
+        self.cfg = cfg
+        self.tables = normalise_text(tables) if cfg.normalise_text else tables
+        self.base_mode = base
+
+    # -- attempts ---------------------------------------------------------
+    @cached_property
+    def keep_effective(self):
+        return attempts.outcome_filter(self.tables.conclusiones, self.cfg)
+
+    @cached_property
+    def d1_effective_outcomes(self) -> DataFrame:
+        return attempts.effective_outcomes(self.tables.conclusiones, self.cfg)
+
+    @cached_property
+    def d2_live(self) -> DataFrame:
+        return attempts.effective_attempts_live(self.tables, self.cfg, self.keep_effective)
+
+    @cached_property
+    def d3_backup(self) -> DataFrame:
+        return attempts.effective_attempts_backup(self.tables, self.cfg, self.keep_effective)
+
+    @cached_property
+    def attempts_union(self) -> DataFrame:
+        return self.d2_live.unionByName(self.d3_backup)
+
+    @cached_property
+    def d4_effective_attempts(self) -> DataFrame:
+        from fonolytics.operators.ranking import row_number_by_range
+
+        return row_number_by_range(
+            self.attempts_union, ["fuente", "cu", "mes"], list(attempts.ATTEMPT_ORDER), out="orden"
+        )
+
+    @cached_property
+    def d5_first_contacts(self) -> DataFrame:
+        return attempts.first_contacts(self.attempts_union, by_source=not self.cfg.dedup)
+
+    @cached_property
+    def first_contacts_known(self) -> DataFrame:
+        # Null client ids can never join the snapshot: drop them before the
+        # aggregation so they cannot become one hot group.
+        return self.d5_first_contacts.where(F.col("cu").isNotNull())
+
+    # -- assignment -------------------------------------------------------
+    @cached_property
+    def d6_snapshot(self) -> DataFrame:
+        return assignment.assignment_snapshot(self.tables.asignacion, self.cfg)
+
+    @cached_property
+    def d7_presence(self) -> DataFrame:
+        return assignment.presence_matrix(self.tables.asignacion, self.cfg)
+
+    @cached_property
+    def d10_clean_phones(self) -> DataFrame:
+        return assignment.clean_phones(self.d6_snapshot, self.cfg)
+
+    # -- profile ----------------------------------------------------------
+    @cached_property
+    def d8_contacts(self) -> DataFrame:
+        """D8 as the scripts compute it (a null client keeps its own row)."""
+        return profile.contact_matrix(self.d5_first_contacts, self.cfg)
+
+    @cached_property
+    def d9_target_contact(self) -> DataFrame:
+        return profile.target_period_contact(self.d5_first_contacts, self.cfg)
+
+    @cached_property
+    def contacts_for_profile(self) -> DataFrame:
+        return profile.contact_matrix(self.first_contacts_known, self.cfg)
+
+    @cached_property
+    def target_contact_for_profile(self) -> DataFrame:
+        return profile.target_period_contact(self.first_contacts_known, self.cfg)
+
+    @cached_property
+    def d11_month_status(self) -> DataFrame:
+        return profile.month_status(self.d7_presence, self.d8_contacts, self.cfg)
+
+    @cached_property
+    def d12_profile(self) -> DataFrame:
+        return profile.client_profile(
+            self.d6_snapshot,
+            self.d7_presence,
+            self.contacts_for_profile,
+            self.target_contact_for_profile,
+            self.cfg,
+        )
+
+    @cached_property
+    def base(self) -> DataFrame:
+        """The profile every alert stage starts from (``base_final``)."""
+        return materialize(self.d12_profile, self.base_mode)
+
+    # -- alerts -----------------------------------------------------------
+    @cached_property
+    def d13_contact_phones(self) -> DataFrame:
+        return alerts.contact_phones_long(self.base, self.cfg)
+
+    @cached_property
+    def d14_assigned_phones(self) -> DataFrame:
+        return alerts.assigned_phones_long(self.base, self.cfg)
+
+    @cached_property
+    def d15_priority(self) -> DataFrame:
+        return alerts.alerts_priority(self.d13_contact_phones, self.d14_assigned_phones)
+
+    @cached_property
+    def d16_dead(self) -> DataFrame:
+        return alerts.alerts_dead_phones(self.d14_assigned_phones, self.d13_contact_phones)
+
+    def d17_alerts(self, ordered: bool = True) -> DataFrame:
+        return alerts.phone_alerts(self.d15_priority, self.d16_dead, ordered=ordered)
+
+    def d18_summary(self, ordered: bool = True) -> DataFrame:
+        return alerts.alert_summary(self.d17_alerts(ordered=False), self.cfg, ordered=ordered)
+
+    # -- report -----------------------------------------------------------
+    @cached_property
+    def d19_a1(self) -> DataFrame:
+        return report.a1_positions(self.d15_priority, self.cfg)
+
+    @cached_property
+    def d20_a2(self) -> DataFrame:
+        return report.a2_clients(self.d15_priority)
+
+    @cached_property
+    def d21_a3(self) -> DataFrame:
+        return report.a3_positions(self.d16_dead, self.cfg)
+
+    @cached_property
+    def d22_profile_alerts(self) -> DataFrame:
+        return report.client_profile_alerts(self.base, self.d19_a1, self.d20_a2, self.d21_a3)
