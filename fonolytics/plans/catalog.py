@@ -18,7 +18,7 @@ from fonolytics.sources.fixtures import fixture_tables
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
-def pipeline_for(spark: SparkSession, sf_dir: str, cfg: ProfileConfig = FIXTURE_CONFIG, base: str = "none") -> ContactPipeline:
+def pipeline_for(spark: SparkSession, sf_dir: str, cfg: ProfileConfig = FIXTURE_CONFIG, base: str = "checkpoint") -> ContactPipeline:
     return ContactPipeline(fixture_tables(spark, sf_dir, cfg), cfg, base=base)
 
 

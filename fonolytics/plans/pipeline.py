@@ -26,7 +26,7 @@ class ContactPipeline:
     once to the shared checkpoint folder.
     """
 
-    def __init__(self, tables: ContactTables, cfg: ProfileConfig, base: str = "none"):
+    def __init__(self, tables: ContactTables, cfg: ProfileConfig, base: str = "checkpoint"):
         self.cfg = cfg
         self.tables = normalise_text(tables) if cfg.normalise_text else tables
         self.base_mode = base
