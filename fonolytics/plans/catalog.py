@@ -61,10 +61,13 @@ def contact_queries(cfg: ProfileConfig = FIXTURE_CONFIG) -> dict[str, QueryFn]:
 
 
 def all_queries() -> dict[str, QueryFn]:
-    return dict(contact_queries())
+    from fonolytics.plans.jobs import JOB_QUERIES
+
+    return {**contact_queries(), **JOB_QUERIES}
 
 
 def all_oracle_sql() -> dict[str, str]:
+    from fonolytics.plans.jobs import job_sql
     from fonolytics.plans.oracle import stage_sql
 
-    return dict(stage_sql(FIXTURE_CONFIG))
+    return {**stage_sql(FIXTURE_CONFIG), **job_sql(FIXTURE_CONFIG)}
