@@ -203,4 +203,16 @@ def job_sql(cfg: ProfileConfig = FIXTURE_CONFIG) -> dict[str, str]:
         "client_360": _sql_client_360(),
         "validated_load": _sql_validated_load(),
         "phone_rescore": _sql_phone_rescore(cfg),
+        # the streaming job must agree with the batch first contacts
+        "first_contact_stream": o.stage_sql(cfg)["first_contact_per_period"],
     }
+
+
+def q_first_contact_stream(spark, sf_dir):
+    """D5 computed by the streaming job (file stream of line items)."""
+    from fonolytics.streaming.first_contact import run_fixture_stream
+
+    return run_fixture_stream(spark, sf_dir, FIXTURE_CONFIG)
+
+
+JOB_QUERIES["first_contact_stream"] = q_first_contact_stream

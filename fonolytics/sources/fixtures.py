@@ -56,11 +56,16 @@ def _case_map(col: Column, mapping: dict[str, str], default: str | None = None)
 
 
 def attempts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
+    return attempts_from(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+
+
+def attempts_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """Attempts from line items (batch or stream) joined to orders."""
+    li = lineitem.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_returnflag", "l_linestatus", "l_shipdate",
     )
-    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    od = orders.select("o_orderkey", "o_custkey", "o_orderdate")
     c = F.col("o_custkey")
     slot = F.when(c % 10 == 0, F.lit(1)).otherwise(F.col("l_partkey") % 13 + 1)
     return li.join(od, li.l_orderkey == od.o_orderkey).select(
