@@ -63,40 +63,63 @@ def month_status(presence: DataFrame, contacts: DataFrame, cfg: ProfileConfig) -
     )
 
 
+def contact_summary(firsts: DataFrame, cfg: ProfileConfig) -> DataFrame:
+    """D8 and D9 in one aggregation per client.
+
+    Besides the month columns of D8, ``_target`` lists the first contacts of
+    the target month, one per source (at most the number of sources, so the
+    list is bounded), which the profile explodes to reproduce the joins of
+    D9: two sources in the target month give two profile rows (S2). One pass
+    over the first contacts instead of two.
+    """
+    window = firsts.where(F.col("mes").between(cfg.period_lo, cfg.period_hi))
+    mes = F.col("mes")
+    target = F.when(mes == F.lit(cfg.target_period), F.struct(F.col("telefono").alias("tlf")))
+    return window.groupBy("cu").agg(
+        *[F.max(F.when(mes == p, F.lit(LABEL_CONTACTED))).alias(f"{label}_res") for p, label in cfg.months],
+        *[F.max(F.when(mes == p, F.col("telefono"))).alias(f"{label}_tlf") for p, label in cfg.months],
+        F.collect_list(target).alias("_target"),
+    )
+
+
 def client_profile(
     snapshot: DataFrame,
     presence: DataFrame,
-    contacts: DataFrame,
-    target_contact: DataFrame,
+    summary: DataFrame,
     cfg: ProfileConfig,
     columns: list[str] | None = None,
 ) -> DataFrame:
-    """D12 (Query 1): snapshot left-joined to target contact, presence and contacts.
+    """D12 (Query 1): snapshot left-joined to presence and the contact summary.
 
-    ``columns`` restricts the snapshot columns carried (the narrow base of the
-    alert queries); by default all of them (``c.*``). All joins are on the
-    client id; presence and contacts come out of aggregations hash-partitioned
-    on it, so only the snapshot and the target contact are exchanged for the
-    sort-merge joins.
+    ``summary`` is ``contact_summary`` (D8 + D9). ``columns`` restricts the
+    snapshot columns carried; by default all of them (``c.*``). Both joins
+    are on the client id, and both right sides come out of aggregations
+    hash-partitioned on it.
     """
     c = snapshot.alias("c")
     keep = columns if columns is not None else snapshot.columns
-    j, p, h = target_contact.alias("j"), presence.alias("p"), contacts.alias("h")
-    joined = (
-        c.join(j, F.col("c.codunicocli") == F.col("j.cu"), "left")
-        .join(p, F.col("c.codunicocli") == F.col("p.cu"), "left")
-        .join(h, F.col("c.codunicocli") == F.col("h.cu"), "left")
+    p, h = presence.alias("p"), summary.alias("h")
+    joined = c.join(p, F.col("c.codunicocli") == F.col("p.cu"), "left").join(
+        h, F.col("c.codunicocli") == F.col("h.cu"), "left"
     )
-    return joined.select(
+    flat = joined.select(
         *[F.col(f"c.{name}").alias(name) for name in keep],
-        F.coalesce(F.col(f"j.{cfg.target_result_col}"), F.lit(LABEL_TARGET_NO_CONTACT)).alias(cfg.summary_col),
-        F.col("j.tlf_mejor_resultado").alias("tlf_mejor_resultado"),
-        *[clean_phone(F.col(f"c.{raw}")).alias(clean) for raw, clean in zip(cfg.phone_cols, cfg.clean_cols)],
-        F.coalesce(F.col("p.meses_asignados"), F.lit(0).cast("bigint")).alias("meses_con_gestion"),
+        F.col("p.meses_asignados").alias("_meses"),
+        *[F.col(f"p.pres_{label}").alias(f"_pres_{label}") for label in cfg.labels],
+        *[F.col(f"h.{label}_res").alias(f"_res_{label}") for label in cfg.labels],
+        *[F.col(f"h.{label}_tlf").alias(f"_tlf_{label}") for label in cfg.labels],
+        F.explode_outer(F.col("h._target")).alias("_t"),
+    )
+    return flat.select(
+        *keep,
+        F.when(F.col("_t").isNotNull(), F.lit(LABEL_TARGET_CONTACT)).otherwise(F.lit(LABEL_TARGET_NO_CONTACT)).alias(cfg.summary_col),
+        F.col("_t.tlf").alias("tlf_mejor_resultado"),
+        *[clean_phone(F.col(raw)).alias(clean) for raw, clean in zip(cfg.phone_cols, cfg.clean_cols)],
+        F.coalesce(F.col("_meses"), F.lit(0).cast("bigint")).alias("meses_con_gestion"),
         *month_status_columns(
             cfg,
-            pres=lambda label: F.col(f"p.pres_{label}"),
-            res=lambda label: F.col(f"h.{label}_res"),
-            tlf=lambda label: F.col(f"h.{label}_tlf"),
+            pres=lambda label: F.col(f"_pres_{label}"),
+            res=lambda label: F.col(f"_res_{label}"),
+            tlf=lambda label: F.col(f"_tlf_{label}"),
         ),
     )

@@ -94,12 +94,9 @@ class ContactPipeline:
         return profile.target_period_contact(self.d5_first_contacts, self.cfg)
 
     @cached_property
-    def contacts_for_profile(self) -> DataFrame:
-        return profile.contact_matrix(self.first_contacts_known, self.cfg)
-
-    @cached_property
-    def target_contact_for_profile(self) -> DataFrame:
-        return profile.target_period_contact(self.first_contacts_known, self.cfg)
+    def contact_summary(self) -> DataFrame:
+        """D8 + D9 for the profile, in one aggregation over known clients."""
+        return profile.contact_summary(self.first_contacts_known, self.cfg)
 
     @cached_property
     def d11_month_status(self) -> DataFrame:
@@ -107,13 +104,7 @@ class ContactPipeline:
 
     @cached_property
     def d12_profile(self) -> DataFrame:
-        return profile.client_profile(
-            self.d6_snapshot,
-            self.d7_presence,
-            self.contacts_for_profile,
-            self.target_contact_for_profile,
-            self.cfg,
-        )
+        return profile.client_profile(self.d6_snapshot, self.d7_presence, self.contact_summary, self.cfg)
 
     @cached_property
     def base(self) -> DataFrame:
