@@ -22,14 +22,17 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Use the session's checkpoint folder; set one only where none is set.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local runs and tests) a fresh folder is
-    created, under ``fallback`` if given.
+    as is. Only when it is unset on a ``local[...]`` master (local runs and
+    tests) a fresh folder is created, under ``fallback`` if given; a cluster
+    without a shared checkpoint folder is an error, never a machine-local one.
     """
     current = checkpoint_dir(spark)
     if current:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return spark.sparkContext.getCheckpointDir() or current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     base = fallback or tempfile.mkdtemp(prefix="fonolytics-ckpt-")
     os.makedirs(base, exist_ok=True)
     spark.sparkContext.setCheckpointDir(base)
