@@ -8,6 +8,7 @@ backticks.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,18 @@ def normalise_text(tables: ContactTables) -> ContactTables:
     )
 
 
+@contextmanager
+def string_partitions(spark: SparkSession):
+    """Month folder names like ``202601`` must stay strings (months are compared as text)."""
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def read_contact_tables(
     spark: SparkSession,
     paths: dict[str, str],
@@ -91,7 +104,8 @@ def read_contact_tables(
     ``paths`` maps ``intentos``, ``intentos_bkp``, ``conclusiones`` and
     ``asignacion`` to locations. Parquet/ORC keep their own schema (and any
     extra assignment columns, which the profile passes through); text formats
-    get the inferred schemas above.
+    get the inferred schemas above. Folders partitioned by month keep their
+    values as strings.
     """
     opts = dict(options or {})
 
@@ -101,9 +115,10 @@ def read_contact_tables(
             reader = reader.schema(schema)
         return rename_columns(reader.load(paths[name]), ATTEMPT_RENAMES)
 
-    return ContactTables(
-        intentos=read("intentos", ATTEMPT_SCHEMA),
-        intentos_bkp=read("intentos_bkp", ATTEMPT_SCHEMA),
-        conclusiones=read("conclusiones", OUTCOME_SCHEMA),
-        asignacion=read("asignacion", assignment_schema()),
-    )
+    with string_partitions(spark):
+        return ContactTables(
+            intentos=read("intentos", ATTEMPT_SCHEMA),
+            intentos_bkp=read("intentos_bkp", ATTEMPT_SCHEMA),
+            conclusiones=read("conclusiones", OUTCOME_SCHEMA),
+            asignacion=read("asignacion", assignment_schema()),
+        )

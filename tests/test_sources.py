@@ -49,3 +49,25 @@ def test_source_names_with_spaces_are_renamed(spark, tmp_path):
     fixture_tables(spark, SF001).asignacion.write.parquet(str(tmp_path / "asignacion"))
     t = read_contact_tables(spark, {n: str(tmp_path / n) for n in ("intentos", "intentos_bkp", "conclusiones", "asignacion")})
     assert "wrap_up" in t.intentos.columns and "contact_id" in t.intentos_bkp.columns
+
+
+def test_runner_writes_four_reports(spark, tmp_path):
+    from fonolytics.plans.runner import run_reports
+
+    t = fixture_tables(spark, SF001, FIXTURE_CONFIG)
+    out = run_reports(t, FIXTURE_CONFIG, str(tmp_path / "r"))
+    counts = {k: spark.read.parquet(v).count() for k, v in out.items()}
+    assert counts == {"perfil": 66, "alertas": 335, "resumen": 42, "perfil_alertas": 66}
+
+
+def test_runner_cli_on_partitioned_inputs(spark, tmp_path):
+    from fonolytics.plans.runner import main
+
+    paths = write_inputs_by_period(fixture_tables(spark, SF001, FIXTURE_CONFIG), str(tmp_path / "in"))
+    main(["--intentos", paths["intentos"], "--intentos-bkp", paths["intentos_bkp"],
+          "--conclusiones", paths["conclusiones"], "--asignacion", paths["asignacion"],
+          "--periods", ",".join(FIXTURE_CONFIG.periods), "--backup-min-period", "199701",
+          "--out", str(tmp_path / "r"), "--reports", "resumen"])
+    assert spark.read.parquet(str(tmp_path / "r" / "resumen")).count() == 42
+    from fonolytics.sources.tables import read_contact_tables
+    assert dict(read_contact_tables(spark, paths).intentos.dtypes)["periodo"] == "string"
