@@ -46,3 +46,23 @@ def test_scans_read_only_needed_columns(spark):
     plan = _plan(pipeline_for(spark, SF001).d7_presence)
     # the presence matrix needs client, date and priority of orders only
     assert "o_totalprice" not in plan
+
+
+def test_large_catalogue_falls_back_to_a_join_with_same_result(spark):
+    from fonolytics.config import FIXTURE_CONFIG
+    from fonolytics.plans.pipeline import ContactPipeline
+    from fonolytics.sources.fixtures import fixture_tables
+
+    t = fixture_tables(spark, SF001, FIXTURE_CONFIG)
+    small = ContactPipeline(t, FIXTURE_CONFIG.with_(max_inlist_codes=1), base="none")
+    plan = _plan(small.d2_live)
+    assert "LeftSemi" in plan
+    a = ContactPipeline(t, FIXTURE_CONFIG, base="none").d5_first_contacts
+    assert a.exceptAll(small.d5_first_contacts).count() == 0 and small.d5_first_contacts.exceptAll(a).count() == 0
+
+
+def test_session_checkpoint_dir_is_respected(spark):
+    from fonolytics.plans.materialize import checkpoint_dir, ensure_checkpoint_dir
+
+    before = checkpoint_dir(spark)
+    assert before and ensure_checkpoint_dir(spark, "/nonexistent/should/not/be/used") == spark.sparkContext.getCheckpointDir()
