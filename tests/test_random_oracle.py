@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import types as T
 
 from fonolytics.config import ProfileConfig
 from fonolytics.plans import oracle as o
@@ -39,7 +40,7 @@ def _attempts(rng, n):
     })
 
 
-def _assignment(rng, n):
+def _assignment(rng, n, string_phones=False):
     cu = rng.integers(0, 12, n).astype(object)
     cu[rng.random(n) < 0.05] = None
     d = {
@@ -50,8 +51,12 @@ def _assignment(rng, n):
         "saldo": rng.random(n).round(2),
     }
     for k in range(1, 5):
-        d[f"telefono{k}"] = pd.array(rng.choice([0, 900000000, 900000001, 900000002, 900000003, 900000004, 900000005], n),
-                                     dtype="Int64")
+        if string_phones:
+            pool = ["0", "", "00", "900000001", "0900000002", "900000003", "900000004", None]
+            d[f"telefono{k}"] = [pool[i] for i in rng.integers(0, len(pool), n)]
+        else:
+            d[f"telefono{k}"] = pd.array(rng.choice([0, 900000000, 900000001, 900000002, 900000003, 900000004, 900000005], n),
+                                         dtype="Int64")
     return pd.DataFrame(d)
 
 
@@ -85,10 +90,10 @@ STAGES = {
 }
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3, 4, 5, 6])
-def test_random_tables_match_oracle(spark, seed):
+@pytest.mark.parametrize("seed,string_phones", [(1, False), (2, False), (3, False), (4, False), (5, True), (6, True)])
+def test_random_tables_match_oracle(spark, seed, string_phones):
     rng = np.random.default_rng(seed)
-    live, bkp, asig = _attempts(rng, 120), _attempts(rng, 80), _assignment(rng, 40)
+    live, bkp, asig = _attempts(rng, 120), _attempts(rng, 80), _assignment(rng, 40, string_phones)
     outcomes = pd.DataFrame(CODES, columns=["conlusion_cloud", "tipo_resultado"])
     con = duckdb.connect()
     for name, df in (("intentos", live), ("intentos_bkp", bkp), ("asignacion", asig), ("conclusiones", outcomes)):
@@ -98,7 +103,7 @@ def test_random_tables_match_oracle(spark, seed):
         intentos=spark.createDataFrame(_py(live), ATTEMPT_SCHEMA),
         intentos_bkp=spark.createDataFrame(_py(bkp), ATTEMPT_SCHEMA),
         conclusiones=spark.createDataFrame(_py(outcomes), OUTCOME_SCHEMA),
-        asignacion=spark.createDataFrame(_py(asig), assignment_schema(4)),
+        asignacion=spark.createDataFrame(_py(asig), assignment_schema(4, T.StringType() if string_phones else T.LongType())),
     )
     p = ContactPipeline(t, CFG)
     chain = o.stage_ctes(CFG) + list(o.final_selects(CFG).items())
