@@ -71,3 +71,15 @@ def test_runner_cli_on_partitioned_inputs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "r" / "resumen")).count() == 42
     from fonolytics.sources.tables import read_contact_tables
     assert dict(read_contact_tables(spark, paths).intentos.dtypes)["periodo"] == "string"
+
+
+def test_stage_views_answer_sql(spark):
+    from fonolytics.plans.views import register_views
+
+    p = ContactPipeline(fixture_tables(spark, SF001, FIXTURE_CONFIG), FIXTURE_CONFIG)
+    names = register_views(p, prefix="t_")
+    assert "t_phone_alerts" in names
+    got = spark.sql("select tipo_alerta, count(*) n from t_phone_alerts group by tipo_alerta").collect()
+    assert {r.tipo_alerta: r.n for r in got} == {"A1_SCORE_MAL_PRIORIZADO": 43, "A2_TELEFONO_NO_ASIGNADO": 80,
+                                                "A3_TELEFONO_SIN_CONTACTO": 212}
+    assert spark.sql("select count(*) from t_client_profile_alerts where necesita_revision = 'NO'").first()[0] == 20
