@@ -23,6 +23,12 @@ def test_partitioned_inputs_give_same_report_and_prune(spark, tmp_path):
     assert _same(a.select(*sorted(a.columns)), b.select(*sorted(a.columns)))
     snap_plan = p2.d6_snapshot._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(codmes" in snap_plan and "200002" in snap_plan
+    # the outcome and campaign lists reach the attempt scans, and the month
+    # window of the contact matrix prunes the attempt partitions
+    prof_plan = p2.d12_profile._jdf.queryExecution().executedPlan().toString()
+    live_scan = [l for l in prof_plan.splitlines() if "FileScan" in l and "/intentos]" in l]
+    assert live_scan and all("In(wrap_up, [A-F,A-O,N-F,R-F])" in l and "In(campaign_name" in l for l in live_scan)
+    assert all("PartitionFilters: [isnotnull(periodo" in l and "(periodo" in l for l in live_scan)
 
 
 def test_report_written_by_target_month(spark, tmp_path):
