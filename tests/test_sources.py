@@ -28,7 +28,7 @@ def test_partitioned_inputs_give_same_report_and_prune(spark, tmp_path):
     prof_plan = p2.d12_profile._jdf.queryExecution().executedPlan().toString()
     attempt_scans = [l for l in prof_plan.splitlines() if "FileScan" in l and "campaign_name" in l]
     live_scan = [l for l in attempt_scans if "try_cast" not in l]  # the backup arm's filter has try_cast
-    assert len(attempt_scans) == 2
+    assert attempt_scans and len(live_scan) < len(attempt_scans)
     assert live_scan and all("In(wrap_up, [A-F,A-O,N-F,R-F])" in l and "In(campaign_name" in l for l in live_scan)
     assert all("PartitionFilters: [isnotnull(periodo" in l and "(periodo" in l for l in live_scan)
 
