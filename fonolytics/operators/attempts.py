@@ -15,7 +15,6 @@ from fonolytics.sources.tables import ContactTables
 # Columns that make the order of attempts total (S4): time first, then our
 # attempt id, the dialled number and the outcome code.
 ATTEMPT_ORDER = ("fecha_key", "id_intento", "dnis", "wrap_up")
-ATTEMPT_COLUMNS = ("mes", "cu", "wrap_up", "telefono")
 
 
 def effective_outcomes(conclusiones: DataFrame, cfg: ProfileConfig) -> DataFrame:
@@ -85,20 +84,12 @@ def effective_attempts_backup(
     return _arm(tables.intentos_bkp, keep, cfg, SOURCE_BACKUP, cfg.backup_min_period)
 
 
-def effective_attempts_union(tables: ContactTables, cfg: ProfileConfig) -> DataFrame:
-    keep = outcome_filter(tables.conclusiones, cfg)
-    return effective_attempts_live(tables, cfg, keep).unionByName(
-        effective_attempts_backup(tables, cfg, keep)
-    )
-
-
-def effective_attempts(tables: ContactTables, cfg: ProfileConfig) -> DataFrame:
-    """Both arms with ``orden`` numbered inside each arm (S1), by time.
+def rank_attempts(union: DataFrame) -> DataFrame:
+    """``orden`` numbered inside each source (S1), by time, over the union of D2 and D3.
 
     Numbered by range partitioning (``row_number_by_range``), so one client
     with a huge month of calls is spread over many tasks.
     """
-    union = effective_attempts_union(tables, cfg)
     return row_number_by_range(union, ["fuente", "cu", "mes"], list(ATTEMPT_ORDER), out="orden")
 
 

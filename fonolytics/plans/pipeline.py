@@ -54,11 +54,7 @@ class ContactPipeline:
 
     @cached_property
     def d4_effective_attempts(self) -> DataFrame:
-        from fonolytics.operators.ranking import row_number_by_range
-
-        return row_number_by_range(
-            self.attempts_union, ["fuente", "cu", "mes"], list(attempts.ATTEMPT_ORDER), out="orden"
-        )
+        return attempts.rank_attempts(self.attempts_union)
 
     @cached_property
     def d5_first_contacts(self) -> DataFrame:
