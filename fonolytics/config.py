@@ -8,7 +8,7 @@ and the generated oracle SQL.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # ---------------------------------------------------------------------------
 # These must equal the business definitions of the scripts.
@@ -75,9 +75,8 @@ class ProfileConfig:
     normalise_phones: bool = False    # last digits on assigned phones too (S15)
     normalise_text: bool = False      # lower/trim codes, campaigns, stages (S24)
     # Largest outcome catalogue turned into a literal IN filter; a larger one
-    # is joined instead (see operators.attempts.effective_attempts).
+    # is joined instead (see operators.attempts.outcome_filter).
     max_inlist_codes: int = 50_000
-    extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
         if len(self.periods) != len(self.labels):
