@@ -5,6 +5,13 @@ per group in the state store and, in update mode, emits only the groups a
 micro-batch improved. ``min`` is idempotent and order-free, so the sink is an
 append-only change log (plain parquet, no merge support needed) and a reader
 takes the ``min`` again: replaying a batch after a failure changes nothing.
+
+With ``watermark_delay`` the running minimum is kept per calendar day of the
+call (an event-time window) and Spark drops a day's state once the watermark
+passes it, so the state holds only the open days instead of every
+(source, client, month) ever seen. The reader's ``min`` over the days of a
+month is the month's first contact, so results are unchanged; calls arriving
+later than the delay are ignored, the usual watermark trade-off.
 """
 
 from __future__ import annotations
@@ -20,12 +27,19 @@ from fonolytics.operators.attempts import ATTEMPT_ORDER, _arm
 from fonolytics.plans.materialize import ensure_checkpoint_dir
 
 _FIRST = "_first"
+_EVENT = "_evento"
 GROUP_KEYS = ["fuente", "cu", "mes"]
+DEFAULT_WATERMARK = "31 days"
 
 
-def first_contact_updates(arms: DataFrame) -> DataFrame:
-    """Running first contact per group over a stream of effective attempts."""
-    return arms.groupBy(*GROUP_KEYS).agg(
+def first_contact_updates(arms: DataFrame, watermark_delay: str | None = None) -> DataFrame:
+    """Running first contact per group (and per call day, with a watermark)."""
+    keys = [F.col(k) for k in GROUP_KEYS]
+    if watermark_delay:
+        # event time must be a TIMESTAMP; the ordering keeps fecha_key itself
+        arms = arms.withColumn(_EVENT, F.col("fecha_key").cast("timestamp")).withWatermark(_EVENT, watermark_delay)
+        keys.append(F.window(_EVENT, "1 day").alias("_dia"))
+    return arms.groupBy(*keys).agg(
         F.min(F.struct(*[F.col(c) for c in ATTEMPT_ORDER], F.col("telefono"))).alias(_FIRST)
     )
 
@@ -43,7 +57,8 @@ def start_changelog_sink(
     """Append each micro-batch's improved groups to ``out_path`` (parquet)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        cols = ["fuente", "cu", "mes", _FIRST]
+        batch.select(*cols).withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out_path)
 
     w = updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     if name:
@@ -64,7 +79,9 @@ def read_first_contacts(spark: SparkSession, out_path: str) -> DataFrame:
     )
 
 
-def run_fixture_stream(spark: SparkSession, sf_dir: str, cfg: ProfileConfig) -> DataFrame:
+def run_fixture_stream(
+    spark: SparkSession, sf_dir: str, cfg: ProfileConfig, watermark_delay: str | None = DEFAULT_WATERMARK
+) -> DataFrame:
     """The streaming job over the test tables: line items arrive as a file
     stream, joined to the static orders (stream-static join), and the result
     is read back from the change log written to the shared checkpoint folder."""
@@ -82,7 +99,7 @@ def run_fixture_stream(spark: SparkSession, sf_dir: str, cfg: ProfileConfig) ->
         (F.col("periodo") <= fx.FIXTURE_BACKUP_TO)
         | ((F.col("periodo") == fx.FIXTURE_BACKUP_DUP_PERIOD) & (F.col("contact_id") % 5 == 0))
     )
-    updates = first_contact_updates(effective_attempt_stream(live, bkp, keep, cfg))
+    updates = first_contact_updates(effective_attempt_stream(live, bkp, keep, cfg), watermark_delay)
     q = start_changelog_sink(updates, f"{run}/log", f"{run}/state")
     q.awaitTermination()
     if q.exception() is not None:

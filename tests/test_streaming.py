@@ -12,8 +12,14 @@ from fonolytics.streaming.first_contact import (
 )
 from helpers import CFG, OUTCOMES, attempt, ts
 
+P = "51900000001"
 
-def test_late_earlier_call_improves_first_contact(spark, tmp_path):
+
+import pytest
+
+
+@pytest.mark.parametrize("watermark", [None, "31 days"])
+def test_late_earlier_call_improves_first_contact(spark, tmp_path, watermark):
     src_live, src_bkp = tmp_path / "live", tmp_path / "bkp"
     out, state = str(tmp_path / "log"), str(tmp_path / "state")
     spark.createDataFrame([attempt("202603", 1, "CE", "51900000002", ts(5), 2)], ATTEMPT_SCHEMA).write.parquet(str(src_live / "b1"))
@@ -23,7 +29,7 @@ def test_late_earlier_call_improves_first_contact(spark, tmp_path):
     def run():
         live = spark.readStream.schema(ATTEMPT_SCHEMA).parquet(str(src_live / "*"))
         bkp = spark.readStream.schema(ATTEMPT_SCHEMA).parquet(str(src_bkp / "*"))
-        q = start_changelog_sink(first_contact_updates(effective_attempt_stream(live, bkp, keep, CFG)), out, state)
+        q = start_changelog_sink(first_contact_updates(effective_attempt_stream(live, bkp, keep, CFG), watermark), out, state)
         q.awaitTermination()
 
     run()
@@ -38,3 +44,26 @@ def test_late_earlier_call_improves_first_contact(spark, tmp_path):
     # the log holds one row per improvement, and re-reading it is idempotent
     assert spark.read.parquet(out).count() == 2
     assert got.select(F.count("*")).first()[0] == 1
+
+
+def test_watermark_evicts_closed_days(spark, tmp_path):
+    import datetime as dt
+
+    src, empty = tmp_path / "live", tmp_path / "bkp"
+    out, state = str(tmp_path / "log"), str(tmp_path / "state")
+    spark.createDataFrame([], ATTEMPT_SCHEMA).write.parquet(str(empty / "b0"))
+    keep = outcome_filter(spark.createDataFrame(OUTCOMES, "conlusion_cloud string, tipo_resultado string"), CFG)
+
+    def run(batch, rows):
+        spark.createDataFrame(rows, ATTEMPT_SCHEMA).write.parquet(str(src / batch))
+        live = spark.readStream.schema(ATTEMPT_SCHEMA).parquet(str(src / "*"))
+        bkp = spark.readStream.schema(ATTEMPT_SCHEMA).parquet(str(empty / "*"))
+        q = start_changelog_sink(first_contact_updates(effective_attempt_stream(live, bkp, keep, CFG), "31 days"), out, state)
+        q.awaitTermination()
+        return q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+
+    run("b1", [attempt("202601", 1, "CE", P, dt.datetime(2026, 1, 1, 9))])
+    run("b2", [attempt("202603", 2, "CE", P, dt.datetime(2026, 3, 15, 9))])
+    assert run("b3", [attempt("202603", 3, "CE", P, dt.datetime(2026, 3, 16, 9))]) == 2  # January's day left the state once the watermark passed it
+    got = {r.cu: r.telefono for r in read_first_contacts(spark, out).collect()}
+    assert got == {1: "900000001", 2: "900000001", 3: "900000001"}
