@@ -92,12 +92,13 @@ _DAILY = f"""daily as (
 
 
 def _sql_transfer() -> str:
-    sc = ", ".join(f"({o.q(s.name)}, {s.minutes_per_call})" for s in cc.DEFAULT_SCENARIOS)
+    arms = "\nunion all ".join(
+        f"select dia, {o.q(sc.name)} as escenario, llamadas, llamadas_cj, {sc.minutes_per_call} as minutos_por_llamada, "
+        f"cast(llamadas_cj * {sc.minutes_per_call} as double) as minutos_ahorrados from daily"
+        for sc in cc.DEFAULT_SCENARIOS
+    )
     return f"""with {_DAILY},
-sc(escenario, minutos_por_llamada) as (values {sc}),
-m as (select d.dia, s.escenario, d.llamadas, d.llamadas_cj, s.minutos_por_llamada,
-             cast(d.llamadas_cj * s.minutos_por_llamada as double) as minutos_ahorrados
-      from daily d, sc s)
+m as ({arms})
 select dia, escenario, llamadas, llamadas_cj, cast(minutos_por_llamada as double) as minutos_por_llamada,
        minutos_ahorrados, minutos_ahorrados / cast(60 as double) as horas_dia,
        minutos_ahorrados / cast(60 as double) * cast({cc.WORKDAYS_PER_MONTH} as double) as horas_mes_habil,
