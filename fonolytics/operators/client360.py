@@ -58,3 +58,31 @@ def client_360(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) -> D
         from_cents(F.coalesce("deuda_c", F.lit(0).cast("bigint"))).alias("deuda_total"),
         from_cents(F.coalesce("cancelacion_c", F.lit(0).cast("bigint"))).alias("importe_cancelacion"),
     )
+
+
+def client_products(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """R4 detail: every product line of every client, one row each.
+
+    Kept flat rather than as one array per client: a client holding a third
+    of all products would otherwise become one enormous row in one task.
+    """
+    return product_lines(orders, lineitem).select(
+        "c_custkey",
+        "producto",
+        from_cents(F.col("capital_c")).alias("capital"),
+        from_cents(F.col("deuda_c")).alias("deuda"),
+        from_cents(F.col("cancelacion_c")).alias("importe_cancelacion"),
+    )
+
+
+def lookup(df: DataFrame, **equals) -> DataFrame:
+    """Rows whose columns equal the given values, e.g. ``lookup(c360, c_custkey=42)``.
+
+    A plain filter: on stored tables it reaches the scan as a pushed filter.
+    """
+    cond = None
+    for col, value in equals.items():
+        c = F.col(col) == F.lit(value)
+        cond = c if cond is None else cond & c
+    return df.where(cond) if cond is not None else df
+

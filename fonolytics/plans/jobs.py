@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fonolytics.config import FIXTURE_CONFIG, ProfileConfig
 from fonolytics.operators import callcenter as cc
 from fonolytics.operators.alerts import assigned_phones_long
-from fonolytics.operators.client360 import client_360
+from fonolytics.operators.client360 import client_360, client_products
 from fonolytics.operators.rescore import phone_rescore, phone_scores
 from fonolytics.plans import oracle as o
 from fonolytics.sources.fixtures import table
@@ -55,6 +55,10 @@ def q_client_360(spark, sf_dir):
     return client_360(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 
 
+def q_client_products(spark, sf_dir):
+    return client_products(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
 def q_validated_load(spark, sf_dir):
     return load_summary(validate(table(spark, sf_dir, "orders"), ORDER_RULES))
 
@@ -76,6 +80,7 @@ JOB_QUERIES = {
     "recovery_uplift": q_recovery_uplift,
     "saturday_recovery": q_saturday_recovery,
     "client_360": q_client_360,
+    "client_products": q_client_products,
     "validated_load": q_validated_load,
     "phone_rescore": q_phone_rescore,
 }
@@ -150,6 +155,22 @@ select c.c_custkey, c.c_name, c.c_mktsegment, coalesce(pc.n_productos, 0) as n_p
 from customer c left join pc on c.c_custkey = pc.c_custkey"""
 
 
+def _sql_client_products() -> str:
+    def c(x):
+        return f"cast(round({x} * 100.0) as bigint)"
+
+    return f"""with li as (
+  select l_orderkey, sum({c('l_extendedprice')}) as capital_c,
+         sum({c('l_extendedprice * (1 - l_discount) * (1 + l_tax)')}) as cancelacion_c
+  from lineitem group by 1
+)
+select o.o_custkey as c_custkey, o.o_orderkey as producto,
+       cast(coalesce(li.capital_c, 0) as double) / 100.0 as capital,
+       cast({c('o.o_totalprice')} as double) / 100.0 as deuda,
+       cast(coalesce(li.cancelacion_c, 0) as double) / 100.0 as importe_cancelacion
+from orders o left join li on o.o_orderkey = li.l_orderkey"""
+
+
 def _sql_validated_load() -> str:
     r = ORDER_RULES
     return f"""with dup as (
@@ -202,6 +223,7 @@ def job_sql(cfg: ProfileConfig = FIXTURE_CONFIG) -> dict[str, str]:
         "recovery_uplift": _sql_uplift(),
         "saturday_recovery": _sql_saturday(),
         "client_360": _sql_client_360(),
+        "client_products": _sql_client_products(),
         "validated_load": _sql_validated_load(),
         "phone_rescore": _sql_phone_rescore(cfg),
         # the streaming job must agree with the batch first contacts

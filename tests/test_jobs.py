@@ -84,3 +84,13 @@ def test_phone_rescore_orders_by_score_then_slot(spark):
     eff = spark.createDataFrame([(1, "c"), (1, "c"), (1, "b")], "cu long, telefono string")
     r = phone_rescore(slots, phone_scores(eff), CFG).first()
     assert (r.telefono1, r.telefono2, r.telefono3, r.slots_cambiados, r.mejor_score) == ("c", "b", "a", 2, 2)
+
+
+def test_client_products_and_lookup(spark):
+    from fonolytics.operators.client360 import client_products, lookup
+
+    orders = spark.createDataFrame([(10, 1, 100.10), (11, 1, 0.20), (12, 2, 3.0)], "o_orderkey long, o_custkey long, o_totalprice double")
+    li = spark.createDataFrame([(10, 0.1, 0.0, 0.0), (10, 0.2, 0.0, 0.0)],
+                               "l_orderkey long, l_extendedprice double, l_discount double, l_tax double")
+    got = sorted((r.producto, r.capital, r.deuda) for r in lookup(client_products(orders, li), c_custkey=1).collect())
+    assert got == [(10, 0.3, 100.1), (11, 0.0, 0.2)]
