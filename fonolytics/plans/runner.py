@@ -59,6 +59,9 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--numeric-positions", action="store_true")
     ap.add_argument("--normalise-phones", action="store_true")
     ap.add_argument("--normalise-text", action="store_true")
+    ap.add_argument("--shuffle-partitions", type=int, default=None,
+                    help="initial shuffle partitions; size for ~256 MB per partition of the attempts "
+                         "after filtering, AQE coalesces small ones at run time")
     a = ap.parse_args(argv)
 
     periods = tuple(a.periods.split(","))
@@ -73,6 +76,8 @@ def main(argv: list[str] | None = None) -> None:
         normalise_text=a.normalise_text,
     )
     spark = apply_sql_conf(SparkSession.builder.appName("fonolytics-reports").getOrCreate())
+    if a.shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(a.shuffle_partitions))
     paths = {"intentos": a.intentos, "intentos_bkp": a.intentos_bkp, "conclusiones": a.conclusiones, "asignacion": a.asignacion}
     tables = read_contact_tables(spark, paths, fmt=a.input_format)
     for name, path in run_reports(tables, cfg, a.out, a.output_format, a.reports.split(",")).items():
