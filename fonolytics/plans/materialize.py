@@ -10,9 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None for sessions without one (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Connect sessions have no SparkContext
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder named by the session, if any."""
-    sc_dir = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    sc_dir = sc.getCheckpointDir() if sc is not None else None
     if sc_dir:
         return sc_dir
     return spark.conf.get(CHECKPOINT_CONF, None) or None
@@ -26,18 +35,20 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     tests) a fresh folder is created, under ``fallback`` if given; a cluster
     without a shared checkpoint folder is an error, never a machine-local one.
     """
+    sc = _context(spark)
     current = checkpoint_dir(spark)
     if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-        return spark.sparkContext.getCheckpointDir() or current
-    if not spark.sparkContext.master.startswith("local"):
+        if sc is not None and not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
+        return (sc.getCheckpointDir() if sc is not None else None) or current
+    if sc is not None and not sc.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     base = fallback or tempfile.mkdtemp(prefix="fonolytics-ckpt-")
     os.makedirs(base, exist_ok=True)
-    spark.sparkContext.setCheckpointDir(base)
+    if sc is not None:
+        sc.setCheckpointDir(base)
     spark.conf.set(CHECKPOINT_CONF, base)
-    return spark.sparkContext.getCheckpointDir() or base
+    return (sc.getCheckpointDir() if sc is not None else None) or base
 
 
 def materialize(df: DataFrame, how: str = "none") -> DataFrame:
