@@ -175,3 +175,15 @@ def test_snapshot_keeps_rn_and_smallest_assignment(spark):  # S5, S25
     p = pipe(tables(spark, asig=asig))
     r = p.d12_profile.collect()
     assert len(r) == 1 and r[0]["rn"] == 1 and r[0]["id_asignacion"] == 3 and r[0]["telefono1"] == 900000002
+
+
+def test_extra_assignment_columns_pass_through(spark):  # c.* (P9)
+    from pyspark.sql import functions as F
+
+    asig = [assign(1, "202603", (900000001, 0, 0))]
+    t = tables(spark, asig=asig)
+    t = type(t)(t.intentos, t.intentos_bkp, t.conclusiones, t.asignacion.withColumn("segmento", F.lit("pyme")))
+    p = pipe(t)
+    cols = p.d22_profile_alerts.columns
+    assert cols[:cols.index("rn") + 1][-2:] == ["segmento", "rn"]
+    assert p.d22_profile_alerts.first()["segmento"] == "pyme"
