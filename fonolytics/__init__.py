@@ -1,7 +1,7 @@
 """Contact-history and phone-quality analytics on Spark DataFrames."""
 
 from fonolytics.config import FIXTURE_CONFIG, ProfileConfig
-from fonolytics.plans.pipeline import ContactPipeline
+from fonolytics.plans.stages import ContactStages
 from fonolytics.sources.tables import ContactTables, read_contact_tables
 
-__all__ = ["ContactPipeline", "ContactTables", "FIXTURE_CONFIG", "ProfileConfig", "read_contact_tables"]
+__all__ = ["ContactStages", "ContactTables", "FIXTURE_CONFIG", "ProfileConfig", "read_contact_tables"]

@@ -12,19 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fonolytics.config import FIXTURE_CONFIG, ProfileConfig
-from fonolytics.plans.pipeline import ContactPipeline
+from fonolytics.plans.stages import ContactStages
 from fonolytics.sources.fixtures import fixture_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
-def pipeline_for(spark: SparkSession, sf_dir: str, cfg: ProfileConfig = FIXTURE_CONFIG, base: str = "checkpoint") -> ContactPipeline:
-    return ContactPipeline(fixture_tables(spark, sf_dir, cfg), cfg, base=base)
+def stages_for(spark: SparkSession, sf_dir: str, cfg: ProfileConfig = FIXTURE_CONFIG, base: str = "checkpoint") -> ContactStages:
+    return ContactStages(fixture_tables(spark, sf_dir, cfg), cfg, base=base)
 
 
-def _stage(getter: Callable[[ContactPipeline], DataFrame], cfg: ProfileConfig = FIXTURE_CONFIG) -> QueryFn:
+def _stage(getter: Callable[[ContactStages], DataFrame], cfg: ProfileConfig = FIXTURE_CONFIG) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return getter(pipeline_for(spark, sf_dir, cfg))
+        return getter(stages_for(spark, sf_dir, cfg))
 
     return run
 

@@ -63,16 +63,16 @@ def q_validated_load(spark, sf_dir):
     return load_summary(validate(table(spark, sf_dir, "orders"), ORDER_RULES))
 
 
-def rescore_for(pipeline, cfg: ProfileConfig) -> DataFrame:
-    window = pipeline.attempts_union.where(F.col("mes").between(cfg.period_lo, cfg.period_hi))
-    slots = assigned_phones_long(pipeline.d10_clean_phones, cfg)
+def rescore_for(stages, cfg: ProfileConfig) -> DataFrame:
+    window = stages.attempts_union.where(F.col("mes").between(cfg.period_lo, cfg.period_hi))
+    slots = assigned_phones_long(stages.d10_clean_phones, cfg)
     return phone_rescore(slots, phone_scores(window), cfg)
 
 
 def q_phone_rescore(spark, sf_dir):
-    from fonolytics.plans.catalog import pipeline_for
+    from fonolytics.plans.catalog import stages_for
 
-    return rescore_for(pipeline_for(spark, sf_dir), FIXTURE_CONFIG)
+    return rescore_for(stages_for(spark, sf_dir), FIXTURE_CONFIG)
 
 
 JOB_QUERIES = {

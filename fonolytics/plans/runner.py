@@ -17,7 +17,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from fonolytics.config import MONTH_LABELS, ProfileConfig
-from fonolytics.plans.pipeline import ContactPipeline
+from fonolytics.plans.stages import ContactStages
 from fonolytics.session import apply_sql_conf
 from fonolytics.sources.sinks import write_report
 from fonolytics.sources.tables import ContactTables, read_contact_tables
@@ -29,7 +29,7 @@ def run_reports(
     tables: ContactTables, cfg: ProfileConfig, out_root: str, fmt: str = "parquet", reports=REPORTS
 ) -> dict[str, str]:
     """Write the requested reports under ``out_root/<report>``; return their paths."""
-    p = ContactPipeline(tables, cfg, base="checkpoint")
+    p = ContactStages(tables, cfg, base="checkpoint")
     frames = {
         "perfil": lambda: p.base,                        # Query 1
         "alertas": lambda: p.d17_alerts(ordered=True),   # Query 2

@@ -18,7 +18,7 @@ from fonolytics.plans.materialize import materialize
 from fonolytics.sources.tables import ContactTables, normalise_text
 
 
-class ContactPipeline:
+class ContactStages:
     """All stages D1-D22 over one set of tables and one configuration.
 
     ``base`` chooses how the shared base profile is handed to the alert

@@ -6,7 +6,7 @@ Analysts used to writing SQL against the stages can query them by name with
 
 from __future__ import annotations
 
-from fonolytics.plans.pipeline import ContactPipeline
+from fonolytics.plans.stages import ContactStages
 
 VIEW_STAGES = {
     "effective_attempts": lambda p: p.d4_effective_attempts,
@@ -26,7 +26,7 @@ VIEW_STAGES = {
 }
 
 
-def register_views(pipeline: ContactPipeline, prefix: str = "", stages=None) -> list[str]:
+def register_views(job: ContactStages, prefix: str = "", stages=None) -> list[str]:
     """Create or replace ``<prefix><stage>`` temp views; return their names.
 
     ``effective_attempts`` numbers every attempt (a checkpointed job), so it
@@ -36,6 +36,6 @@ def register_views(pipeline: ContactPipeline, prefix: str = "", stages=None) ->
     names = []
     for stage in wanted:
         name = f"{prefix}{stage}"
-        VIEW_STAGES[stage](pipeline).createOrReplaceTempView(name)
+        VIEW_STAGES[stage](job).createOrReplaceTempView(name)
         names.append(name)
     return names

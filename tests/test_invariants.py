@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from conftest import SF01
 from fonolytics.config import FIXTURE_CONFIG
-from fonolytics.plans.catalog import pipeline_for
+from fonolytics.plans.catalog import stages_for
 
 
 @pytest.fixture(scope="module")
 def p(spark):
-    return pipeline_for(spark, SF01)
+    return stages_for(spark, SF01)
 
 
 def test_assigned_phones_split_into_matched_and_a3(p):
@@ -47,13 +47,13 @@ def test_month_cells_count_assigned_months(p):
 
 def test_dedup_gives_one_row_per_client(spark, p):
     assert p.d12_profile.count() == 655
-    d = pipeline_for(spark, SF01, FIXTURE_CONFIG.with_(dedup=True))
+    d = stages_for(spark, SF01, FIXTURE_CONFIG.with_(dedup=True))
     prof = d.d12_profile
     assert prof.count() == prof.select("codunicocli").distinct().count() == 558
 
 
 def test_result_does_not_depend_on_input_partitioning(spark, p):
-    from fonolytics.plans.pipeline import ContactPipeline
+    from fonolytics.plans.stages import ContactStages
     from fonolytics.sources.fixtures import fixture_tables
 
     t = fixture_tables(spark, SF01, FIXTURE_CONFIG)
@@ -64,5 +64,5 @@ def test_result_does_not_depend_on_input_partitioning(spark, p):
         asignacion=t.asignacion.repartition(7),
     )
     a = p.d22_profile_alerts
-    b = ContactPipeline(shuffled, FIXTURE_CONFIG).d22_profile_alerts
+    b = ContactStages(shuffled, FIXTURE_CONFIG).d22_profile_alerts
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

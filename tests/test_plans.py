@@ -1,7 +1,7 @@
 """Physical-plan properties the stages are written for."""
 
 from conftest import SF001
-from fonolytics.plans.catalog import pipeline_for
+from fonolytics.plans.catalog import stages_for
 
 
 def _plan(df) -> str:
@@ -9,7 +9,7 @@ def _plan(df) -> str:
 
 
 def test_outcome_catalogue_becomes_an_in_filter_not_a_join(spark):
-    p = pipeline_for(spark, SF001)
+    p = stages_for(spark, SF001)
     plan = _plan(p.d2_live)
     assert "wrap_up" in plan or "l_returnflag" in plan
     assert "LeftSemi" not in plan
@@ -17,18 +17,18 @@ def test_outcome_catalogue_becomes_an_in_filter_not_a_join(spark):
 
 
 def test_first_contact_is_an_aggregate_not_a_window(spark):
-    plan = _plan(pipeline_for(spark, SF001).d5_first_contacts)
+    plan = _plan(stages_for(spark, SF001).d5_first_contacts)
     assert "Window" not in plan
     assert "Aggregate" in plan
 
 
 def test_dead_phones_use_left_anti_join(spark):
-    plan = _plan(pipeline_for(spark, SF001).d16_dead)
+    plan = _plan(stages_for(spark, SF001).d16_dead)
     assert "LeftAnti" in plan
 
 
 def test_unpivots_are_generators(spark):
-    p = pipeline_for(spark, SF001)
+    p = stages_for(spark, SF001)
     for df in (p.d13_contact_phones, p.d14_assigned_phones):
         plan = _plan(df)
         assert "Generate" in plan and "Union" not in plan
@@ -36,28 +36,28 @@ def test_unpivots_are_generators(spark):
 
 def test_flagship_plan_stays_small(spark):
     # with the base profile checkpointed, the report plan is bounded
-    df = pipeline_for(spark, SF001).d22_profile_alerts
+    df = stages_for(spark, SF001).d22_profile_alerts
     opt = df._jdf.queryExecution().optimizedPlan().toString()
     assert len(opt.splitlines()) < 120, len(opt.splitlines())
     assert "Scan parquet" not in _plan(df)
 
 
 def test_scans_read_only_needed_columns(spark):
-    plan = _plan(pipeline_for(spark, SF001).d7_presence)
+    plan = _plan(stages_for(spark, SF001).d7_presence)
     # the presence matrix needs client, date and priority of orders only
     assert "o_totalprice" not in plan
 
 
 def test_large_catalogue_falls_back_to_a_join_with_same_result(spark):
     from fonolytics.config import FIXTURE_CONFIG
-    from fonolytics.plans.pipeline import ContactPipeline
+    from fonolytics.plans.stages import ContactStages
     from fonolytics.sources.fixtures import fixture_tables
 
     t = fixture_tables(spark, SF001, FIXTURE_CONFIG)
-    small = ContactPipeline(t, FIXTURE_CONFIG.with_(max_inlist_codes=1), base="none")
+    small = ContactStages(t, FIXTURE_CONFIG.with_(max_inlist_codes=1), base="none")
     plan = _plan(small.d2_live)
     assert "LeftSemi" in plan
-    a = ContactPipeline(t, FIXTURE_CONFIG, base="none").d5_first_contacts
+    a = ContactStages(t, FIXTURE_CONFIG, base="none").d5_first_contacts
     assert a.exceptAll(small.d5_first_contacts).count() == 0 and small.d5_first_contacts.exceptAll(a).count() == 0
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from fonolytics.config import ProfileConfig
 from fonolytics.plans import oracle as o
-from fonolytics.plans.pipeline import ContactPipeline
+from fonolytics.plans.stages import ContactStages
 from fonolytics.sources.tables import ATTEMPT_SCHEMA, OUTCOME_SCHEMA, ContactTables, assignment_schema
 
 CFG = ProfileConfig(periods=("202601", "202602", "202603", "202604"), labels=("enero", "febrero", "marzo", "abril"),
@@ -105,7 +105,7 @@ def test_random_tables_match_oracle(spark, seed, string_phones):
         conclusiones=spark.createDataFrame(_py(outcomes), OUTCOME_SCHEMA),
         asignacion=spark.createDataFrame(_py(asig), assignment_schema(4, T.StringType() if string_phones else T.LongType())),
     )
-    p = ContactPipeline(t, CFG)
+    p = ContactStages(t, CFG)
     chain = o.stage_ctes(CFG) + list(o.final_selects(CFG).items())
     finals = {"d5": "select fuente, mes, cu, wrap_up, telefono, orden from d5", "d12": "select * from d12",
               "d17": "select * from d17", "d18": "select * from d18", "d22": o.d22_select(CFG)}

@@ -3,14 +3,14 @@
 from pyspark.sql import types as T
 
 from fonolytics.config import ALERT_A1, ALERT_A2, ALERT_A3, ProfileConfig
-from fonolytics.plans.pipeline import ContactPipeline
+from fonolytics.plans.stages import ContactStages
 from helpers import CFG, assign, attempt, rows, tables, ts
 
 P = "51900000001"   # dialled numbers; last 9 digits = 900000001 ...
 
 
 def pipe(t, cfg=CFG):
-    return ContactPipeline(t, cfg)
+    return ContactStages(t, cfg)
 
 
 def test_duplicate_outcome_code_filters_like_once(spark):  # S3

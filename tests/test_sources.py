@@ -2,7 +2,7 @@
 
 from conftest import SF001
 from fonolytics.config import FIXTURE_CONFIG
-from fonolytics.plans.pipeline import ContactPipeline
+from fonolytics.plans.stages import ContactStages
 from fonolytics.sources.fixtures import fixture_tables
 from fonolytics.sources.sinks import read_inputs_by_period, write_inputs_by_period, write_report
 from fonolytics.sources.tables import read_contact_tables, rename_columns
@@ -17,8 +17,8 @@ def test_partitioned_inputs_give_same_report_and_prune(spark, tmp_path):
     paths = write_inputs_by_period(t, str(tmp_path / "in"))
     t2 = read_inputs_by_period(spark, paths)
     assert dict(t2.asignacion.dtypes)["codmes"] == "string"
-    a = ContactPipeline(t, FIXTURE_CONFIG).d22_profile_alerts
-    p2 = ContactPipeline(t2, FIXTURE_CONFIG)
+    a = ContactStages(t, FIXTURE_CONFIG).d22_profile_alerts
+    p2 = ContactStages(t2, FIXTURE_CONFIG)
     b = p2.d22_profile_alerts
     assert _same(a.select(*sorted(a.columns)), b.select(*sorted(a.columns)))
     snap_plan = p2.d6_snapshot._jdf.queryExecution().executedPlan().toString()
@@ -34,7 +34,7 @@ def test_partitioned_inputs_give_same_report_and_prune(spark, tmp_path):
 
 
 def test_report_written_by_target_month(spark, tmp_path):
-    df = ContactPipeline(fixture_tables(spark, SF001, FIXTURE_CONFIG), FIXTURE_CONFIG).d18_summary(ordered=False)
+    df = ContactStages(fixture_tables(spark, SF001, FIXTURE_CONFIG), FIXTURE_CONFIG).d18_summary(ordered=False)
     out = str(tmp_path / "out")
     write_report(df, out, FIXTURE_CONFIG)
     write_report(df, out, FIXTURE_CONFIG)  # re-run replaces the month
@@ -84,7 +84,7 @@ def test_runner_cli_on_partitioned_inputs(spark, tmp_path):
 def test_stage_views_answer_sql(spark):
     from fonolytics.plans.views import register_views
 
-    p = ContactPipeline(fixture_tables(spark, SF001, FIXTURE_CONFIG), FIXTURE_CONFIG)
+    p = ContactStages(fixture_tables(spark, SF001, FIXTURE_CONFIG), FIXTURE_CONFIG)
     names = register_views(p, prefix="t_")
     assert "t_phone_alerts" in names
     got = spark.sql("select tipo_alerta, count(*) n from t_phone_alerts group by tipo_alerta").collect()

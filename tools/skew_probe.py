@@ -25,7 +25,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from fonolytics.config import FIXTURE_CONFIG  # noqa: E402
 from fonolytics.plans.materialize import ensure_checkpoint_dir  # noqa: E402
-from fonolytics.plans.pipeline import ContactPipeline  # noqa: E402
+from fonolytics.plans.stages import ContactStages  # noqa: E402
 from fonolytics.session import SQL_CONF  # noqa: E402
 from fonolytics.sources.fixtures import fixture_tables  # noqa: E402
 from fonolytics.sources.tables import ContactTables  # noqa: E402
@@ -58,7 +58,7 @@ def main():
         })
 
     st = ContactTables(skew(t.intentos), t.intentos_bkp, t.conclusiones, t.asignacion)
-    p = ContactPipeline(st, FIXTURE_CONFIG, base="none")
+    p = ContactStages(st, FIXTURE_CONFIG, base="none")
     keys = ["fuente", "cu", "mes"]
     order = ["fecha_key", "id_intento", "dnis", "wrap_up"]
     variants = {
