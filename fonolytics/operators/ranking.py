@@ -31,6 +31,16 @@ def _cols(cols: list[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _default_partitions(df: DataFrame) -> int:
+    """The session's shuffle partition count, or the input's partition count
+    when the setting is not a number (some platforms use ``auto``)."""
+    value = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    try:
+        return int(value)
+    except (TypeError, ValueError):
+        return max(df.rdd.getNumPartitions(), 1)
+
+
 def row_number_by_range(
     df: DataFrame,
     partition_by: list[str],
@@ -46,8 +56,7 @@ def row_number_by_range(
     """
     keys = _cols(partition_by)
     order = _cols(order_by)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or _default_partitions(df)
 
     ranged = df.repartitionByRange(n, *keys, *order).withColumns(
         {_PID: F.spark_partition_id(), _KEY: F.struct(*keys)}
