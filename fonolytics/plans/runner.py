@@ -26,10 +26,23 @@ REPORTS = ("perfil", "alertas", "resumen", "perfil_alertas")
 
 
 def run_reports(
-    tables: ContactTables, cfg: ProfileConfig, out_root: str, fmt: str = "parquet", reports=REPORTS
+    tables: ContactTables,
+    cfg: ProfileConfig,
+    out_root: str,
+    fmt: str = "parquet",
+    reports=REPORTS,
+    first_contact_store: str | None = None,
 ) -> dict[str, str]:
-    """Write the requested reports under ``out_root/<report>``; return their paths."""
+    """Write the requested reports under ``out_root/<report>``; return their paths.
+
+    With ``first_contact_store`` the first contacts of completed months are
+    read from that store and only new months (and the target) are computed.
+    """
     p = ContactStages(tables, cfg, base="checkpoint")
+    if first_contact_store:
+        from fonolytics.plans.incremental import with_first_contact_store
+
+        p = with_first_contact_store(p, first_contact_store)
     frames = {
         "perfil": lambda: p.base,                        # Query 1
         "alertas": lambda: p.d17_alerts(ordered=True),   # Query 2
@@ -59,6 +72,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--numeric-positions", action="store_true")
     ap.add_argument("--normalise-phones", action="store_true")
     ap.add_argument("--normalise-text", action="store_true")
+    ap.add_argument("--first-contact-store", default=None,
+                    help="folder keeping first contacts per month between runs (recomputes missing months + target)")
     ap.add_argument("--shuffle-partitions", type=int, default=None,
                     help="initial shuffle partitions; size for ~256 MB per partition of the attempts "
                          "after filtering, AQE coalesces small ones at run time")
@@ -80,7 +95,8 @@ def main(argv: list[str] | None = None) -> None:
         spark.conf.set("spark.sql.shuffle.partitions", str(a.shuffle_partitions))
     paths = {"intentos": a.intentos, "intentos_bkp": a.intentos_bkp, "conclusiones": a.conclusiones, "asignacion": a.asignacion}
     tables = read_contact_tables(spark, paths, fmt=a.input_format)
-    for name, path in run_reports(tables, cfg, a.out, a.output_format, a.reports.split(",")).items():
+    written = run_reports(tables, cfg, a.out, a.output_format, a.reports.split(","), a.first_contact_store)
+    for name, path in written.items():
         print(f"{name}\t{path}")
 
 

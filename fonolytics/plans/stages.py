@@ -23,13 +23,22 @@ class ContactStages:
 
     ``base`` chooses how the shared base profile is handed to the alert
     stages: ``none`` keeps one plan (exchange reuse), ``checkpoint`` writes it
-    once to the shared checkpoint folder.
+    once to the shared checkpoint folder. ``first_contacts`` supplies D5 from
+    elsewhere (the month store of ``plans.incremental``) instead of computing
+    it from the attempts.
     """
 
-    def __init__(self, tables: ContactTables, cfg: ProfileConfig, base: str = "checkpoint"):
+    def __init__(
+        self,
+        tables: ContactTables,
+        cfg: ProfileConfig,
+        base: str = "checkpoint",
+        first_contacts: DataFrame | None = None,
+    ):
         self.cfg = cfg
         self.tables = normalise_text(tables) if cfg.normalise_text else tables
         self.base_mode = base
+        self._first_contacts = first_contacts
 
     # -- attempts ---------------------------------------------------------
     @cached_property
@@ -58,6 +67,8 @@ class ContactStages:
 
     @cached_property
     def d5_first_contacts(self) -> DataFrame:
+        if self._first_contacts is not None:
+            return self._first_contacts
         return attempts.first_contacts(self.attempts_union, by_source=not self.cfg.dedup)
 
     @cached_property
