@@ -91,3 +91,18 @@ def test_stage_views_answer_sql(spark):
     assert {r.tipo_alerta: r.n for r in got} == {"A1_SCORE_MAL_PRIORIZADO": 43, "A2_TELEFONO_NO_ASIGNADO": 80,
                                                 "A3_TELEFONO_SIN_CONTACTO": 212}
     assert spark.sql("select count(*) from t_client_profile_alerts where necesita_revision = 'NO'").first()[0] == 20
+
+
+def test_csv_inputs_with_declared_schemas(spark, tmp_path):
+    t = fixture_tables(spark, SF001, FIXTURE_CONFIG)
+    paths = {}
+    for name, df, part in (("intentos", t.intentos, "periodo"), ("intentos_bkp", t.intentos_bkp, "periodo"),
+                           ("conclusiones", t.conclusiones, None), ("asignacion", t.asignacion, "codmes")):
+        w = df.write.option("header", "true")
+        (w.partitionBy(part) if part else w).csv(str(tmp_path / name))
+        paths[name] = str(tmp_path / name)
+    t2 = read_contact_tables(spark, paths, fmt="csv", options={"header": "true"})
+    assert dict(t2.intentos.dtypes)["contact_id"] == "bigint" and dict(t2.asignacion.dtypes)["codmes"] == "string"
+    a = ContactStages(t, FIXTURE_CONFIG).d18_summary(ordered=False)
+    b = ContactStages(t2, FIXTURE_CONFIG).d18_summary(ordered=False)
+    assert _same(a, b)
