@@ -154,6 +154,11 @@ class ContactStages:
     def d21_a3(self) -> DataFrame:
         return report.a3_positions(self.d16_dead, self.cfg)
 
+    @cached_property
+    def alert_columns(self) -> DataFrame:
+        """D19 + D20 + D21 for the report, in one aggregation."""
+        return report.alert_columns(self.d15_priority, self.d16_dead, self.cfg)
+
     @cached_property
     def d22_profile_alerts(self) -> DataFrame:
-        return report.client_profile_alerts(self.base, self.d19_a1, self.d20_a2, self.d21_a3)
+        return report.client_profile_alerts_joined(self.base, self.alert_columns)
