@@ -66,3 +66,11 @@ def test_result_does_not_depend_on_input_partitioning(spark, p):
     a = p.d22_profile_alerts
     b = ContactStages(shuffled, FIXTURE_CONFIG).d22_profile_alerts
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_report_by_one_join_equals_three_joins(p):
+    from fonolytics.operators.report import client_profile_alerts
+
+    three = client_profile_alerts(p.base, p.d19_a1, p.d20_a2, p.d21_a3)
+    one = p.d22_profile_alerts
+    assert one.exceptAll(three).count() == 0 and three.exceptAll(one).count() == 0
