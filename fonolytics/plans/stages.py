@@ -35,6 +35,10 @@ class ContactStages:
         base: str = "checkpoint",
         first_contacts: DataFrame | None = None,
     ):
+        if cfg.normalise_text:
+            # compare like with like: the configured lists get the same lower/trim as the tables
+            norm = lambda values: tuple(v.strip().lower() for v in values)
+            cfg = cfg.with_(campaigns=norm(cfg.campaigns), outcome_types=norm(cfg.outcome_types), stages=norm(cfg.stages))
         self.cfg = cfg
         self.tables = normalise_text(tables) if cfg.normalise_text else tables
         self.base_mode = base

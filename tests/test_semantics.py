@@ -187,3 +187,11 @@ def test_extra_assignment_columns_pass_through(spark):  # c.* (P9)
     cols = p.d22_profile_alerts.columns
     assert cols[:cols.index("rn") + 1][-2:] == ["segmento", "rn"]
     assert p.d22_profile_alerts.first()["segmento"] == "pyme"
+
+
+def test_normalised_text_also_normalises_the_configured_lists(spark):  # S24
+    live = [attempt("202603", 1, " ce ", P, ts(1), campaign="COB_BPE_00")]
+    asig = [assign(1, "202603", (900000001, 0, 0), tramo="Temprana")]
+    cfg = CFG.with_(normalise_text=True, stages=("TEMPRANA",), campaigns=("Cob_Bpe_00",))
+    p = pipe(tables(spark, live=live, asig=asig), cfg)
+    assert rows(p.d12_profile, "marzo", "tlf_mejor_resultado") == [("ce", "900000001")]
