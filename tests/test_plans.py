@@ -66,3 +66,20 @@ def test_session_checkpoint_dir_is_respected(spark):
 
     before = checkpoint_dir(spark)
     assert before and ensure_checkpoint_dir(spark, "/nonexistent/should/not/be/used") == spark.sparkContext.getCheckpointDir()
+
+
+FORBIDDEN = ["SinglePartition", "BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"]
+
+
+def test_no_registered_plan_funnels_or_crosses(spark):
+    """No query gathers everything into one partition, cross-joins or runs
+    per-row Python, also when no side may be broadcast (the large-table shape)."""
+    import __spark_entry__ as E
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for key, build in E.queries().items():
+            plan = _plan(build(spark, SF001))
+            assert not [w for w in FORBIDDEN if w in plan], key
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
