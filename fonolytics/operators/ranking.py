@@ -8,6 +8,10 @@ group; a group can continue from earlier partitions only as a partition's
 first group, so per-partition boundary statistics (one row per partition,
 a size bounded by the partition count) give the offset to add.
 
+Cost: range partitioning samples its input first (one extra read of the
+input), and the local numbering is a window over (partition id, group), a
+second exchange whose keys keep a hot group's slices in different tasks.
+
 The numbered slices are read three times (boundaries, offsets, result) and
 every read must see the same partition boundaries. Range boundaries come
 from a sample, and column pruning would give each read its own exchange and
