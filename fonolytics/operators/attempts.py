@@ -27,21 +27,36 @@ def effective_outcomes(conclusiones: DataFrame, cfg: ProfileConfig) -> DataFrame
 def outcome_filter(conclusiones: DataFrame, cfg: ProfileConfig) -> Callable[[DataFrame], DataFrame]:
     """How attempts are restricted to effective outcomes.
 
-    The catalogue of outcome codes is small by nature. It is read with a row
-    cap of ``max_inlist_codes + 1``: within the cap the codes become a literal
-    IN list, which Spark pushes into the attempt scan (row-group skipping on
-    a dictionary-encoded column) and which needs no join and no shuffle.
-    Beyond the cap the catalogue is semi-joined instead and Spark picks the
-    join by its own size estimate. A shuffled join on a handful of codes
-    would put all attempts into a handful of tasks, hence the IN list. The
-    semi join also keeps S3: a code listed twice filters like once.
+    The scripts inner-join attempts to the outcome catalogue, so an attempt
+    appears once per catalogue row of its code: normally once, k times for a
+    code listed k times (S3). The stages after the first contact drop such
+    copies, the attempt lists keep them.
+
+    The catalogue is small by nature. It is read with a row cap of
+    ``max_inlist_codes + 1`` distinct codes: within the cap the codes become a
+    literal IN list, which Spark pushes into the attempt scan (row-group
+    skipping on a dictionary-encoded column) and which needs no join and no
+    shuffle; codes listed more than once are replicated by a generator. A
+    shuffled join on a handful of codes would put all attempts into a handful
+    of tasks, hence the IN list. Beyond the cap the catalogue is inner-joined
+    and Spark picks the join by its own size estimate.
     """
-    codes_df = effective_outcomes(conclusiones, cfg).where(F.col("conclusion").isNotNull()).distinct()
-    rows = codes_df.limit(cfg.max_inlist_codes + 1).collect()
-    if len(rows) <= cfg.max_inlist_codes:
-        codes = sorted(r.conclusion for r in rows)
-        return lambda df: df.where(F.col("wrap_up").isin(codes))
-    return lambda df: df.join(codes_df, df.wrap_up == codes_df.conclusion, "left_semi")
+    effective = effective_outcomes(conclusiones, cfg).where(F.col("conclusion").isNotNull())
+    counted = effective.groupBy("conclusion").agg(F.count(F.lit(1)).alias("copies"))
+    rows = counted.limit(cfg.max_inlist_codes + 1).collect()
+    if len(rows) > cfg.max_inlist_codes:
+        return lambda df: df.join(effective, df.wrap_up == effective.conclusion, "inner").drop("conclusion")
+    codes = sorted(r.conclusion for r in rows)
+    repeated = sorted((r.conclusion, r.copies) for r in rows if r.copies > 1)
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = df.where(F.col("wrap_up").isin(codes))
+        if not repeated:
+            return out
+        copies = F.create_map(*[x for code, n in repeated for x in (F.lit(code), F.lit(n))])[F.col("wrap_up")]
+        return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce(copies, F.lit(1))))).drop("_copy")
+
+    return keep
 
 
 def _arm(

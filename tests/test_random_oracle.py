@@ -82,6 +82,9 @@ def _bag(rows, cols):
 
 
 STAGES = {
+    "d2": lambda p: p.d2_live.select("mes", "cu", "wrap_up", "telefono"),
+    "d3": lambda p: p.d3_backup.select("mes", "cu", "wrap_up", "telefono"),
+    "d4": lambda p: p.d4_effective_attempts.select("fuente", "mes", "cu", "wrap_up", "telefono", "orden"),
     "d5": lambda p: p.d5_first_contacts,
     "d12": lambda p: p.d12_profile,
     "d17": lambda p: p.d17_alerts(ordered=False),
@@ -107,7 +110,9 @@ def test_random_tables_match_oracle(spark, seed, string_phones):
     )
     p = ContactStages(t, CFG)
     chain = o.stage_ctes(CFG) + list(o.final_selects(CFG).items())
-    finals = {"d5": "select fuente, mes, cu, wrap_up, telefono, orden from d5", "d12": "select * from d12",
+    finals = {"d2": "select mes, cu, wrap_up, telefono from d2", "d3": "select mes, cu, wrap_up, telefono from d3",
+              "d4": "select fuente, mes, cu, wrap_up, telefono, orden from d4",
+              "d5": "select fuente, mes, cu, wrap_up, telefono, orden from d5", "d12": "select * from d12",
               "d17": "select * from d17", "d18": "select * from d18", "d22": o.d22_select(CFG)}
     sizes = {}
     for key, get in STAGES.items():
