@@ -187,7 +187,7 @@ select case when motivo is null then {o.q(VALID)} else {o.q(QUARANTINE)} end as
 from v group by 1, 2"""
 
 
-def _sql_phone_rescore(cfg: ProfileConfig) -> str:
+def _sql_phone_rescore(cfg: ProfileConfig, with_fixture: bool = True) -> str:
     n = cfg.n_phones
     slots = "\nunion all ".join(
         f"select codunicocli, {k} as posicion, cast(tlf{k}_limpio as varchar) as telefono from d10 where tlf{k}_limpio is not null"
@@ -214,7 +214,8 @@ from slots s left join scores sc on sc.codunicocli = s.codunicocli and sc.telefo
        cast(sum(case when nueva_posicion <> posicion then 1 else 0 end) as bigint) as slots_cambiados,
        max(score) as mejor_score
 from ranked group by codunicocli"""
-    return o.with_chain(o.fixture_ctes(cfg) + o.stage_ctes(cfg) + extra, final)
+    head = o.fixture_ctes(cfg) if with_fixture else []
+    return o.with_chain(head + o.stage_ctes(cfg) + extra, final)
 
 
 def job_sql(cfg: ProfileConfig = FIXTURE_CONFIG) -> dict[str, str]:

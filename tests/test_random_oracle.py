@@ -123,5 +123,12 @@ def test_random_tables_match_oracle(spark, seed, string_phones):
         assert sorted(df.columns) == sorted(rel.columns), key
         assert _bag(s_rows, df.columns) == _bag(d_rows, rel.columns), (seed, key, len(s_rows), len(d_rows))
         sizes[key] = len(s_rows)
+    # R6 (phone re-scoring) over the same random tables
+    from fonolytics.plans.jobs import _sql_phone_rescore, rescore_for
+
+    rs = rescore_for(p, CFG)
+    rel = con.sql(_sql_phone_rescore(CFG, with_fixture=False))
+    assert sorted(rs.columns) == sorted(rel.columns)
+    assert _bag([tuple(r) for r in rs.collect()], rs.columns) == _bag(rel.fetchall(), rel.columns), (seed, "r6")
     # the random tables must exercise the stages, not agree on empty results
     assert sizes["d12"] > 0 and sizes["d17"] > 0 and sizes["d5"] > 10
