@@ -57,6 +57,24 @@ def run_reports(
     return out
 
 
+def explain_reports(tables: ContactTables, cfg: ProfileConfig, reports=REPORTS) -> None:
+    """Print the formatted physical plans of the reports without running them.
+
+    The base profile is left un-checkpointed here (a checkpoint would run
+    it), so each plan shows the whole path from the input scans.
+    """
+    p = ContactStages(tables, cfg, base="none")
+    frames = {
+        "perfil": lambda: p.d12_profile,
+        "alertas": lambda: p.d17_alerts(ordered=True),
+        "resumen": lambda: p.d18_summary(ordered=True),
+        "perfil_alertas": lambda: p.d22_profile_alerts,
+    }
+    for name in reports:
+        print(f"== {name} ==")
+        frames[name]().explain(mode="formatted")
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     for name in ("intentos", "intentos-bkp", "conclusiones", "asignacion", "out"):
@@ -74,6 +92,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--normalise-text", action="store_true")
     ap.add_argument("--first-contact-store", default=None,
                     help="folder keeping first contacts per month between runs (recomputes missing months + target)")
+    ap.add_argument("--explain", action="store_true", help="print the physical plans instead of running")
     ap.add_argument("--shuffle-partitions", type=int, default=None,
                     help="initial shuffle partitions; size for ~256 MB per partition of the attempts "
                          "after filtering, AQE coalesces small ones at run time")
@@ -95,6 +114,9 @@ def main(argv: list[str] | None = None) -> None:
         spark.conf.set("spark.sql.shuffle.partitions", str(a.shuffle_partitions))
     paths = {"intentos": a.intentos, "intentos_bkp": a.intentos_bkp, "conclusiones": a.conclusiones, "asignacion": a.asignacion}
     tables = read_contact_tables(spark, paths, fmt=a.input_format)
+    if a.explain:
+        explain_reports(tables, cfg, a.reports.split(","))
+        return
     written = run_reports(tables, cfg, a.out, a.output_format, a.reports.split(","), a.first_contact_store)
     for name, path in written.items():
         print(f"{name}\t{path}")

@@ -106,3 +106,16 @@ def test_csv_inputs_with_declared_schemas(spark, tmp_path):
     a = ContactStages(t, FIXTURE_CONFIG).d18_summary(ordered=False)
     b = ContactStages(t2, FIXTURE_CONFIG).d18_summary(ordered=False)
     assert _same(a, b)
+
+
+def test_runner_explain_prints_plans(spark, tmp_path, capsys):
+    from fonolytics.plans.runner import main
+
+    paths = write_inputs_by_period(fixture_tables(spark, SF001, FIXTURE_CONFIG), str(tmp_path / "in"))
+    main(["--intentos", paths["intentos"], "--intentos-bkp", paths["intentos_bkp"],
+          "--conclusiones", paths["conclusiones"], "--asignacion", paths["asignacion"],
+          "--periods", ",".join(FIXTURE_CONFIG.periods), "--out", str(tmp_path / "r"), "--reports", "resumen", "--explain"])
+    out = capsys.readouterr().out
+    assert "== resumen ==" in out and "Physical Plan" in out
+    import os
+    assert not os.path.exists(str(tmp_path / "r"))
