@@ -58,3 +58,28 @@ def test_random_jobs_match_oracle(spark, seed):
         rel = con.sql(sql[key])
         assert sorted(df.columns) == sorted(rel.columns), key
         assert _bag([tuple(r) for r in df.collect()], df.columns) == _bag(rel.fetchall(), rel.columns), (seed, key)
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_random_call_jobs_match_oracle(spark, seed):
+    import datetime as dt
+
+    from fonolytics.operators import callcenter as cc
+
+    rng = np.random.default_rng(seed)
+    n = 400
+    ts = [None if rng.random() < 0.03 else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(m))
+          for m in rng.integers(0, 60 * 24 * 20, n)]
+    kind = [None if rng.random() < 0.03 else str(k) for k in rng.choice(["error", "click", "view"], n)]
+    events = pd.DataFrame({"ts": pd.Series(ts, dtype="datetime64[us]"), "event_type": kind})
+    con = duckdb.connect()
+    con.register("events_df", events)
+    con.execute("create view events as select * from events_df")
+    sdf = spark.createDataFrame([(t, k) for t, k in zip(ts, kind)], "ts timestamp_ntz, event_type string")
+    daily = cc.daily_calls(sdf, "ts", sdf.event_type == jobs.CJ_EVENT_TYPE)
+    sql = jobs.job_sql()
+    for key, df in (("transfer_savings", cc.transfer_savings(daily)), ("recovery_uplift", cc.recovery_uplift(daily)),
+                    ("saturday_recovery", cc.saturday_recovery(daily))):
+        rel = con.sql(sql[key])
+        assert sorted(df.columns) == sorted(rel.columns), key
+        assert _bag([tuple(r) for r in df.collect()], df.columns) == _bag(rel.fetchall(), rel.columns), (seed, key)
