@@ -79,6 +79,40 @@ def read_first_contacts(spark: SparkSession, out_path: str) -> DataFrame:
     )
 
 
+def start_first_contact_stream(
+    spark: SparkSession,
+    live_dir: str,
+    backup_dir: str,
+    conclusiones: DataFrame,
+    cfg: ProfileConfig,
+    out_path: str,
+    checkpoint: str,
+    fmt: str = "parquet",
+    available_now: bool = False,
+    watermark_delay: str | None = DEFAULT_WATERMARK,
+    max_files_per_trigger: int | None = None,
+) -> StreamingQuery:
+    """Keep first contacts current from two folders of attempt files.
+
+    New files in ``live_dir`` / ``backup_dir`` (canonical attempt columns,
+    see ``sources.tables.ATTEMPT_SCHEMA``) are read as they land; improved
+    first contacts are appended to ``out_path``, which ``read_first_contacts``
+    turns into the D5 layout. ``checkpoint`` must be a shared folder.
+    """
+    from fonolytics.operators.attempts import outcome_filter
+    from fonolytics.sources.tables import ATTEMPT_SCHEMA
+
+    def stream(path: str) -> DataFrame:
+        reader = spark.readStream.schema(ATTEMPT_SCHEMA).format(fmt)
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+        return reader.load(path)
+
+    keep = outcome_filter(conclusiones, cfg)
+    updates = first_contact_updates(effective_attempt_stream(stream(live_dir), stream(backup_dir), keep, cfg), watermark_delay)
+    return start_changelog_sink(updates, out_path, checkpoint, available_now=available_now)
+
+
 def run_fixture_stream(
     spark: SparkSession, sf_dir: str, cfg: ProfileConfig, watermark_delay: str | None = DEFAULT_WATERMARK
 ) -> DataFrame:

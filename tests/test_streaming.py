@@ -67,3 +67,21 @@ def test_watermark_evicts_closed_days(spark, tmp_path):
     assert run("b3", [attempt("202603", 3, "CE", P, dt.datetime(2026, 3, 16, 9))]) == 2  # January's day left the state once the watermark passed it
     got = {r.cu: r.telefono for r in read_first_contacts(spark, out).collect()}
     assert got == {1: "900000001", 2: "900000001", 3: "900000001"}
+
+
+def test_stream_from_attempt_folders_matches_batch(spark, tmp_path):
+    from conftest import SF001
+    from fonolytics.config import FIXTURE_CONFIG
+    from fonolytics.plans.stages import ContactStages
+    from fonolytics.sources.fixtures import fixture_tables
+    from fonolytics.streaming.first_contact import start_first_contact_stream
+
+    t = fixture_tables(spark, SF001, FIXTURE_CONFIG)
+    t.intentos.write.parquet(str(tmp_path / "live"))
+    t.intentos_bkp.write.parquet(str(tmp_path / "bkp"))
+    q = start_first_contact_stream(spark, str(tmp_path / "live"), str(tmp_path / "bkp"), t.conclusiones, FIXTURE_CONFIG,
+                                   str(tmp_path / "log"), str(tmp_path / "state"), available_now=True)
+    q.awaitTermination()
+    got = read_first_contacts(spark, str(tmp_path / "log"))
+    want = ContactStages(t, FIXTURE_CONFIG).d5_first_contacts
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
