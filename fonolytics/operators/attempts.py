@@ -24,13 +24,16 @@ def effective_outcomes(conclusiones: DataFrame, cfg: ProfileConfig) -> DataFrame
     )
 
 
-def outcome_filter(conclusiones: DataFrame, cfg: ProfileConfig) -> Callable[[DataFrame], DataFrame]:
+def outcome_filter(
+    conclusiones: DataFrame, cfg: ProfileConfig, replicate: bool = True
+) -> Callable[[DataFrame], DataFrame]:
     """How attempts are restricted to effective outcomes.
 
     The scripts inner-join attempts to the outcome catalogue, so an attempt
     appears once per catalogue row of its code: normally once, k times for a
-    code listed k times (S3). The stages after the first contact drop such
-    copies, the attempt lists keep them.
+    code listed k times (S3). ``replicate`` keeps those copies (the attempt
+    lists); without it each attempt appears once (first contacts, where the
+    copies vanish anyway, and call counts).
 
     The catalogue is small by nature. It is read with a row cap of
     ``max_inlist_codes + 1`` distinct codes: within the cap the codes become a
@@ -38,16 +41,18 @@ def outcome_filter(conclusiones: DataFrame, cfg: ProfileConfig) -> Callable[[Dat
     skipping on a dictionary-encoded column) and which needs no join and no
     shuffle; codes listed more than once are replicated by a generator. A
     shuffled join on a handful of codes would put all attempts into a handful
-    of tasks, hence the IN list. Beyond the cap the catalogue is inner-joined
-    and Spark picks the join by its own size estimate.
+    of tasks, hence the IN list. Beyond the cap the catalogue is joined
+    (inner, or semi without ``replicate``) and Spark picks the join by its own
+    size estimate.
     """
     effective = effective_outcomes(conclusiones, cfg).where(F.col("conclusion").isNotNull())
     counted = effective.groupBy("conclusion").agg(F.count(F.lit(1)).alias("copies"))
     rows = counted.limit(cfg.max_inlist_codes + 1).collect()
     if len(rows) > cfg.max_inlist_codes:
-        return lambda df: df.join(effective, df.wrap_up == effective.conclusion, "inner").drop("conclusion")
+        how = "inner" if replicate else "left_semi"
+        return lambda df: df.join(effective, df.wrap_up == effective.conclusion, how).drop("conclusion")
     codes = sorted(r.conclusion for r in rows)
-    repeated = sorted((r.conclusion, r.copies) for r in rows if r.copies > 1)
+    repeated = sorted((r.conclusion, r.copies) for r in rows if r.copies > 1) if replicate else []
 
     def keep(df: DataFrame) -> DataFrame:
         out = df.where(F.col("wrap_up").isin(codes))

@@ -47,7 +47,7 @@ def refresh_store(stages: ContactStages, store: str, recompute: Iterable[str] |
     redo = set(recompute) if recompute is not None else {cfg.target_period}
     months = sorted((set(cfg.periods) - stored_months(spark, store)) | (redo & set(cfg.periods)))
     if months:
-        fresh = first_contacts(stages.attempts_union.where(F.col("mes").isin(months)), by_source=not cfg.dedup)
+        fresh = first_contacts(stages.attempts_once.where(F.col("mes").isin(months)), by_source=not cfg.dedup)
         (
             fresh.select(*STORE_COLUMNS)
             .write.mode("overwrite")

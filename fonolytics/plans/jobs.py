@@ -64,7 +64,7 @@ def q_validated_load(spark, sf_dir):
 
 
 def rescore_for(stages, cfg: ProfileConfig) -> DataFrame:
-    window = stages.attempts_union.where(F.col("mes").between(cfg.period_lo, cfg.period_hi))
+    window = stages.attempts_once.where(F.col("mes").between(cfg.period_lo, cfg.period_hi))
     slots = assigned_phones_long(stages.d10_clean_phones, cfg)
     return phone_rescore(slots, phone_scores(window), cfg)
 
@@ -200,8 +200,16 @@ def _sql_phone_rescore(cfg: ProfileConfig, with_fixture: bool = True) -> str:
     cols = ",\n       ".join(f"max(case when nueva_posicion = {k} then telefono end) as telefono{k}" for k in range(1, n + 1))
     extra = [
         ("d10", f"select *, {clean} from d6"),
+        ("effective_codes", f"""select conlusion_cloud from conclusiones
+where tipo_resultado in ({o.in_list(cfg.outcome_types)})"""),
+        ("calls", f"""select contact_id as cu, periodo as mes, right(dnis, {cfg.phone_digits}) as telefono
+from intentos where campaign_name in ({o.in_list(cfg.campaigns)}) and wrap_up in (select * from effective_codes)
+union all
+select contact_id, periodo, right(dnis, {cfg.phone_digits}) from intentos_bkp
+where campaign_name in ({o.in_list(cfg.campaigns)}) and wrap_up in (select * from effective_codes)
+  and try_cast(periodo as integer) >= {cfg.backup_min_period}"""),
         ("scores", f"""select cu as codunicocli, telefono, count(*) as score
-from (select * from d2 union all select * from d3) a
+from calls
 where cu is not null and mes between {o.q(cfg.period_lo)} and {o.q(cfg.period_hi)}
 group by 1, 2"""),
         ("slots", slots),

@@ -49,6 +49,10 @@ class ContactStages:
     def keep_effective(self):
         return attempts.outcome_filter(self.tables.conclusiones, self.cfg)
 
+    @cached_property
+    def keep_effective_once(self):
+        return attempts.outcome_filter(self.tables.conclusiones, self.cfg, replicate=False)
+
     @cached_property
     def d1_effective_outcomes(self) -> DataFrame:
         return attempts.effective_outcomes(self.tables.conclusiones, self.cfg)
@@ -63,8 +67,17 @@ class ContactStages:
 
     @cached_property
     def attempts_union(self) -> DataFrame:
+        """D2 and D3 together, with the catalogue's copies (the attempt lists)."""
         return self.d2_live.unionByName(self.d3_backup)
 
+    @cached_property
+    def attempts_once(self) -> DataFrame:
+        """Each effective attempt once: what first contacts and call counts read."""
+        keep = self.keep_effective_once
+        return attempts.effective_attempts_live(self.tables, self.cfg, keep).unionByName(
+            attempts.effective_attempts_backup(self.tables, self.cfg, keep)
+        )
+
     @cached_property
     def d4_effective_attempts(self) -> DataFrame:
         return attempts.rank_attempts(self.attempts_union)
@@ -73,7 +86,7 @@ class ContactStages:
     def d5_first_contacts(self) -> DataFrame:
         if self._first_contacts is not None:
             return self._first_contacts
-        return attempts.first_contacts(self.attempts_union, by_source=not self.cfg.dedup)
+        return attempts.first_contacts(self.attempts_once, by_source=not self.cfg.dedup)
 
     @cached_property
     def first_contacts_known(self) -> DataFrame:

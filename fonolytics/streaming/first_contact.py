@@ -108,7 +108,7 @@ def start_first_contact_stream(
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
         return reader.load(path)
 
-    keep = outcome_filter(conclusiones, cfg)
+    keep = outcome_filter(conclusiones, cfg, replicate=False)
     updates = first_contact_updates(effective_attempt_stream(stream(live_dir), stream(backup_dir), keep, cfg), watermark_delay)
     return start_changelog_sink(updates, out_path, checkpoint, available_now=available_now)
 
@@ -127,7 +127,7 @@ def run_fixture_stream(
     li_schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
     li_stream = spark.readStream.schema(li_schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/lineitem*.parquet")
     attempts = fx.attempts_from(li_stream, fx.table(spark, sf_dir, "orders"))
-    keep = outcome_filter(fx.outcome_catalogue(spark, sf_dir), cfg)
+    keep = outcome_filter(fx.outcome_catalogue(spark, sf_dir), cfg, replicate=False)
     live = attempts.where(F.col("periodo") >= fx.FIXTURE_LIVE_FROM)
     bkp = attempts.where(
         (F.col("periodo") <= fx.FIXTURE_BACKUP_TO)

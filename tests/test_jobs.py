@@ -94,3 +94,19 @@ def test_client_products_and_lookup(spark):
                                "l_orderkey long, l_extendedprice double, l_discount double, l_tax double")
     got = sorted((r.producto, r.capital, r.deuda) for r in lookup(client_products(orders, li), c_custkey=1).collect())
     assert got == [(10, 0.3, 100.1), (11, 0.0, 0.2)]
+
+
+def test_phone_scores_count_each_call_once(spark):
+    from fonolytics.plans.jobs import rescore_for
+    from fonolytics.plans.stages import ContactStages
+    from helpers import CFG as HCFG
+    from helpers import assign, attempt, tables, ts
+
+    live = [attempt("202603", 1, "CE", "51900000002", ts(1)), attempt("202603", 1, "CE", "51900000002", ts(2), 2)]
+    asig = [assign(1, "202603", (900000001, 900000002, 0))]
+    once = rescore_for(ContactStages(tables(spark, live=live, asig=asig), HCFG), HCFG).first()
+    twice_t = tables(spark, live=live, asig=asig,
+                     outcomes=[("CE", "contacto - efectivo"), ("CE", "contacto - efectivo")])
+    twice = rescore_for(ContactStages(twice_t, HCFG), HCFG).first()
+    assert once.mejor_score == twice.mejor_score == 2
+    assert (twice.telefono1, twice.telefono2) == ("900000002", "900000001")
