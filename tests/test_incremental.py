@@ -48,3 +48,12 @@ def test_runner_with_store(spark, tmp_path):
     t = fixture_tables(spark, SF001, FIXTURE_CONFIG)
     out = run_reports(t, FIXTURE_CONFIG, str(tmp_path / "r"), reports=("resumen",), first_contact_store=str(tmp_path / "s"))
     assert spark.read.parquet(out["resumen"]).count() == 42
+
+
+def test_store_with_dedup_matches_full_dedup_run(spark, tmp_path):
+    cfg = FIXTURE_CONFIG.with_(dedup=True)
+    t = fixture_tables(spark, SF001, cfg)
+    full = ContactStages(t, cfg)
+    inc = with_first_contact_store(ContactStages(t, cfg), str(tmp_path / "store_dedup"))
+    assert _same(full.d12_profile, inc.d12_profile)
+    assert inc.d12_profile.count() == inc.d12_profile.select("codunicocli").distinct().count()
