@@ -23,8 +23,51 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fonolytics.llm.wumanber import find_benchmark
+
+    found = find_benchmark(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP7_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP7_SQL = f"""with d as (
+  select row_number() over () as row_no, doc_id, regexp_extract_all({_LOWER}, '{_OP7_WORDS}') as words from documents
+), b as (
+  select item_id, words, least(10, len(words)) as m
+  from (select item_id, regexp_extract_all({_LOWER}, '{_OP7_WORDS}') as words from benchmark) where len(words) > 0
+), pattern as (
+  select distinct m, item_id, array_to_string(words[i : i + m - 1], ' ') as window_text
+  from b, unnest(range(1, len(words) - m + 2)) as u(i)
+), place as (
+  select row_no, i, m, array_to_string(words[i : i + m - 1], ' ') as window_text
+  from d, (select distinct m from pattern) as ms, unnest(range(1, len(words) - m + 2)) as u(i)
+), found as (
+  select row_no, i, m, item_id from place join pattern using (m, window_text)
+), hit as (
+  select row_no, count(distinct w) as n_hit
+  from (select distinct row_no, i, m from found) as f, unnest(range(i, i + m)) as u(w) group by 1
+), item as (
+  select row_no, count(*) as n_items, string_agg(id, ',' order by id) as ids
+  from (select distinct row_no, cast(item_id as varchar) as id from found where item_id is not null) group by 1
+)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (row_no) left join item using (row_no)"""
+
+ORACLE_SQL: dict[str, str] = {"op7_benchmark_decontamination": _OP7_SQL}
