@@ -38,9 +38,18 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from fonolytics.llm.packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
 }
 
 _OP7_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
