@@ -23,6 +23,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fonolytics.llm.dartminhash import near_duplicate_classes
+
+    return near_duplicate_classes(_read(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fonolytics.llm.wumanber import find_benchmark
 
@@ -48,6 +54,7 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op6_dart_minhash": op6_dart_minhash,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
 }
