@@ -23,6 +23,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fonolytics.llm.kneserney import score, train
+
+    docs = _read(spark, sf_dir, "documents")
+    model = train(docs.where(crc_bucket("doc_id", 7) != 2))
+    found = score(docs, model)
+    held_out = (crc_bucket("doc_id", 7) == 2).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fonolytics.llm.dartminhash import near_duplicate_classes
 
@@ -54,6 +64,7 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_kneser_ney": op3_kneser_ney,
     "op6_dart_minhash": op6_dart_minhash,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fonolytics.plans.materialize import ensure_checkpoint_dir
@@ -19,3 +23,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _filesystem(uri: str):
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
+
+
+def put_array(uri: str, values: np.ndarray) -> None:
+    """Write an array's bytes at `uri` on any file system that pyarrow knows: under another name first, so a retried task leaves whole files."""
+    files, path = _filesystem(uri)
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with files.open_output_stream(part) as out:
+        out.write(np.ascontiguousarray(values).data)
+    files.move(part, path)
+
+
+def mapped_array(uri: str, dtype: str) -> np.ndarray:
+    """The array at `uri`, memory-mapped. From a store that can't be mapped it is copied to an unlinked temporary file first."""
+    from pyarrow import fs
+
+    files, path = _filesystem(uri)
+    if not files.get_file_info(path).size:
+        return np.zeros(0, dtype)
+    if isinstance(files, fs.LocalFileSystem):
+        return np.memmap(path, dtype, "r")
+    copy = tempfile.TemporaryFile()
+    with files.open_input_stream(path) as src:
+        shutil.copyfileobj(src, copy, 1 << 22)
+    copy.flush()
+    return np.memmap(copy, dtype, "r")
