@@ -33,6 +33,14 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fonolytics.llm.toxicity import fit, score
+
+    docs = _read(spark, sf_dir, "documents")
+    model = fit(docs, _read(spark, sf_dir, "labels").where(crc_bucket("doc_id", 4) != 2))
+    return score(docs, model).select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fonolytics.llm.dartminhash import near_duplicate_classes
 
@@ -65,6 +73,7 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_kneser_ney": op3_kneser_ney,
+    "op4_toxicity": op4_toxicity,
     "op6_dart_minhash": op6_dart_minhash,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
