@@ -70,6 +70,12 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fonolytics.llm.licenses import scan
+
+    return scan(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_kneser_ney": op3_kneser_ney,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_dart_minhash": op6_dart_minhash,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
+    "op10_license_scan": op10_license_scan,
 }
 
 _OP7_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -106,4 +113,35 @@ select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hi
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit using (row_no) left join item using (row_no)"""
 
-ORACLE_SQL: dict[str, str] = {"op7_benchmark_decontamination": _OP7_SQL}
+
+
+def _op10_sql() -> str:
+    from fonolytics.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
+
+    between = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    phrases = ", ".join(f"(string_split('{p}', ' '), '{label}')" for p, label in PHRASES)
+    templates = ", ".join(f"({i}, '{label}', list_distinct(string_split('{t}', ' ')))" for i, (label, t) in enumerate(TEMPLATES))
+    return f"""with d as (
+  select row_number() over () as row_no, doc_id, regexp_extract_all({_LOWER}, '{_OP7_WORDS}') as words, {_LOWER} as lowered from documents
+), phrase(words, label) as (values {phrases}), template(template_no, label, words) as (values {templates}),
+place as (
+  select row_no, i - 1 as start, phrase.label
+  from d, phrase, unnest(range(1, len(d.words) - len(phrase.words) + 2)) as u(i)
+  where d.words[i] = phrase.words[1] and d.words[i : i + len(phrase.words) - 1] = phrase.words
+), base as (
+  select row_no, count(*) as n_base, min(start) as first_word, max(start) as last_word, list(distinct label) as labels from place group by 1
+), block as (
+  select row_no, list_distinct(string_split(trim(regexp_replace(line, '{between}', ' ', 'g')), ' ')) as words
+  from (select row_no, unnest(string_split(lowered, chr(10))) as line from d)
+), met as (
+  select row_no, template.label, len(list_intersect(block.words, template.words)) / len(template.words) as containment
+  from block, template where len(list_intersect(block.words, template.words)) >= ceil({THRESHOLD} * len(template.words) - 1e-9)
+), more as (select row_no, list(distinct label) as labels, max(containment) as most from met group by 1)
+select doc_id, cast(len(d.words) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') as labels,
+       case when n_base > 0 then 1.0::double else coalesce(most, 0)::double end as score
+from d left join base using (row_no) left join more using (row_no)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op7_benchmark_decontamination": _OP7_SQL, "op10_license_scan": _op10_sql()}
