@@ -62,6 +62,14 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fonolytics.llm.winnowing import edited_pairs
+
+    rows = edited_pairs(_read(spark, sf_dir, "documents"))
+    sha = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return rows.select("doc_id", "n_chars", sha, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_dart_minhash": op6_dart_minhash,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_winnowing": op8_winnowing,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_license_scan": op10_license_scan,
 }
