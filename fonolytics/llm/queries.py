@@ -41,6 +41,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fonolytics.llm.linetemplates import drop_recurring_lines
+
+    found = drop_recurring_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("dropped_lines").cast("long").alias("n_dropped"), "text")
+
+
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fonolytics.llm.dartminhash import near_duplicate_classes
 
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_kneser_ney": op3_kneser_ney,
     "op4_toxicity": op4_toxicity,
+    "op5_line_templates": op5_line_templates,
     "op6_dart_minhash": op6_dart_minhash,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_winnowing": op8_winnowing,

@@ -57,3 +57,10 @@ def mapped_array(uri: str, dtype: str) -> np.ndarray:
         shutil.copyfileobj(src, copy, 1 << 22)
     copy.flush()
     return np.memmap(copy, dtype, "r")
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most `most_rows`; beyond that the join shuffles it."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
