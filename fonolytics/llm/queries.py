@@ -23,6 +23,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+# A key for the test tables. A real run takes its key from a secret store.
+PSEUDONYM_KEY = b"test tables only"
+
+
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fonolytics.llm.pii import pseudonymised
+
+    found = pseudonymised(_read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct("found.kind")), ",").alias("kinds")
+    return found.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), kinds)
+
+
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fonolytics.llm.kneserney import score, train
 
@@ -93,6 +105,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
     "op3_kneser_ney": op3_kneser_ney,
     "op4_toxicity": op4_toxicity,
     "op5_line_templates": op5_line_templates,
