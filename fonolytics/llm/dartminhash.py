@@ -276,11 +276,11 @@ def near_duplicate_classes(
 
 def keep_one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of `docs`, all columns, less all but one of each class: the smallest id stays (then the smallest text hash)."""
-    key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("h"))
+    key = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("h"))
     named = docs.select(key.alias("key"), F.col(text).cast("string").alias("text"))
     classes = near_duplicate_classes(named, doc_id="key", text="text", **how)
-    keep = classes.where(F.col("key").eqNullSafe(F.col("class_id"))).select(F.struct("key.id", "key.h").alias("k")).distinct()
+    keep = classes.where(F.col("key").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("k")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("k"))
     # repeated rows have equal keys: the join leaves them side by side
-    kept = rows.join(keep, "k").withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("k")))
+    kept = rows.join(keep, rows["k"].eqNullSafe(keep["k"])).drop(keep["k"]).withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("k")))
     return kept.where("n = 1").select("row.*")
