@@ -44,6 +44,8 @@ from fonolytics.llm.textarrays import ALNUM, LOWER, mix, ranges, slices, text_by
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 7, 45
+# Shingles and darts of texts that are worked on at a time.
+DARTS = 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xA0761D6478BD642F)
 # Probability that a cell of unit area has at most 0, 1, 2, ... darts (Poisson, mean 1).
@@ -78,7 +80,18 @@ def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.nda
 
 
 def signatures(hashes: np.ndarray, weights: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
-    """(texts, k): the rank of the earliest dart per coordinate, which also names the dart; infinite without shingles."""
+    """(texts, k): the rank of the earliest dart per coordinate, which also names the dart; infinite without shingles.
+
+    A text takes about k ln k + 2k darts however short it is, so texts are taken together by that measure.
+    """
+    work = np.cumsum(np.diff(offsets) + int(k * np.log(k) + 2 * k)) // DARTS
+    cuts = [0, *(np.flatnonzero(np.diff(work)) + 1).tolist(), len(work)]
+    parts = [_thrown(hashes, weights, offsets[a : b + 1], k) for a, b in zip(cuts, cuts[1:])]
+    return np.concatenate([np.zeros((0, k)), *parts])
+
+
+def _thrown(hashes: np.ndarray, weights: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
+    weights, hashes, offsets = weights[offsets[0] : offsets[-1]], hashes[offsets[0] : offsets[-1]], offsets - offsets[0]
     sums = np.concatenate(([0.0], np.cumsum(weights, dtype=np.float64)))
     total = sums[offsets[1:]] - sums[offsets[:-1]]
     out = np.full((len(total), k), np.inf)
