@@ -101,8 +101,6 @@ class PieceEncoder:
         return cls._made[path]
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        if len(self.hashes) + len(hashes) > KEEP:
-            self._forget()
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         new = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
@@ -131,12 +129,11 @@ class PieceEncoder:
         if len(uniq):
             at = np.minimum(np.searchsorted(self.hashes, uniq), max(len(self.hashes) - 1, 0))
             new = self.hashes[at] != uniq if len(self.hashes) else np.ones(len(uniq), bool)
+            if len(self.hashes) + int(new.sum()) > KEEP:
+                self._forget()
+                new[:] = True
             if new.any():
-                kept = len(self.hashes)
-                cut = lambda f: [whole[a:b] for a, b in zip(starts[f].tolist(), ends[f].tolist())]
-                self._learn(uniq[new], cut(first[new]))
-                if len(self.hashes) < kept + int(new.sum()):  # it had to forget: learn the rest of this batch too
-                    self._learn(uniq[~new], cut(first[~new]))
+                self._learn(uniq[new], [whole[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
                 at = np.searchsorted(self.hashes, uniq)
             count, place = self.count[at][back], self.place[at][back]
         else:

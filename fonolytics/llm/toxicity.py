@@ -3,10 +3,11 @@
 A text's features are its distinct words and the distinct beginnings of its
 words (4, 5 and 6 bytes), lower-cased. Those whose share differs clearly
 between the two labels get a weight in a logistic regression. Each labelled
-text that names a group (`IDENTITY_TERMS`) also has a counterfactual: the same
-text with every such term swapped for another of its kind. The fit penalises
-the squared change of the score between a text and its counterfactual, so that
-naming a group, neutrally, does not itself raise the score.
+text that names a group (`IDENTITY_TERMS`) also has counterfactuals: the same
+text with every such term swapped for another of its kind, and left out. The fit penalises the squared change of the score between a text
+and its counterfactuals, so that naming a group, neutrally, does not itself
+raise the score. (The second is needed: by the first alone the weight of a
+common term can be met by raising that of one that the labels never show.)
 
 Fitting uses at most `SAMPLE` labelled rows (those with the smallest hash of
 the id), whole texts; features are counted and extracted in Spark and only the
@@ -41,7 +42,7 @@ FEATURES = 1024
 # Difference of a feature's shares between the labels, in standard errors.
 CLEAR = 5.0
 BEGINNINGS = (4, 5, 6)
-PENALTY = 1.0
+PENALTY = 10.0
 THRESHOLD = 0.3
 
 # Terms that name a group, by kind. A term is swapped for another of its line.
@@ -63,9 +64,9 @@ _NEXT = {t: line[(i + 1) % len(line)] for line in IDENTITY_TERMS for i, t in enu
 _TERMS = re.compile(r"\b(" + "|".join(sorted(_NEXT)) + r")\b", re.IGNORECASE)
 
 
-def swap_identity(text: str) -> str:
-    """The text with each identity term replaced by the next of its kind."""
-    return _TERMS.sub(lambda m: _NEXT[m.group().lower()], text)
+def swap_identity(text: str, to: str | None = None) -> str:
+    """The text with each identity term replaced by the next of its kind, or by `to`."""
+    return _TERMS.sub(lambda m: _NEXT[m.group().lower()] if to is None else to, text)
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,14 +131,14 @@ def _sums(idx: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarr
 
 
 def fit_weights(
-    rows: list[np.ndarray], labels: np.ndarray, swapped: list[np.ndarray | None], size: int, penalty: float = PENALTY, ridge: float = 1e-4, steps: int = 400
+    rows: list[np.ndarray], labels: np.ndarray, swapped: list[list[np.ndarray]], size: int, penalty: float = PENALTY, ridge: float = 1e-4, steps: int = 400
 ) -> tuple[np.ndarray, float]:
     """Logistic regression on sets of feature places, plus `penalty` times the mean squared change of the score
-    (before the logistic function) between a row and its counterfactual. Adam steps from zero."""
+    (before the logistic function) between a row and its counterfactuals. Adam steps from zero."""
     flat = lambda sets: (np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64))
     idx, off = flat(rows)
-    pair = [i for i, s in enumerate(swapped) if s is not None]
-    (ia, oa), (ib, ob) = flat([rows[i] for i in pair]), flat([swapped[i] for i in pair])
+    pair = [(rows[i], other) for i, others in enumerate(swapped) for other in others]
+    (ia, oa), (ib, ob) = flat([a for a, _ in pair]), flat([b for _, b in pair])
     rate = float(labels.mean())
     w, bias = np.zeros(size), np.log(rate / (1 - rate))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
@@ -183,17 +184,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
                 texts = part.column("text").to_pylist()
                 swapped = [swap_identity(t) for t in texts]
                 sets = []
-                for col in (texts, swapped):
+                for col in (texts, swapped, [swap_identity(t, "") for t in texts]):
                     doc, at = _chosen(pa.array(col, pa.string()), known)
                     sets.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), pa.array(at, pa.int64())))
                 named = pa.array([a != b for a, b in zip(texts, swapped)])
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), named, *sets], ["toxic", "named", "own", "swapped"])
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), named, *sets], ["toxic", "named", "own", "swapped", "unnamed"])
 
-    found = rows.mapInArrow(places, "toxic long, named boolean, own array<long>, swapped array<long>")
+    found = rows.mapInArrow(places, "toxic long, named boolean, own array<long>, swapped array<long>, unnamed array<long>")
     # an id with several documents brings more rows than labels: the bound holds for the rows too
     found = found.orderBy(F.xxhash64("own", "toxic")).limit(sample).collect()
     sets = [np.array(r.own, np.int64) for r in found]
-    other = [np.array(r.swapped, np.int64) if r.named else None for r in found]
+    other = [[np.array(r.swapped, np.int64), np.array(r.unnamed, np.int64)] if r.named else [] for r in found]
     weights, bias = fit_weights(sets, np.array([r.toxic for r in found], float), other, len(known), penalty)
     return Classifier(known, weights, bias)
 

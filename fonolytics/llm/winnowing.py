@@ -45,7 +45,8 @@ def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         return F.when(words[0] != "", whole).otherwise(F.array().cast("array<bigint>"))
 
     def kept(entries: Column) -> Column:
-        least = F.transform(entries, lambda e, i: F.least(e, *[F.get(entries, i + j) for j in range(1, window)]))
+        # the entry itself a second time: a window of one has no other
+        least = F.transform(entries, lambda e, i: F.least(e, e, *[F.get(entries, i + j) for j in range(1, window)]))
         return F.array_distinct(F.slice(least, F.lit(1), F.greatest(F.size(entries) - (window - 1), F.lit(1))))
 
     return let(let(F.split(plain(text), " "), packed), kept)

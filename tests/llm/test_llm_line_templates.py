@@ -69,7 +69,7 @@ def test_matches_the_plain_tree(spark):
 
 
 def test_variable_fields_and_first_document(spark):
-    rows = [(i, f"Own text number {'abcdefgh'[i]} here.\nPosted on 2024-01-0{i} by user{i} in news\nBuy the best {w} in this great town now today") for i, w in enumerate("tea milk rice beer wine salt corn".split())]
+    rows = [(i, f"{w} is what this one alone of them tells\nPosted on 2024-01-0{i} by user{i} in news\nBuy the best {w} in this great town now today") for i, w in enumerate("tea milk rice beer wine salt corn".split())]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     check(spark, docs)
     got = {r.doc_id: r for r in drop_recurring_lines(docs).collect()}

@@ -52,7 +52,7 @@ def test_penalty_removes_the_weight_of_a_group_name(spark):
 def test_weights_separate_and_bias_is_the_base_rate():
     rows = [np.array([0]) if i % 4 == 0 else np.array([1]) for i in range(200)]
     labels = np.array([float(i % 4 == 0) for i in range(200)])
-    w, b = fit_weights(rows, labels, [None] * 200, 2)
+    w, b = fit_weights(rows, labels, [[]] * 200, 2)
     z = np.array([b + w[r].sum() for r in rows])
     assert ((z > 0) == (labels == 1)).all()
 
