@@ -6,12 +6,17 @@ micro-batch improved. ``min`` is idempotent and order-free, so the sink is an
 append-only change log (plain parquet, no merge support needed) and a reader
 takes the ``min`` again: replaying a batch after a failure changes nothing.
 
-With ``watermark_delay`` the running minimum is kept per calendar day of the
-call (an event-time window) and Spark drops a day's state once the watermark
-passes it, so the state holds only the open days instead of every
-(source, client, month) ever seen. The reader's ``min`` over the days of a
-month is the month's first contact, so results are unchanged; calls arriving
-later than the delay are ignored, the usual watermark trade-off.
+By default no row is ever dropped: the state holds one row per (source,
+client, month), which is what the result holds too. A caller who accepts that
+calls older than a delay are ignored can pass ``watermark_delay``: the running
+minimum is then kept per calendar day of the call, and Spark drops a day's
+state once the watermark passes it. ``dropped_rows`` tells how many rows a
+query ignored that way; stored history is better read by the batch stage.
+A new outcome code is seen by a query from its next start on.
+
+The log holds one row per improvement. ``compact`` rewrites it to one row per
+group as a new version and then switches a pointer, so readers see the old or
+the new version, never a mixture.
 """
 
 from __future__ import annotations
@@ -28,8 +33,9 @@ from fonolytics.plans.materialize import ensure_checkpoint_dir
 
 _FIRST = "_first"
 _EVENT = "_evento"
+# Below the log's folder: improvements, compacted versions, and a pointer file per complete version.
+_LOG, _VERSION, _POINTER = "log", "version-", "complete-"
 GROUP_KEYS = ["fuente", "cu", "mes"]
-DEFAULT_WATERMARK = "31 days"
 
 
 def first_contact_updates(arms: DataFrame, watermark_delay: str | None = None) -> DataFrame:
@@ -54,11 +60,14 @@ def effective_attempt_stream(live: DataFrame, backup: DataFrame, keep_effective,
 def start_changelog_sink(
     updates: DataFrame, out_path: str, checkpoint: str, available_now: bool = True, name: str | None = None
 ) -> StreamingQuery:
-    """Append each micro-batch's improved groups to ``out_path`` (parquet)."""
+    """Append each micro-batch's improved groups to the log in ``out_path``.
+
+    A batch that is replayed after a failure is appended again; the reader's
+    minimum makes that harmless.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        cols = ["fuente", "cu", "mes", _FIRST]
-        batch.select(*cols).withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        batch.select(*GROUP_KEYS, _FIRST).write.mode("append").parquet(f"{out_path}/{_LOG}")
 
     w = updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     if name:
@@ -67,11 +76,59 @@ def start_changelog_sink(
     return w.start()
 
 
+def _paths(spark: SparkSession, out_path: str) -> tuple:
+    """Hadoop file system and path of the log's folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(out_path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _versions(spark: SparkSession, out_path: str) -> list[str]:
+    """Complete compacted versions, oldest first (a version counts once its pointer file is there)."""
+    fs, path = _paths(spark, out_path)
+    if not fs.exists(path(out_path)):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path(out_path))]
+    return sorted(n.removeprefix(_POINTER) for n in names if n.startswith(_POINTER))
+
+
+def read_log(spark: SparkSession, out_path: str) -> DataFrame:
+    """One row per group: the newest compacted version and all later improvements."""
+    log = spark.read.parquet(f"{out_path}/{_LOG}")
+    versions = _versions(spark, out_path)
+    if versions:
+        log = log.unionByName(spark.read.parquet(f"{out_path}/{_VERSION}{versions[-1]}"))
+    return log.groupBy(*GROUP_KEYS).agg(F.min(_FIRST).alias(_FIRST))
+
+
+def compact(spark: SparkSession, out_path: str) -> None:
+    """Rewrite the log to one row per group. Call it while no query writes to ``out_path``.
+
+    The new version is complete before its pointer is created; only then are
+    the log's files and the older versions removed. A crash in between leaves
+    rows twice, which the minimum makes harmless.
+    """
+    fs, path = _paths(spark, out_path)
+    old = _versions(spark, out_path)
+    name = f"{int(old[-1]) + 1 if old else 1:08d}"
+    log = f"{out_path}/{_LOG}"
+    schema = spark.read.parquet(log).schema
+    read_log(spark, out_path).write.mode("overwrite").parquet(f"{out_path}/{_VERSION}{name}")
+    fs.create(path(f"{out_path}/{_POINTER}{name}")).close()
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(log)
+    for v in old:
+        fs.delete(path(f"{out_path}/{_POINTER}{v}"), False)
+        fs.delete(path(f"{out_path}/{_VERSION}{v}"), True)
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows (partial minima per task) that the query's watermark made it ignore, over its recent progress."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+
+
 def read_first_contacts(spark: SparkSession, out_path: str) -> DataFrame:
     """Current first contacts from the change log, in the D5 layout."""
-    log = spark.read.parquet(out_path)
-    firsts = log.groupBy(*GROUP_KEYS).agg(F.min(_FIRST).alias(_FIRST))
-    return firsts.select(
+    return read_log(spark, out_path).select(
         "fuente", "mes", "cu",
         F.col(f"{_FIRST}.wrap_up").alias("wrap_up"),
         F.col(f"{_FIRST}.telefono").alias("telefono"),
@@ -89,7 +146,7 @@ def start_first_contact_stream(
     checkpoint: str,
     fmt: str = "parquet",
     available_now: bool = False,
-    watermark_delay: str | None = DEFAULT_WATERMARK,
+    watermark_delay: str | None = None,
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Keep first contacts current from two folders of attempt files.
@@ -114,10 +171,10 @@ def start_first_contact_stream(
 
 
 def run_fixture_stream(
-    spark: SparkSession, sf_dir: str, cfg: ProfileConfig, watermark_delay: str | None = DEFAULT_WATERMARK
+    spark: SparkSession, sf_dir: str, cfg: ProfileConfig, watermark_delay: str | None = None
 ) -> DataFrame:
     """The streaming job over the test tables: line items arrive as a file
-    stream, joined to the static orders (stream-static join), and the result
+    stream (one file per micro-batch), joined to the static orders (stream-static join), and the result
     is read back from the change log written to the shared checkpoint folder."""
     from fonolytics.operators.attempts import outcome_filter
     from fonolytics.sources import fixtures as fx

@@ -42,7 +42,7 @@ def test_late_earlier_call_improves_first_contact(spark, tmp_path, watermark):
     got = read_first_contacts(spark, out)
     assert [(r.fuente, r.cu, r.telefono, r.orden) for r in got.collect()] == [("live", 1, "900000001", 1)]
     # the log holds one row per improvement, and re-reading it is idempotent
-    assert spark.read.parquet(out).count() == 2
+    assert spark.read.parquet(out + "/log").count() == 2
     assert got.select(F.count("*")).first()[0] == 1
 
 
@@ -85,3 +85,62 @@ def test_stream_from_attempt_folders_matches_batch(spark, tmp_path):
     got = read_first_contacts(spark, str(tmp_path / "log"))
     want = ContactStages(t, FIXTURE_CONFIG).d5_first_contacts
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_many_files_and_batches_lose_nothing(spark, tmp_path):
+    """Line items in several files, in no order of time, one file per micro-batch: equal to the batch stage."""
+    import os
+
+    from conftest import SF001
+    from fonolytics.config import FIXTURE_CONFIG
+    from fonolytics.plans.catalog import all_queries
+    from fonolytics.streaming.first_contact import run_fixture_stream
+
+    for name in os.listdir(SF001):
+        if not name.startswith("lineitem"):
+            os.symlink(f"{SF001}/{name}", tmp_path / name)
+    lines = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    lines.repartition(5, "l_linenumber", "l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = run_fixture_stream(spark, str(tmp_path), FIXTURE_CONFIG)
+    want = all_queries()["first_contact_per_period"](spark, SF001)
+    assert want.count() > 500 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_opt_in_watermark_reports_what_it_drops(spark, tmp_path):
+    import datetime as dt
+
+    from fonolytics.streaming.first_contact import dropped_rows
+
+    src, empty, out, state = tmp_path / "live", tmp_path / "bkp", str(tmp_path / "log"), str(tmp_path / "state")
+    spark.createDataFrame([], ATTEMPT_SCHEMA).write.parquet(str(empty / "b0"))
+    keep = outcome_filter(spark.createDataFrame(OUTCOMES, "conlusion_cloud string, tipo_resultado string"), CFG)
+    dropped = []
+    for name, day in (("b1", dt.datetime(2026, 3, 15, 9)), ("b2", dt.datetime(2026, 3, 16, 9)), ("b3", dt.datetime(2026, 1, 1, 9))):
+        spark.createDataFrame([attempt(f"{day:%Y%m}", 1, "CE", P, day)], ATTEMPT_SCHEMA).write.parquet(str(src / name))
+        live = spark.readStream.schema(ATTEMPT_SCHEMA).parquet(str(src / "*"))
+        bkp = spark.readStream.schema(ATTEMPT_SCHEMA).parquet(str(empty / "*"))
+        q = start_changelog_sink(first_contact_updates(effective_attempt_stream(live, bkp, keep, CFG), "1 day"), out, state)
+        q.awaitTermination()
+        dropped.append(dropped_rows(q))
+    assert dropped == [0, 0, 1]
+    assert {r.mes for r in read_first_contacts(spark, out).collect()} == {"202603"}
+
+
+def test_compaction_keeps_the_result_and_later_improvements(spark, tmp_path):
+    from fonolytics.streaming.first_contact import compact
+
+    src, empty, out, state = tmp_path / "live", tmp_path / "bkp", str(tmp_path / "log"), str(tmp_path / "state")
+    spark.createDataFrame([], ATTEMPT_SCHEMA).write.parquet(str(empty / "b0"))
+    keep = outcome_filter(spark.createDataFrame(OUTCOMES, "conlusion_cloud string, tipo_resultado string"), CFG)
+    for i, (phone, day) in enumerate((("51900000003", 9), ("51900000002", 5), ("51900000001", 1))):
+        spark.createDataFrame([attempt("202603", 1, "CE", phone, ts(day), i)], ATTEMPT_SCHEMA).write.parquet(str(src / f"b{i}"))
+        live = spark.readStream.schema(ATTEMPT_SCHEMA).parquet(str(src / "*"))
+        bkp = spark.readStream.schema(ATTEMPT_SCHEMA).parquet(str(empty / "*"))
+        start_changelog_sink(first_contact_updates(effective_attempt_stream(live, bkp, keep, CFG)), out, state).awaitTermination()
+        before = read_first_contacts(spark, out).collect()
+        compact(spark, out)
+        assert read_first_contacts(spark, out).collect() == before and before[0].telefono == phone[-9:]
+        assert spark.read.parquet(out + "/log").count() == 0
+    import os
+
+    assert sorted(n for n in os.listdir(out) if not n.startswith(".")) == ["complete-00000003", "log", "version-00000003"]
