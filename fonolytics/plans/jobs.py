@@ -193,13 +193,9 @@ def _sql_phone_rescore(cfg: ProfileConfig, with_fixture: bool = True) -> str:
         f"select codunicocli, {k} as posicion, cast(tlf{k}_limpio as varchar) as telefono from d10 where tlf{k}_limpio is not null"
         for k in range(1, n + 1)
     )
-    clean = ", ".join(
-        f"case when cast(telefono{k} as varchar) = '0' then null else telefono{k} end as tlf{k}_limpio"
-        for k in range(1, n + 1)
-    )
     cols = ",\n       ".join(f"max(case when nueva_posicion = {k} then telefono end) as telefono{k}" for k in range(1, n + 1))
     extra = [
-        ("d10", f"select *, {clean} from d6"),
+        ("d10", f"select *, {o.clean_slots(cfg)} from d6"),
         ("effective_codes", f"""select conlusion_cloud from conclusiones
 where tipo_resultado in ({o.in_list(cfg.outcome_types)})"""),
         ("calls", f"""select contact_id as cu, periodo as mes, right(dnis, {cfg.phone_digits}) as telefono
