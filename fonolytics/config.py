@@ -36,6 +36,10 @@ FLAG_NO = "NO"
 POSITIONS_PREFIX = "SI - pos "
 # Month labels of the eight-month window, in order.
 MONTH_LABELS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto")
+# Names of all months, for other windows.
+MONTH_NAMES = (*MONTH_LABELS, "septiembre", "octubre", "noviembre", "diciembre")
+# Periods of the original window.
+PERIODS = ("202601", "202602", "202603", "202604", "202605", "202606", "202607", "202608")
 # Digits of the dialled number that identify a phone.
 PHONE_DIGITS = 9
 # Value that marks an empty phone slot.
@@ -48,6 +52,12 @@ SOURCE_LIVE = "live"
 SOURCE_BACKUP = "bkp"
 
 
+def month_labels(periods: tuple[str, ...]) -> tuple[str, ...]:
+    """The month's name per ``yyyyMM`` period, with the year where a name occurs twice; other periods name themselves."""
+    names = [MONTH_NAMES[int(p[4:]) - 1] if len(p) == 6 and p.isdigit() and 1 <= int(p[4:]) <= 12 else f"m{p}" for p in periods]
+    return tuple(n if names.count(n) == 1 else f"{n}_{p[:4]}" for n, p in zip(names, periods))
+
+
 @dataclass(frozen=True)
 class ProfileConfig:
     """One run of the profile / alert jobs.
@@ -57,9 +67,7 @@ class ProfileConfig:
     The last period is the target month unless ``target`` says otherwise.
     """
 
-    periods: tuple[str, ...] = (
-        "202601", "202602", "202603", "202604", "202605", "202606", "202607", "202608",
-    )
+    periods: tuple[str, ...] = PERIODS
     labels: tuple[str, ...] = MONTH_LABELS
     target: str | None = None
     backup_min_period: int = 202601
@@ -74,9 +82,9 @@ class ProfileConfig:
     numeric_positions: bool = False   # "1,2,10" instead of "1,10,2" (S17)
     normalise_phones: bool = False    # last digits on assigned phones too (S15)
     normalise_text: bool = False      # lower/trim codes, campaigns, stages (S24)
-    # Largest outcome catalogue turned into a literal IN filter; a larger one
-    # is joined instead (see operators.attempts.outcome_filter).
-    max_inlist_codes: int = 50_000
+    # Which row the snapshot takes of a client assigned twice in the target
+    # month; columns that the table lacks are passed over.
+    snapshot_order: tuple[str, ...] = ("id_asignacion",)
 
     def __post_init__(self):
         if len(self.periods) != len(self.labels):

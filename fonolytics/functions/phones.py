@@ -50,9 +50,14 @@ def position_list(positions: Column, numeric: bool = False) -> Column:
     ``positions`` must be an aggregate-ready integer column; the set holds at
     most one entry per phone slot, so it is bounded by the slot count.
     """
+    return joined_positions(F.collect_set(positions), numeric)
+
+
+def joined_positions(positions: Column, numeric: bool = False) -> Column:
+    """An array of distinct positions as ``position_list`` shows it."""
     if numeric:
-        return F.array_join(F.transform(F.array_sort(F.collect_set(positions)), lambda x: x.cast("string")), ",")
-    return F.array_join(F.array_sort(F.collect_set(positions.cast("string"))), ",")
+        return F.array_join(F.transform(F.array_sort(positions), lambda x: x.cast("string")), ",")
+    return F.array_join(F.array_sort(F.transform(positions, lambda x: x.cast("string"))), ",")
 
 
 def first_row(*order_and_payload: Column) -> Column:

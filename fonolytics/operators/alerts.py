@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fonolytics.config import (
@@ -16,7 +16,8 @@ from fonolytics.config import (
 )
 from fonolytics.functions.phones import phone_key
 
-ALERT_COLUMNS = ["codunicocli", "mes_alerta", "telefono", "posicion_en_asignacion", "tipo_alerta"]
+# Columns of the profile rows that the alerts work on: copies of the client's row, and the arrays of row_facts.
+COPIES, CONTACTS, SLOTS = "_copias", "_contactos", "_tlf"
 
 
 def contact_phones_long(profile: DataFrame, cfg: ProfileConfig) -> DataFrame:
@@ -51,55 +52,75 @@ def assigned_phones_long(profile: DataFrame, cfg: ProfileConfig) -> DataFrame:
     )
 
 
-def alerts_priority(contacts_long: DataFrame, assigned_long: DataFrame) -> DataFrame:
+def row_facts(profile: DataFrame, cfg: ProfileConfig) -> DataFrame:
+    """The profile rows with two arrays: ``_contactos`` (mes, telefono) and ``_tlf`` (posicion, telefono).
+
+    Contacts and slots of a client are columns of its own row, so matching
+    them needs no join: everything below is an expression over one row.
+    """
+    contacts = [
+        F.when((F.col(label) == LABEL_CONTACTED) & F.col(f"{label}_tlf").isNotNull(),
+               F.struct(F.lit(label).alias("mes"), phone_key(f"{label}_tlf").alias("telefono")))
+        for label in cfg.labels
+    ]
+    digits = cfg.phone_digits if cfg.normalise_phones else None
+    slots = [
+        F.when(F.col(clean).isNotNull(), F.struct(F.lit(k).alias("posicion"), phone_key(clean, digits).alias("telefono")))
+        for k, clean in enumerate(cfg.clean_cols, start=1)
+    ]
+    return profile.withColumns({CONTACTS: F.array_compact(F.array(*contacts)), SLOTS: F.array_compact(F.array(*slots))})
+
+
+def _alert(mes: Column, phone: Column, position: Column, kind: Column) -> Column:
+    return F.struct(mes.alias("mes"), phone.alias("telefono"), position.alias("posicion"), kind.alias("tipo"))
+
+
+def _priority_rows() -> Column:
+    """Each contact against the row's slots; a match once per copy of the client's row (S2: n rows match n rows)."""
+    none = F.lit(None).cast("int")
+
+    def against(c: Column) -> Column:
+        same = F.filter(SLOTS, lambda s: s["telefono"] == c["telefono"])
+        kind = lambda s: F.when(s["posicion"] == 1, F.lit(ALERT_OK)).otherwise(F.lit(ALERT_A1))
+        found = F.transform(same, lambda s: _alert(c["mes"], c["telefono"], s["posicion"], kind(s)))
+        missing = F.array(_alert(c["mes"], c["telefono"], none, F.lit(ALERT_A2)))
+        return F.when(F.size(same) == 0, missing).otherwise(F.flatten(F.array_repeat(found, F.col(COPIES))))
+
+    return F.flatten(F.transform(CONTACTS, against))
+
+
+def _dead_rows() -> Column:
+    """The row's slots whose phone none of its contacts used."""
+    unused = F.filter(SLOTS, lambda s: ~F.exists(CONTACTS, lambda c: c["telefono"] == s["telefono"]))
+    return F.transform(unused, lambda s: _alert(F.lit(None).cast("string"), s["telefono"], s["posicion"], F.lit(ALERT_A3)))
+
+
+def alerts_priority(facts: DataFrame) -> DataFrame:
     """Each effective (client, month, phone) against the assigned slots.
 
     Slot 1 -> 'ok'; another slot -> A1; no slot -> A2. A phone sitting in
     slot 1 and slot n gives both 'ok' and A1 (S13).
     """
-    t, ta = contacts_long.alias("t"), assigned_long.alias("ta")
-    cond = (F.col("ta.codunicocli") == F.col("t.codunicocli")) & (F.col("ta.telefono") == F.col("t.telefono_ce"))
-    pos = F.col("ta.posicion")
-    return t.join(ta, cond, "left").select(
-        F.col("t.codunicocli").alias("codunicocli"),
-        F.col("t.mes").alias("mes"),
-        F.col("t.telefono_ce").alias("telefono_ce"),
-        pos.alias("posicion_en_asignacion"),
-        F.when(pos == 1, F.lit(ALERT_OK)).when(pos.isNotNull(), F.lit(ALERT_A1)).otherwise(F.lit(ALERT_A2)).alias("tipo_alerta"),
+    return facts.select("codunicocli", F.inline(_priority_rows())).select(
+        "codunicocli", "mes", F.col("telefono").alias("telefono_ce"), F.col("posicion").alias("posicion_en_asignacion"), F.col("tipo").alias("tipo_alerta")
     )
 
 
-def alerts_dead_phones(assigned_long: DataFrame, contacts_long: DataFrame) -> DataFrame:
+def alerts_dead_phones(facts: DataFrame) -> DataFrame:
     """D16 (A3): assigned phones that were never the phone of a first effective
-    contact in an assigned month (S9). NOT EXISTS as a left anti join; a null
-    client matches nothing, so its phones are all A3 (S20)."""
-    ta, t = assigned_long.alias("ta"), contacts_long.alias("t")
-    cond = (F.col("t.codunicocli") == F.col("ta.codunicocli")) & (F.col("t.telefono_ce") == F.col("ta.telefono"))
-    return ta.join(t, cond, "left_anti").select(
-        F.col("ta.codunicocli").alias("codunicocli"),
-        F.col("ta.posicion").alias("posicion_en_asignacion"),
-        F.col("ta.telefono").alias("telefono"),
-        F.lit(ALERT_A3).alias("tipo_alerta"),
+    contact in an assigned month (S9). A null client has no contacts, so its
+    phones are all A3 (S20)."""
+    return facts.select("codunicocli", F.inline(_dead_rows())).select(
+        "codunicocli", F.col("posicion").alias("posicion_en_asignacion"), "telefono", F.col("tipo").alias("tipo_alerta")
     )
 
 
-def phone_alerts(priority: DataFrame, dead: DataFrame, ordered: bool = True) -> DataFrame:
-    """D17 (Query 2): A1/A2 rows with their month, then A3 rows with a null month."""
-    a12 = priority.where(F.col("tipo_alerta") != ALERT_OK).select(
-        "codunicocli",
-        F.col("mes").alias("mes_alerta"),
-        F.col("telefono_ce").alias("telefono"),
-        "posicion_en_asignacion",
-        "tipo_alerta",
-    )
-    a3 = dead.select(
-        "codunicocli",
-        F.lit(None).cast("string").alias("mes_alerta"),
-        "telefono",
-        "posicion_en_asignacion",
-        "tipo_alerta",
+def phone_alerts(facts: DataFrame, ordered: bool = True) -> DataFrame:
+    """D17 (Query 2): A1/A2 rows with their month and A3 rows with a null month, in one pass over the profile rows."""
+    rows = F.concat(F.filter(_priority_rows(), lambda a: a["tipo"] != ALERT_OK), _dead_rows())
+    out = facts.select("codunicocli", F.inline(rows)).select(
+        "codunicocli", F.col("mes").alias("mes_alerta"), "telefono", F.col("posicion").alias("posicion_en_asignacion"), F.col("tipo").alias("tipo_alerta")
     )
-    out = a12.unionByName(a3)
     # Month order is alphabetical, as in the scripts.
     return out.orderBy("codunicocli", "tipo_alerta", "mes_alerta") if ordered else out
 

@@ -8,26 +8,25 @@ from pyspark.sql import functions as F
 from fonolytics.config import ProfileConfig
 from fonolytics.functions.phones import clean_phone
 
-# Order that picks the snapshot row of a client assigned twice in the target
-# month; the scripts leave it arbitrary.
-SNAPSHOT_ORDER = ("id_asignacion",)
-
-
 def assignment_snapshot(
-    asignacion: DataFrame, cfg: ProfileConfig, order: tuple[str, ...] = SNAPSHOT_ORDER
+    asignacion: DataFrame, cfg: ProfileConfig, order: tuple[str, ...] | None = None
 ) -> DataFrame:
     """Clients assigned in the target month in the configured stages, one row each.
 
     Keeps every assignment column plus ``rn`` (always 1), as the scripts'
-    ``c.*`` does (S25). The row is the smallest by ``order``; a null client id
+    ``c.*`` does (S25). The row is the smallest by ``order`` (by default the
+    configured one; the scripts leave it arbitrary, S5), then by the other columns; a null client id
     forms one group of its own and keeps one row (S20). Aggregated with
     ``min(struct)``, which combines map-side before the shuffle.
     """
     cols = asignacion.columns
+    # a table without these columns is ordered by all the columns that it has
+    order = tuple(c for c in (order or cfg.snapshot_order) if c in cols)
     snap = asignacion.where(
         (F.col("codmes") == F.lit(cfg.target_period)) & F.col("tramo_asignacion").isin(list(cfg.stages))
     )
-    payload = [c for c in cols if c != "codunicocli"]
+    # by name, so that ties do not depend on the order of the file's columns
+    payload = sorted(c for c in cols if c != "codunicocli")
     picked = snap.groupBy("codunicocli").agg(
         F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *payload)).alias("_row")
     )
@@ -49,7 +48,8 @@ def presence_matrix(asignacion: DataFrame, cfg: ProfileConfig) -> DataFrame:
         & F.col("tramo_asignacion").isin(list(cfg.stages))
     )
     return inside.groupBy(F.col("codunicocli").alias("cu")).agg(
-        F.count_distinct("codmes").alias("meses_asignados"),
+        # a set of the window's months per client: one exchange, where count_distinct needs two
+        F.size(F.collect_set("codmes")).cast("bigint").alias("meses_asignados"),
         *[
             F.max(F.when(F.col("codmes") == p, F.lit(1)).otherwise(F.lit(0))).alias(f"pres_{label}")
             for p, label in cfg.months

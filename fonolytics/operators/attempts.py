@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fonolytics.config import SOURCE_BACKUP, SOURCE_LIVE, ProfileConfig
 from fonolytics.functions.phones import first_row, last_digits
 from fonolytics.operators.ranking import row_number_by_range
+from fonolytics.plans.materialize import materialize
 from fonolytics.sources.tables import ContactTables
 
 # Columns that make the order of attempts total (S4): time first, then our
@@ -24,42 +25,35 @@ def effective_outcomes(conclusiones: DataFrame, cfg: ProfileConfig) -> DataFrame
     )
 
 
+def effective_codes(conclusiones: DataFrame, cfg: ProfileConfig) -> DataFrame:
+    """(conclusion, copies): the effective codes with how often the catalogue lists them.
+
+    Written once to the shared folder and read back, so Spark plans the joins
+    with its true size: a small catalogue is broadcast, a large one shuffled.
+    """
+    effective = effective_outcomes(conclusiones, cfg).where(F.col("conclusion").isNotNull())
+    return materialize(effective.groupBy("conclusion").agg(F.count(F.lit(1)).cast("int").alias("copies")), "checkpoint")
+
+
 def outcome_filter(
-    conclusiones: DataFrame, cfg: ProfileConfig, replicate: bool = True
+    conclusiones: DataFrame, cfg: ProfileConfig, replicate: bool = True, codes: DataFrame | None = None
 ) -> Callable[[DataFrame], DataFrame]:
-    """How attempts are restricted to effective outcomes.
+    """How attempts are restricted to effective outcomes: a join with ``effective_codes``.
 
     The scripts inner-join attempts to the outcome catalogue, so an attempt
     appears once per catalogue row of its code: normally once, k times for a
     code listed k times (S3). ``replicate`` keeps those copies (the attempt
     lists); without it each attempt appears once (first contacts, where the
     copies vanish anyway, and call counts).
-
-    The catalogue is small by nature. It is read with a row cap of
-    ``max_inlist_codes + 1`` distinct codes: within the cap the codes become a
-    literal IN list, which Spark pushes into the attempt scan (row-group
-    skipping on a dictionary-encoded column) and which needs no join and no
-    shuffle; codes listed more than once are replicated by a generator. A
-    shuffled join on a handful of codes would put all attempts into a handful
-    of tasks, hence the IN list. Beyond the cap the catalogue is joined
-    (inner, or semi without ``replicate``) and Spark picks the join by its own
-    size estimate.
     """
-    effective = effective_outcomes(conclusiones, cfg).where(F.col("conclusion").isNotNull())
-    counted = effective.groupBy("conclusion").agg(F.count(F.lit(1)).alias("copies"))
-    rows = counted.limit(cfg.max_inlist_codes + 1).collect()
-    if len(rows) > cfg.max_inlist_codes:
-        how = "inner" if replicate else "left_semi"
-        return lambda df: df.join(effective, df.wrap_up == effective.conclusion, how).drop("conclusion")
-    codes = sorted(r.conclusion for r in rows)
-    repeated = sorted((r.conclusion, r.copies) for r in rows if r.copies > 1) if replicate else []
+    found = codes if codes is not None else effective_codes(conclusiones, cfg)
 
     def keep(df: DataFrame) -> DataFrame:
-        out = df.where(F.col("wrap_up").isin(codes))
-        if not repeated:
-            return out
-        copies = F.create_map(*[x for code, n in repeated for x in (F.lit(code), F.lit(n))])[F.col("wrap_up")]
-        return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce(copies, F.lit(1))))).drop("_copy")
+        match = df["wrap_up"] == found["conclusion"]
+        if not replicate:
+            return df.join(found, match, "left_semi")
+        copied = df.join(found, match).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+        return copied.drop("_copy", "copies", "conclusion")
 
     return keep
 
@@ -83,7 +77,8 @@ def _arm(
         "wrap_up",
         last_digits("dnis", cfg.phone_digits).alias("telefono"),
         "fecha_key",
-        "id_intento",
+        # the source tables have no attempt id: the other columns of the order then decide
+        (F.col("id_intento") if "id_intento" in intentos.columns else F.lit(None).cast("bigint")).alias("id_intento"),
         "dnis",
     )
 

@@ -39,8 +39,8 @@ def product_lines(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 def client_360(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Per client, number of products, total capital, total debt and payoff amount.
 
-    Clients without products appear with zeros. Look-ups by client id, name or
-    segment are filters on this result and push down to the customer scan.
+    Clients without products appear with zeros. For some clients only, use
+    ``client_lookup``: a filter on this result would still combine all lines.
     """
     per_client = product_lines(orders, lineitem).groupBy("c_custkey").agg(
         F.count(F.lit(1)).alias("n_productos"),
@@ -86,3 +86,14 @@ def lookup(df: DataFrame, **equals) -> DataFrame:
         cond = c if cond is None else cond & c
     return df.where(cond) if cond is not None else df
 
+
+def client_lookup(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, which: Column) -> DataFrame:
+    """``client_360`` of the clients that ``which`` (over customer columns) picks.
+
+    The clients are picked first and restrict the orders, and those the lines,
+    by semi joins, before anything is combined.
+    """
+    clients = customer.where(which)
+    own = orders.join(clients.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    lines = lineitem.join(own.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    return client_360(clients, own, lines)

@@ -88,13 +88,15 @@ def client_profile(
     summary: DataFrame,
     cfg: ProfileConfig,
     columns: list[str] | None = None,
+    copies: str | None = None,
 ) -> DataFrame:
     """D12 (Query 1): snapshot left-joined to presence and the contact summary.
 
     ``summary`` is ``contact_summary`` (D8 + D9). ``columns`` restricts the
     snapshot columns carried; by default all of them (``c.*``). Both joins
     are on the client id, and both right sides come out of aggregations
-    hash-partitioned on it.
+    hash-partitioned on it. ``copies`` names an extra column with the number
+    of rows that the client has (S2).
     """
     c = snapshot.alias("c")
     keep = columns if columns is not None else snapshot.columns
@@ -108,6 +110,7 @@ def client_profile(
         *[F.col(f"p.pres_{label}").alias(f"_pres_{label}") for label in cfg.labels],
         *[F.col(f"h.{label}_res").alias(f"_res_{label}") for label in cfg.labels],
         *[F.col(f"h.{label}_tlf").alias(f"_tlf_{label}") for label in cfg.labels],
+        F.greatest(F.coalesce(F.size("h._target"), F.lit(0)), F.lit(1)).alias("_n"),
         F.explode_outer(F.col("h._target")).alias("_t"),
     )
     return flat.select(
@@ -122,4 +125,5 @@ def client_profile(
             res=lambda label: F.col(f"_res_{label}"),
             tlf=lambda label: F.col(f"_tlf_{label}"),
         ),
+        *([F.col("_n").alias(copies)] if copies else []),
     )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fonolytics.config import ALERT_A1, ALERT_A2, ALERT_A3, FLAG_NO, FLAG_YES, POSITIONS_PREFIX, ProfileConfig
-from fonolytics.functions.phones import position_list
+from fonolytics.functions.phones import joined_positions, position_list
+from fonolytics.operators.alerts import CONTACTS, COPIES, SLOTS
 
 
 def a1_positions(priority: DataFrame, cfg: ProfileConfig) -> DataFrame:
@@ -30,74 +31,26 @@ def a3_positions(dead: DataFrame, cfg: ProfileConfig) -> DataFrame:
     )
 
 
-def client_profile_alerts(
-    profile: DataFrame, a1: DataFrame, a2: DataFrame, a3: DataFrame
-) -> DataFrame:
-    """D22 (Query 4): the profile plus four alert columns.
+def client_profile_alerts(facts: DataFrame, cfg: ProfileConfig) -> DataFrame:
+    """D22 (Query 4): the profile plus four alert columns, from the row's own contacts and slots.
 
-    The three alert tables hold one row per client, so the profile keeps its
-    row count (including the S2 duplicates). A null client id matches none
-    of them and reads 'NO' (S20).
+    The lists are distinct per client and equal on every copy of its row, so
+    each row makes its own: no join and no shuffle after the profile. A null
+    client id reads 'NO' (S20).
     """
-    b = profile.alias("b")
-    x1, x2, x3 = a1.alias("a1"), a2.alias("a2"), a3.alias("a3")
-    joined = (
-        b.join(x1, F.col("a1.codunicocli") == F.col("b.codunicocli"), "left")
-        .join(x2, F.col("a2.codunicocli") == F.col("b.codunicocli"), "left")
-        .join(x3, F.col("a3.codunicocli") == F.col("b.codunicocli"), "left")
-    )
-    has1, has2, has3 = (F.col(f"{t}.codunicocli").isNotNull() for t in ("a1", "a2", "a3"))
-    return joined.select(
-        *[F.col(f"b.{c}").alias(c) for c in profile.columns],
-        F.when(has1 | has2 | has3, F.lit(FLAG_YES)).otherwise(F.lit(FLAG_NO)).alias("necesita_revision"),
-        F.when(has1, F.concat(F.lit(POSITIONS_PREFIX), F.col("a1.posiciones"))).otherwise(F.lit(FLAG_NO)).alias("A1_score_mal_priorizado"),
-        F.when(has2, F.lit(FLAG_YES)).otherwise(F.lit(FLAG_NO)).alias("A2_telefono_no_asignado"),
-        F.when(has3, F.concat(F.lit(POSITIONS_PREFIX), F.col("a3.posiciones"))).otherwise(F.lit(FLAG_NO)).alias("A3_telefono_sin_contacto"),
-    )
-
-
-def _sorted_positions(positions, numeric: bool):
-    """Comma list of a set of integer positions, as text order or numeric order."""
-    if numeric:
-        return F.array_join(F.transform(F.array_sort(positions), lambda x: x.cast("string")), ",")
-    return F.array_join(F.array_sort(F.transform(positions, lambda x: x.cast("string"))), ",")
-
-
-def alert_columns(priority: DataFrame, dead: DataFrame, cfg: ProfileConfig) -> DataFrame:
-    """D19, D20 and D21 as one table: per client, A1 positions, an A2 flag and A3 positions.
-
-    One aggregation over the union of the A1/A2 and A3 rows, so the report
-    joins the profile once instead of three times. The position sets hold at
-    most one entry per slot.
-    """
-    tipo, pos = F.col("tipo_alerta"), F.col("posicion_en_asignacion")
-    rows = priority.where(tipo.isin(ALERT_A1, ALERT_A2)).select("codunicocli", "tipo_alerta", "posicion_en_asignacion")
-    rows = rows.unionByName(dead.select("codunicocli", "tipo_alerta", "posicion_en_asignacion"))
-    agg = rows.groupBy("codunicocli").agg(
-        F.collect_set(F.when(tipo == ALERT_A1, pos)).alias("_a1"),
-        F.max((tipo == ALERT_A2).cast("int")).alias("_a2"),
-        F.collect_set(F.when(tipo == ALERT_A3, pos)).alias("_a3"),
-    )
-    return agg.select(
-        "codunicocli",
-        F.when(F.size("_a1") > 0, _sorted_positions(F.col("_a1"), cfg.numeric_positions)).alias("a1_posiciones"),
-        (F.col("_a2") == 1).alias("a2"),
-        F.when(F.size("_a3") > 0, _sorted_positions(F.col("_a3"), cfg.numeric_positions)).alias("a3_posiciones"),
-    )
-
-
-def client_profile_alerts_joined(profile: DataFrame, columns: DataFrame) -> DataFrame:
-    """D22 (Query 4) with the three alert tables folded into ``alert_columns``: one join."""
-    b, x = profile.alias("b"), columns.alias("x")
-    joined = b.join(x, F.col("x.codunicocli") == F.col("b.codunicocli"), "left")
-    has1 = F.col("x.a1_posiciones").isNotNull()
-    has2 = F.coalesce(F.col("x.a2"), F.lit(False))
-    has3 = F.col("x.a3_posiciones").isNotNull()
-    return joined.select(
-        *[F.col(f"b.{c}").alias(c) for c in profile.columns],
-        F.when(has1 | has2 | has3, F.lit(FLAG_YES)).otherwise(F.lit(FLAG_NO)).alias("necesita_revision"),
-        F.when(has1, F.concat(F.lit(POSITIONS_PREFIX), F.col("x.a1_posiciones"))).otherwise(F.lit(FLAG_NO)).alias("A1_score_mal_priorizado"),
-        F.when(has2, F.lit(FLAG_YES)).otherwise(F.lit(FLAG_NO)).alias("A2_telefono_no_asignado"),
-        F.when(has3, F.concat(F.lit(POSITIONS_PREFIX), F.col("x.a3_posiciones"))).otherwise(F.lit(FLAG_NO)).alias("A3_telefono_sin_contacto"),
-    )
-
+    known = F.col("codunicocli").isNotNull()
+    used = lambda s: F.exists(CONTACTS, lambda c: c["telefono"] == s["telefono"])
+    wrong = F.filter(SLOTS, lambda s: (s["posicion"] > 1) & used(s))
+    dead = F.filter(SLOTS, lambda s: ~used(s))
+    missing = known & F.exists(CONTACTS, lambda c: ~F.exists(SLOTS, lambda s: s["telefono"] == c["telefono"]))
+
+    def places(slots: Column) -> Column:
+        text = joined_positions(F.transform(slots, lambda s: s["posicion"]), cfg.numeric_positions)
+        return F.when(known & (F.size(slots) > 0), F.concat(F.lit(POSITIONS_PREFIX), text)).otherwise(F.lit(FLAG_NO))
+
+    a1, a2, a3 = "A1_score_mal_priorizado", "A2_telefono_no_asignado", "A3_telefono_sin_contacto"
+    out = facts.withColumns({a1: places(wrong), a2: F.when(missing, F.lit(FLAG_YES)).otherwise(F.lit(FLAG_NO)), a3: places(dead)})
+    quiet = (F.col(a1) == FLAG_NO) & (F.col(a2) == FLAG_NO) & (F.col(a3) == FLAG_NO)
+    flag = F.when(quiet, F.lit(FLAG_NO)).otherwise(F.lit(FLAG_YES)).alias("necesita_revision")
+    own = [c for c in facts.columns if c not in (COPIES, CONTACTS, SLOTS)]
+    return out.select(*own, flag, a1, a2, a3)

@@ -18,7 +18,7 @@ from fonolytics.sources.fixtures import fixture_tables
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
-def stages_for(spark: SparkSession, sf_dir: str, cfg: ProfileConfig = FIXTURE_CONFIG, base: str = "checkpoint") -> ContactStages:
+def stages_for(spark: SparkSession, sf_dir: str, cfg: ProfileConfig = FIXTURE_CONFIG, base: str = "none") -> ContactStages:
     return ContactStages(fixture_tables(spark, sf_dir, cfg), cfg, base=base)
 
 

@@ -16,52 +16,68 @@ computing from all attempts (tested).
 
 from __future__ import annotations
 
-import re
+import hashlib
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fonolytics.config import ProfileConfig
 from fonolytics.operators.attempts import first_contacts
 from fonolytics.plans.stages import ContactStages
 from fonolytics.sources.tables import string_partitions
 
 STORE_COLUMNS = ["fuente", "cu", "wrap_up", "telefono", "orden", "mes"]
-_MONTH_DIR = re.compile(r"/mes=([^/]+)/")
+STORE_SCHEMA = "fuente string, cu bigint, wrap_up string, telefono string, orden bigint, mes string"
 
 
-def stored_months(spark: SparkSession, store: str) -> set[str]:
-    """Months present in the store, from the file listing (no data read)."""
-    try:
-        with string_partitions(spark):
-            files = spark.read.parquet(store).inputFiles()
-    except Exception:  # no store yet
+def settings_folder(store: str, cfg: ProfileConfig) -> str:
+    """The part of the store for the settings that first contacts depend on; other settings have another."""
+    settings = [cfg.campaigns, cfg.outcome_types, cfg.phone_digits, cfg.backup_min_period, cfg.normalise_text, cfg.dedup]
+    return f"{store.rstrip('/')}/ajustes={hashlib.sha256(json.dumps(settings).encode()).hexdigest()[:16]}"
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def stored_months(spark: SparkSession, folder: str) -> set[str]:
+    """Months present in a settings folder, from its folder names. Only a missing folder means none."""
+    fs, path = _folder(spark, folder)
+    if not fs.exists(path):
         return set()
-    return {m.group(1) for f in files if (m := _MONTH_DIR.search(f))}
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    return {n.removeprefix("mes=") for n in names if n.startswith("mes=")}
 
 
 def refresh_store(stages: ContactStages, store: str, recompute: Iterable[str] | None = None) -> list[str]:
-    """Compute and write the window's months that are missing or to be redone; return them."""
+    """Compute and write the window's months that are missing or to be redone; return them.
+
+    A month's old rows are removed first: a run that breaks off leaves it
+    missing, and the next run computes it again. A month without contacts has
+    no folder, so it is looked at again by each run.
+    """
     cfg = stages.cfg
     spark = stages.tables.intentos.sparkSession
+    folder = settings_folder(store, cfg)
     redo = set(recompute) if recompute is not None else {cfg.target_period}
-    months = sorted((set(cfg.periods) - stored_months(spark, store)) | (redo & set(cfg.periods)))
+    months = sorted((set(cfg.periods) - stored_months(spark, folder)) | (redo & set(cfg.periods)))
     if months:
+        for m in months:
+            fs, path = _folder(spark, f"{folder}/mes={m}")
+            fs.delete(path, True)
         fresh = first_contacts(stages.attempts_once.where(F.col("mes").isin(months)), by_source=not cfg.dedup)
-        (
-            fresh.select(*STORE_COLUMNS)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("mes")
-            .parquet(store)
-        )
+        fresh.select(*STORE_COLUMNS).write.mode("append").partitionBy("mes").parquet(folder)
     return months
 
 
-def read_store(spark: SparkSession, store: str, periods: Iterable[str]) -> DataFrame:
-    """First contacts of the given months, in the D5 layout."""
+def read_store(spark: SparkSession, folder: str, periods: Iterable[str]) -> DataFrame:
+    """First contacts of the given months in a settings folder, in the D5 layout."""
     with string_partitions(spark):
-        df = spark.read.parquet(store)
+        # a store without any contact has no files to tell the columns from
+        df = spark.read.schema(STORE_SCHEMA).parquet(folder)
     return df.where(F.col("mes").isin(list(periods))).select("fuente", "mes", "cu", "wrap_up", "telefono", "orden")
 
 
@@ -70,11 +86,12 @@ def with_first_contact_store(
 ) -> ContactStages:
     """The same stages, with D5 read from the refreshed month store.
 
-    A store holds one ``dedup`` setting; use a separate store per setting.
+    Runs with other campaigns, outcome types, phone digits, backup bound, text
+    normalisation or ``dedup`` use another part of the store.
     """
     refresh_store(stages, store, recompute)
     spark = stages.tables.intentos.sparkSession
     return ContactStages(
         stages.tables, stages.cfg, base=stages.base_mode,
-        first_contacts=read_store(spark, store, stages.cfg.periods),
+        first_contacts=read_store(spark, settings_folder(store, stages.cfg), stages.cfg.periods),
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fonolytics.config import FIXTURE_CONFIG, ProfileConfig
 from fonolytics.operators import callcenter as cc
 from fonolytics.operators.alerts import assigned_phones_long
-from fonolytics.operators.client360 import client_360, client_products
+from fonolytics.operators.client360 import client_360, client_lookup, client_products
 from fonolytics.operators.rescore import phone_rescore, phone_scores
 from fonolytics.plans import oracle as o
 from fonolytics.sources.fixtures import table
@@ -22,6 +22,7 @@ from fonolytics.sources.validated_load import (
     ORDER_RULES,
     QUARANTINE,
     R_AMOUNT,
+    R_AMOUNT_TEXT,
     R_CATEGORY,
     R_KEY_DUPLICATE,
     R_KEY_NULL,
@@ -59,8 +60,26 @@ def q_client_products(spark, sf_dir):
     return client_products(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 
 
+# A delivery with every kind of fault, as text, made of the line items: some orders come twice, some
+# lines without a key, with an amount that is no number, or not positive, or with an unknown category.
+FEED = """select case when l_suppkey % 10 <> 0 then l_orderkey end as o_orderkey,
+       case when l_partkey % 11 = 0 then 'n/a' when l_partkey % 13 = 0 then '-1' when l_partkey % 17 = 0 then null else '10.5' end as o_totalprice,
+       case when l_suppkey % 7 = 0 then l_returnflag else '1-URGENT' end as o_orderpriority
+from {lineitem} where l_linenumber = 1 or (l_linenumber = 2 and l_orderkey % 20 = 0)"""
+
+
 def q_validated_load(spark, sf_dir):
-    return load_summary(validate(table(spark, sf_dir, "orders"), ORDER_RULES))
+    feed = spark.sql(FEED, lineitem=table(spark, sf_dir, "lineitem"))
+    return load_summary(validate(feed, ORDER_RULES))
+
+
+# The clients that the registered look-up asks for.
+LOOKUP_SEGMENT = "BUILDING"
+
+
+def q_client_lookup(spark, sf_dir):
+    tables = [table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem")]
+    return client_lookup(*tables, F.col("c_mktsegment") == LOOKUP_SEGMENT)
 
 
 def rescore_for(stages, cfg: ProfileConfig) -> DataFrame:
@@ -81,6 +100,7 @@ JOB_QUERIES = {
     "saturday_recovery": q_saturday_recovery,
     "client_360": q_client_360,
     "client_products": q_client_products,
+    "client_360_lookup": q_client_lookup,
     "validated_load": q_validated_load,
     "phone_rescore": q_phone_rescore,
 }
@@ -171,17 +191,18 @@ select o.o_custkey as c_custkey, o.o_orderkey as producto,
 from orders o left join li on o.o_orderkey = li.l_orderkey"""
 
 
-def _sql_validated_load() -> str:
+def validated_load_sql(source: str) -> str:
     r = ORDER_RULES
-    return f"""with dup as (
-  select {r.key} from orders where {r.key} is not null group by 1 having count(*) > 1
+    return f"""with feed as ({source}), dup as (
+  select {r.key} from feed where {r.key} is not null group by 1 having count(*) > 1
 ), v as (
   select case when o.{r.key} is null then {o.q(R_KEY_NULL)}
               when d.{r.key} is not null then {o.q(R_KEY_DUPLICATE)}
-              when o.{r.amount} is null or not (o.{r.amount} > 0) then {o.q(R_AMOUNT)}
+              when o.{r.amount} is not null and try_cast(o.{r.amount} as double) is null then {o.q(R_AMOUNT_TEXT)}
+              when o.{r.amount} is null or not (try_cast(o.{r.amount} as double) > 0) then {o.q(R_AMOUNT)}
               when o.{r.category} is null or o.{r.category} not in ({o.in_list(r.categories)}) then {o.q(R_CATEGORY)}
          end as motivo
-  from orders o left join dup d on o.{r.key} = d.{r.key}
+  from feed o left join dup d on o.{r.key} = d.{r.key}
 )
 select case when motivo is null then {o.q(VALID)} else {o.q(QUARANTINE)} end as estado, motivo, count(*) as filas
 from v group by 1, 2"""
@@ -229,7 +250,8 @@ def job_sql(cfg: ProfileConfig = FIXTURE_CONFIG) -> dict[str, str]:
         "saturday_recovery": _sql_saturday(),
         "client_360": _sql_client_360(),
         "client_products": _sql_client_products(),
-        "validated_load": _sql_validated_load(),
+        "client_360_lookup": f"select * from ({_sql_client_360()}) where c_mktsegment = {o.q(LOOKUP_SEGMENT)}",
+        "validated_load": validated_load_sql(FEED.format(lineitem="lineitem")),
         "phone_rescore": _sql_phone_rescore(cfg),
         # the streaming job must agree with the batch first contacts
         "first_contact_stream": o.stage_sql(cfg)["first_contact_per_period"],

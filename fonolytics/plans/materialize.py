@@ -1,9 +1,10 @@
-"""Cutting lineage: reliable checkpoints in the cluster's shared checkpoint folder."""
+"""Cutting lineage: Parquet tables in the cluster's shared checkpoint folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,15 +57,41 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
 
 
 def materialize(df: DataFrame, how: str = "none") -> DataFrame:
-    """``none``: keep the plan; ``checkpoint``: eager reliable checkpoint.
+    """``none``: keep the plan; ``checkpoint``: write a Parquet table in the shared folder and read it back.
 
-    A reliable checkpoint writes the partitions to the shared folder, so a
-    lost executor costs a re-read, not a recomputation of the whole lineage.
-    (Local checkpoints live on executors and die with them: never used.)
+    A lost executor costs a re-read, not a recomputation of the whole lineage,
+    and readers take only the columns they need, with the table's true size
+    known to the planner. (Local checkpoints live on executors and die with
+    them: never used.)
     """
     if how == "none":
         return df
     if how == "checkpoint":
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        path = scratch_path(df.sparkSession, "table")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     raise ValueError(f"unknown materialisation {how!r}")
+
+
+_SCRATCH: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own under the shared checkpoint folder, which ``release`` removes."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the scratch paths made after the first ``since`` ones. No result that reads them may be used afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _SCRATCH[since:]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    del _SCRATCH[since:]
+
+
+def scratch_count() -> int:
+    """How many scratch paths there are: what a job that cleans up after itself passes to ``release``."""
+    return len(_SCRATCH)

@@ -1,8 +1,8 @@
 """The stage graph of the profile and alert jobs, built once per run.
 
 Each stage is a ``DataFrame`` computed lazily and memoised, so a stage with
-two consumers (first contacts -> D8 and D9; the base profile -> D13, D14 and
-the final report) is one subtree in the plan and Spark reuses its exchanges.
+two consumers is one subtree in the plan. The alert stages are expressions
+over the profile's own rows, so a single report needs no intermediate table.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from fonolytics.sources.tables import ContactTables, normalise_text
 class ContactStages:
     """All stages D1-D22 over one set of tables and one configuration.
 
-    ``base`` chooses how the shared base profile is handed to the alert
-    stages: ``none`` keeps one plan (exchange reuse), ``checkpoint`` writes it
-    once to the shared checkpoint folder. ``first_contacts`` supplies D5 from
+    ``base`` chooses how the base profile is handed to the reports: ``none``
+    keeps one plan per report, ``checkpoint`` writes it once to the shared
+    checkpoint folder (for several reports of one run). ``first_contacts`` supplies D5 from
     elsewhere (the month store of ``plans.incremental``) instead of computing
     it from the attempts.
     """
@@ -32,7 +32,7 @@ class ContactStages:
         self,
         tables: ContactTables,
         cfg: ProfileConfig,
-        base: str = "checkpoint",
+        base: str = "none",
         first_contacts: DataFrame | None = None,
     ):
         if cfg.normalise_text:
@@ -45,13 +45,17 @@ class ContactStages:
         self._first_contacts = first_contacts
 
     # -- attempts ---------------------------------------------------------
+    @cached_property
+    def effective_codes(self) -> DataFrame:
+        return attempts.effective_codes(self.tables.conclusiones, self.cfg)
+
     @cached_property
     def keep_effective(self):
-        return attempts.outcome_filter(self.tables.conclusiones, self.cfg)
+        return attempts.outcome_filter(self.tables.conclusiones, self.cfg, codes=self.effective_codes)
 
     @cached_property
     def keep_effective_once(self):
-        return attempts.outcome_filter(self.tables.conclusiones, self.cfg, replicate=False)
+        return attempts.outcome_filter(self.tables.conclusiones, self.cfg, replicate=False, codes=self.effective_codes)
 
     @cached_property
     def d1_effective_outcomes(self) -> DataFrame:
@@ -130,30 +134,47 @@ class ContactStages:
     def d12_profile(self) -> DataFrame:
         return profile.client_profile(self.d6_snapshot, self.d7_presence, self.contact_summary, self.cfg)
 
+    def _alert_rows(self, columns: list[str] | None) -> DataFrame:
+        copied = profile.client_profile(self.d6_snapshot, self.d7_presence, self.contact_summary, self.cfg, columns, alerts.COPIES)
+        return alerts.row_facts(copied, self.cfg)
+
+    @cached_property
+    def base_rows(self) -> DataFrame:
+        """The profile rows with their copy count, contacts and slots: what the reports start from."""
+        return materialize(self._alert_rows(None), self.base_mode)
+
     @cached_property
     def base(self) -> DataFrame:
-        """The profile every alert stage starts from (``base_final``)."""
-        return materialize(self.d12_profile, self.base_mode)
+        """The profile (``base_final``) alone."""
+        return self.base_rows.drop(alerts.COPIES, alerts.CONTACTS, alerts.SLOTS)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """The rows the alert stages read. Unless all reports share a written
+        base, only the client id and the phone slots of the snapshot are carried."""
+        if self.base_mode != "none":
+            return self.base_rows
+        return self._alert_rows(["codunicocli", *self.cfg.phone_cols])
 
     # -- alerts -----------------------------------------------------------
     @cached_property
     def d13_contact_phones(self) -> DataFrame:
-        return alerts.contact_phones_long(self.base, self.cfg)
+        return alerts.contact_phones_long(self.facts, self.cfg)
 
     @cached_property
     def d14_assigned_phones(self) -> DataFrame:
-        return alerts.assigned_phones_long(self.base, self.cfg)
+        return alerts.assigned_phones_long(self.facts, self.cfg)
 
     @cached_property
     def d15_priority(self) -> DataFrame:
-        return alerts.alerts_priority(self.d13_contact_phones, self.d14_assigned_phones)
+        return alerts.alerts_priority(self.facts)
 
     @cached_property
     def d16_dead(self) -> DataFrame:
-        return alerts.alerts_dead_phones(self.d14_assigned_phones, self.d13_contact_phones)
+        return alerts.alerts_dead_phones(self.facts)
 
     def d17_alerts(self, ordered: bool = True) -> DataFrame:
-        return alerts.phone_alerts(self.d15_priority, self.d16_dead, ordered=ordered)
+        return alerts.phone_alerts(self.facts, ordered=ordered)
 
     def d18_summary(self, ordered: bool = True) -> DataFrame:
         return alerts.alert_summary(self.d17_alerts(ordered=False), self.cfg, ordered=ordered)
@@ -171,11 +192,6 @@ class ContactStages:
     def d21_a3(self) -> DataFrame:
         return report.a3_positions(self.d16_dead, self.cfg)
 
-    @cached_property
-    def alert_columns(self) -> DataFrame:
-        """D19 + D20 + D21 for the report, in one aggregation."""
-        return report.alert_columns(self.d15_priority, self.d16_dead, self.cfg)
-
     @cached_property
     def d22_profile_alerts(self) -> DataFrame:
-        return report.client_profile_alerts_joined(self.base, self.alert_columns)
+        return report.client_profile_alerts(self.base_rows, self.cfg)

@@ -8,6 +8,7 @@ backticks.
 
 from __future__ import annotations
 
+import re
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -104,16 +105,21 @@ def read_contact_tables(
     ``paths`` maps ``intentos``, ``intentos_bkp``, ``conclusiones`` and
     ``asignacion`` to locations. Parquet/ORC keep their own schema (and any
     extra assignment columns, which the profile passes through); text formats
-    get the inferred schemas above. Folders partitioned by month keep their
-    values as strings.
+    are read as text by column name (a CSV file needs its header), renamed,
+    and the known columns cast to the schemas above, malformed values to null;
+    columns beyond those pass through as text, and there may be any number of
+    phone slots. Folders partitioned by month keep their values as strings.
     """
-    opts = dict(options or {})
-
-    def read(name: str, schema: T.StructType | None) -> DataFrame:
-        reader = spark.read.format(fmt).options(**opts)
-        if fmt in ("csv", "json") and schema is not None:
-            reader = reader.schema(schema)
-        return rename_columns(reader.load(paths[name]), ATTEMPT_RENAMES)
+    opts = {"csv": {"header": "true"}, "json": {"primitivesAsString": "true"}}.get(fmt, {}) | dict(options or {})
+
+    def read(name: str, schema: T.StructType) -> DataFrame:
+        df = rename_columns(spark.read.format(fmt).options(**opts).load(paths[name]), ATTEMPT_RENAMES)
+        if fmt not in ("csv", "json"):
+            return df
+        kinds = {f.name: f.dataType for f in schema}
+        phone = kinds.get("telefono1")
+        known = {c: kinds.get(c, phone if re.fullmatch(r"telefono\d+", c) else None) for c in df.columns}
+        return df.withColumns({c: F.col(c).try_cast(t) for c, t in known.items() if t is not None})
 
     with string_partitions(spark):
         return ContactTables(

@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fonolytics.plans.materialize import materialize, release, scratch_count
+
 VALID = "valido"
 QUARANTINE = "cuarentena"
 # Rule names, in the order they are checked.
 R_KEY_NULL = "clave_nula"
 R_KEY_DUPLICATE = "clave_duplicada"
+R_AMOUNT_TEXT = "monto_no_numerico"
 R_AMOUNT = "monto_no_positivo"
 R_CATEGORY = "categoria_desconocida"
 
@@ -41,22 +44,23 @@ ORDER_RULES = LoadRules(
 
 
 def validate(df: DataFrame, rules: LoadRules) -> DataFrame:
-    """Add ``estado`` and ``motivo`` (null when valid).
+    """Add ``estado`` and ``motivo`` (null when valid); the values stay as they came.
 
+    The amount may be text: one that is no number has a reason of its own.
     Uniqueness is checked with a key count aggregated on the map side and
-    joined back; adaptive execution splits a key that holds many rows.
+    joined back; adaptive execution splits a key that holds many rows. Rows
+    without a key take no part in that join.
     """
-    dup_keys = (
-        df.where(F.col(rules.key).isNotNull())
-        .groupBy(rules.key)
-        .agg(F.count(F.lit(1)).alias("_copies"))
-        .where(F.col("_copies") > 1)
-    )
-    flagged = df.join(dup_keys, rules.key, "left")
+    keyed = df.where(F.col(rules.key).isNotNull())
+    dup_keys = keyed.groupBy(rules.key).agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") > 1)
+    flagged = keyed.join(dup_keys, rules.key, "left").select(*df.columns, "_copies")
+    flagged = flagged.unionByName(df.where(F.col(rules.key).isNull()).withColumn("_copies", F.lit(None).cast("bigint")))
+    raw, amount = F.col(rules.amount), F.col(rules.amount).cast("string").try_cast("double")
     reason: Column = (
         F.when(F.col(rules.key).isNull(), F.lit(R_KEY_NULL))
         .when(F.col("_copies").isNotNull(), F.lit(R_KEY_DUPLICATE))
-        .when(~(F.col(rules.amount) > 0) | F.col(rules.amount).isNull(), F.lit(R_AMOUNT))
+        .when(raw.isNotNull() & amount.isNull(), F.lit(R_AMOUNT_TEXT))
+        .when(~(amount > 0) | amount.isNull(), F.lit(R_AMOUNT))
         .when(~F.col(rules.category).isin(list(rules.categories)) | F.col(rules.category).isNull(), F.lit(R_CATEGORY))
     )
     return flagged.withColumn("motivo", reason).withColumn(
@@ -76,18 +80,26 @@ def validated_load(
     quarantine: str,
     rules: LoadRules,
     fmt: str = "csv",
-    schema: T.StructType | None = None,
+    schema: T.StructType | str | None = None,
     options: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Read ``source``, validate, overwrite ``target`` with the valid rows
-    (the truncate-and-load step) and ``quarantine`` with the rest; return the
-    summary read back from what was written."""
-    reader = spark.read.format(fmt).options(**(options or {"header": "true"}))
-    if schema is not None:
-        reader = reader.schema(schema)
-    checked = validate(reader.load(source), rules)
-    checked.where(F.col("estado") == VALID).drop("estado", "motivo").write.mode("overwrite").parquet(target)
+    """Read ``source``, validate, overwrite ``quarantine`` with the rejected
+    rows and ``target`` with the valid ones (the truncate-and-load step);
+    return the summary of what was written.
+
+    Text formats are read as text, so the quarantine keeps what stood in the
+    file; ``schema`` gives the types that the valid rows get in the target.
+    The checked rows are written once to the shared folder; both tables are
+    published from there, the target last, so a failure never loses rejects.
+    """
+    df = spark.read.format(fmt).options(**(options or {"header": "true"})).load(source)
+    before = scratch_count()
+    checked = materialize(validate(df, rules), "checkpoint")
+    types = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    typed = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in types] if types is not None else df.columns
     checked.where(F.col("estado") == QUARANTINE).write.mode("overwrite").parquet(quarantine)
+    checked.where(F.col("estado") == VALID).select(*typed).write.mode("overwrite").parquet(target)
+    release(spark, before)
     ok = spark.read.parquet(target).select(F.lit(VALID).alias("estado"), F.lit(None).cast("string").alias("motivo"))
     bad = spark.read.parquet(quarantine).select("estado", "motivo")
     return load_summary(ok.unionByName(bad))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from fonolytics.config import FIXTURE_CONFIG
-from fonolytics.plans.incremental import STORE_COLUMNS, refresh_store, stored_months, with_first_contact_store
+from fonolytics.plans.incremental import STORE_COLUMNS, refresh_store, settings_folder, stored_months, with_first_contact_store
 from fonolytics.plans.stages import ContactStages
 from fonolytics.sources.fixtures import fixture_tables
 
@@ -20,7 +20,7 @@ def test_store_from_scratch_matches_full_run(spark, tmp_path):
     full = ContactStages(t, FIXTURE_CONFIG)
     store = str(tmp_path / "store")
     inc = with_first_contact_store(ContactStages(t, FIXTURE_CONFIG), store)
-    assert stored_months(spark, store) == set(FIXTURE_CONFIG.periods) & {
+    assert stored_months(spark, settings_folder(store, FIXTURE_CONFIG)) == set(FIXTURE_CONFIG.periods) & {
         r.mes for r in full.d5_first_contacts.select("mes").distinct().collect()}
     assert _same(full.d22_profile_alerts, inc.d22_profile_alerts)
     assert _same(full.d17_alerts(ordered=False), inc.d17_alerts(ordered=False))
@@ -33,7 +33,7 @@ def test_next_run_computes_only_missing_and_target_months(spark, tmp_path):
     # a previous run stored every month but the last two
     old = [p for p in FIXTURE_CONFIG.periods[:-2]]
     (full.d5_first_contacts.where(F.col("mes").isin(old)).select(*STORE_COLUMNS)
-        .write.partitionBy("mes").parquet(store))
+        .write.partitionBy("mes").parquet(settings_folder(store, FIXTURE_CONFIG)))
     done = refresh_store(ContactStages(t, FIXTURE_CONFIG), store)
     assert done == sorted(FIXTURE_CONFIG.periods[-2:])
     # and the run after that redoes only the target month
@@ -57,3 +57,21 @@ def test_store_with_dedup_matches_full_dedup_run(spark, tmp_path):
     inc = with_first_contact_store(ContactStages(t, cfg), str(tmp_path / "store_dedup"))
     assert _same(full.d12_profile, inc.d12_profile)
     assert inc.d12_profile.count() == inc.d12_profile.select("codunicocli").distinct().count()
+
+
+def test_other_settings_do_not_read_each_others_months(spark, tmp_path):
+    t = fixture_tables(spark, SF001, FIXTURE_CONFIG)
+    store = str(tmp_path / "store")
+    refresh_store(ContactStages(t, FIXTURE_CONFIG), store)
+    one = FIXTURE_CONFIG.with_(campaigns=FIXTURE_CONFIG.campaigns[:1])
+    inc = with_first_contact_store(ContactStages(t, one), store)
+    assert _same(ContactStages(t, one).d12_profile, inc.d12_profile)
+
+
+def test_a_recomputed_month_without_contacts_is_emptied(spark, tmp_path):
+    t = fixture_tables(spark, SF001, FIXTURE_CONFIG)
+    store = str(tmp_path / "store")
+    refresh_store(ContactStages(t, FIXTURE_CONFIG), store)
+    less = type(t)(*(d.where(F.col("periodo") != FIXTURE_CONFIG.target_period) for d in (t.intentos, t.intentos_bkp)), t.conclusiones, t.asignacion)
+    inc = with_first_contact_store(ContactStages(less, FIXTURE_CONFIG), store)
+    assert _same(ContactStages(less, FIXTURE_CONFIG).d12_profile, inc.d12_profile)

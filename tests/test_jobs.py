@@ -79,6 +79,37 @@ def test_validated_load_writes_target_and_quarantine(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
 
 
+def test_validated_load_of_text_keeps_what_stood_in_the_file(spark, tmp_path):
+    from fonolytics.plans.materialize import scratch_count
+
+    src, t, q = tmp_path / "in.csv", str(tmp_path / "t"), str(tmp_path / "q")
+    src.write_text("o_orderkey,o_totalprice,o_orderpriority\n1,10.5,1-URGENT\n2,abc,2-HIGH\n,7.0,3-MEDIUM\n,8.0,3-MEDIUM\n5,-1,5-LOW\n")
+    before = scratch_count()
+    summary = validated_load(spark, str(src), t, q, ORDER_RULES, schema="o_orderkey long, o_totalprice double, o_orderpriority string")
+    got = {(r.estado, r.motivo): r.filas for r in summary.collect()}
+    assert got == {("valido", None): 1, ("cuarentena", "monto_no_numerico"): 1, ("cuarentena", "clave_nula"): 2, ("cuarentena", "monto_no_positivo"): 1}
+    assert [tuple(r) for r in spark.read.parquet(t).collect()] == [(1, 10.5, "1-URGENT")]
+    assert spark.read.parquet(q).where("motivo = 'monto_no_numerico'").first().o_totalprice == "abc"
+    assert scratch_count() == before
+
+
+def test_registered_load_has_every_reason(spark):
+    from conftest import SF001
+    from fonolytics.plans.jobs import q_validated_load
+
+    got = {r.motivo for r in q_validated_load(spark, SF001).collect()}
+    assert got == {None, "clave_nula", "clave_duplicada", "monto_no_numerico", "monto_no_positivo", "categoria_desconocida"}
+
+
+def test_lookup_restricts_the_lines_first(spark):
+    from conftest import SF001
+    from fonolytics.plans.jobs import q_client_lookup
+
+    plan = q_client_lookup(spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = plan.index("Aggregate [l_orderkey")
+    assert "LeftSemi" in plan[aggregate:] and plan[aggregate:].index("LeftSemi") < plan[aggregate:].index("l_extendedprice", 400)
+
+
 def test_phone_rescore_orders_by_score_then_slot(spark):
     slots = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c")], "codunicocli long, posicion int, telefono string")
     eff = spark.createDataFrame([(1, "c"), (1, "c"), (1, "b")], "cu long, telefono string")

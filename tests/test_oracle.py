@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from fonolytics.plans.catalog import all_oracle_sql, all_queries
 from conftest import SF001
 
 TABLES = ["orders", "lineitem", "customer", "events"]
@@ -34,11 +35,11 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(all_oracle_sql()))
 def test_query_matches_oracle(spark, con, key):
-    df = E.queries()[key](spark, SF001)
+    df = all_queries()[key](spark, SF001)
     s_rows = [tuple(r) for r in df.collect()]
-    rel = con.sql(E.oracle_sql()[key])
+    rel = con.sql(all_oracle_sql()[key])
     d_rows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
     assert len(s_rows) == len(d_rows)
@@ -46,7 +47,8 @@ def test_query_matches_oracle(spark, con, key):
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    no_sql = set(E.queries()) - set(E.oracle_sql())
+    no_sql = set(all_queries()) - set(all_oracle_sql())
+    assert set(all_queries()) <= set(E.queries()) and set(all_oracle_sql()) <= set(E.oracle_sql())
     assert no_sql <= {"first_contact_stream"}, no_sql
 
 
