@@ -47,7 +47,7 @@ FIELD = "<*>"
 
 def masked(text: Column) -> Column:
     """The text with runs of blanks as one blank and every word that has a digit as `<*>`; line ends stay."""
-    even = F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")
+    even = F.when(text.rlike(r"[\t\r\f\x0B]|  "), F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")).otherwise(text)
     return F.when(even.rlike("[0-9]"), F.regexp_replace(even, r"(?<!\S)[^\s0-9]*+[0-9]\S*", FIELD)).otherwise(even)
 
 
