@@ -10,12 +10,12 @@ import numpy as np
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fonolytics.plans.materialize import ensure_checkpoint_dir
+from fonolytics.plans.materialize import scratch_path
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own under the shared checkpoint folder (not made yet)."""
-    return f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    """A path of its own under the shared checkpoint folder (not made yet); `plans.materialize.release` removes it."""
+    return scratch_path(spark, f"llm-{name}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

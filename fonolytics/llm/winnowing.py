@@ -88,7 +88,8 @@ def with_next(docs: DataFrame, order: str, text: str, add: dict[str, Column] | N
     number = F.when(F.col("at").isNull(), 0).otherwise(_range_number(F.col("at"), ends))
     rows = own.withColumn("range", number).withColumn("copy", F.lit(False))
     # the first row after range r is the largest one of range r - 1; after the lowest range comes the largest of all
-    copies = own.where(F.col("at").isin(ends)).withColumn("range", F.pmod(number + 1, F.lit(max(len(ends), 1)))).withColumn("copy", F.lit(True))
+    last = spark.createDataFrame([(e,) for e in ends], "at long")  # one row per range: small enough for every task
+    copies = own.join(F.broadcast(last), "at").withColumn("range", F.pmod(number + 1, F.lit(max(len(ends), 1)))).withColumn("copy", F.lit(True))
     if not ends:  # all ids are null, or there are no rows: one order by text
         copies = rows.orderBy(F.xxhash64("text").desc(), "text").limit(1).withColumn("copy", F.lit(True))
     dealt = rows.unionByName(copies).select("range", "copy", "at", "text", F.xxhash64("text").alias("h"), *[c.alias(n) for n, c in (add or {}).items()])
