@@ -4,10 +4,11 @@ A text's features are its distinct words and the distinct beginnings of its
 words (4, 5 and 6 bytes), lower-cased. Those whose share differs clearly
 between the two labels get a weight in a logistic regression. Each labelled
 text that names a group (`IDENTITY_TERMS`) also has counterfactuals: the same
-text with every such term swapped for another of its kind, and left out. The fit penalises the squared change of the score between a text
-and its counterfactuals, so that naming a group, neutrally, does not itself
-raise the score. (The second is needed: by the first alone the weight of a
-common term can be met by raising that of one that the labels never show.)
+text with every such term swapped for another of its kind, and left out. The
+fit penalises the squared change of the score between a text and its
+counterfactuals, so that naming a group, neutrally, does not itself raise the
+score. (The second is needed: by the first alone the weight of a common term
+can be met by raising that of one that the labels never show.)
 
 Fitting uses at most `SAMPLE` labelled rows (those with the smallest hash of
 the id), whole texts; features are counted and extracted in Spark and only the
