@@ -15,7 +15,7 @@ def _lowest(arcs: DataFrame) -> DataFrame:
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return both.join(_lowest(both), "u").where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a")).where("a <> b").distinct()
+    return both.join(_lowest(both), "u").where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a")).where("a <> b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -28,15 +28,16 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b); root is the smallest node of its component.
 
-    Each step is written to the shared folder. It ends when a step changes nothing,
-    after about the logarithm of the longest path. No links: an empty result.
+    Each step is written to the shared folder. It ends when every link leads
+    from a leaf to a root of its own, after about the logarithm of the longest
+    path. No links: an empty result.
     """
-    edges, before = links.where("a <> b").select("a", "b").distinct(), None
+    edges = links.where("a <> b").select("a", "b")
     while True:
         edges = written(_small_star(_large_star(edges)).select("a", "b"), "stars")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before or not now[0]:
+        # a node seen as a leaf twice, or both as a leaf and as a root, is not settled
+        ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("leaf")).unionByName(edges.select(F.col("a").alias("node"), F.lit(0).alias("leaf")))
+        open_ends = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("least")).where("leaf > 1 or (leaf > 0 and least = 0)")
+        if open_ends.first() is None:
             break
-        before = now
-    leaves = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-    return leaves.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
