@@ -44,9 +44,9 @@ from fonolytics.llm.textarrays import ALNUM, LOWER, mix, ranges, slices, text_by
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 7, 45
-# Signatures of the few texts that hubs leave apart: a pair of similarity 0.8 shares a band with probability 0.9992, one of
-# 0.6 with 0.09 (0.72 by the bands above).
-FINE_ROWS, FINE_BANDS = 15, 200
+# Signatures of the few texts that hubs leave apart: a pair of similarity 0.8 shares a band with probability 0.999, one of
+# 0.6 with 0.04 (0.72 by the bands above).
+FINE_ROWS, FINE_BANDS = 18, 380
 # Shingles and darts of texts that are worked on at a time.
 DARTS = 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -237,7 +237,7 @@ def near_duplicate_classes(
     shared = rows_.groupBy("key").agg(F.count("*").alias("mates")).where("mates > 1")
     member = written(rows_.join(shared, "key"), "members")
     mates = member.groupBy("node").agg(F.sum("mates").alias("mates"))
-    member = written(member.drop("mates").join(mates, "node"), "ranked")
+    member = written(member.withColumnRenamed("mates", "bucket").join(mates, "node"), "ranked")
     nodes = written(nodes.select("node", "id"), "nodes")
     fits = (F.least("size", "hub_size") >= threshold * F.greatest("size", "hub_size")) & (F.col("node") != F.col("hub"))
 
@@ -249,7 +249,7 @@ def near_duplicate_classes(
 
     def against_hubs(open_members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """The open members of each bucket with their hub, and the links to hubs that were decided."""
-        hub = written(open_members.join(_hubs(open_members), "key").select("key", "node", "size", "mates", "hub", "hub_size"), f"{name}-hubs")
+        hub = written(open_members.join(_hubs(open_members), "key").select("key", "node", "size", "mates", "bucket", "hub", "hub_size"), f"{name}-hubs")
         pairs = hub.where(fits).select(F.col("node").alias("a"), F.col("hub").alias("b"))
         return hub, _verified(pairs, sets, f"{name}-links")
 
@@ -259,7 +259,7 @@ def near_duplicate_classes(
     # members that the first hub didn't take, against a hub of their own
     taken = true_links(links1).select(F.col("a").alias("node"), F.col("b").alias("hub"))
     apart = first.where("node <> hub").join(taken, ["node", "hub"], "left_anti")
-    second, links2 = against_hubs(apart.select("key", "node", "size", "mates"), "second")
+    second, links2 = against_hubs(apart.select("key", "node", "size", "mates", "bucket"), "second")
     roots = written(components(true_links(links1.unionByName(links2))), "roots")
 
     def labelled(rows: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
@@ -267,7 +267,8 @@ def near_duplicate_classes(
         return rows.join(found, node, "left").withColumn(root, F.coalesce(root, node))
 
     # what is still apart from its hub: its bucket mates are compared by finer signatures, which few dissimilar texts share
-    placed = written(labelled(labelled(first.select("key", "node", "hub")), "hub", "hub_root"), "placed")
+    # (a bucket of two has had its only pair decided)
+    placed = written(labelled(labelled(first.where("bucket > 2").select("key", "node", "hub")), "hub", "hub_root"), "placed")
     open_keys = placed.where("root <> hub_root").select("key").distinct()
     mate = written(placed.join(open_keys, "key").groupBy("node").agg(F.max(F.col("root") != F.col("hub_root")).alias("open"), F.first("root").alias("root")), "mates")
     ids = mate.select("node").join(nodes, "node").select("id").distinct()
