@@ -1,8 +1,10 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template is contained in a block when the block has at
-least `threshold` of the template's distinct words. The join finds every such
-pair without comparing each block with each template:
+A block is a line, or a run of consecutive words of about the template's length
+(`_run_length`) wherever the line ends fall, so a notice that is wrapped is found
+too. A template is contained in a block when the block has at least `threshold`
+of the template's distinct words. The join finds every such pair of a line and a
+template without comparing each with each:
 
 - the templates' words are ordered by how many blocks of the whole corpus have
   them, rarest first (other words cannot count for any template);
@@ -14,6 +16,13 @@ pair without comparing each block with each template:
   match's places in the ordered lists bound what can still agree;
 - the pairs that are left are decided by intersection.
 
+Runs are looked at in texts of several lines only, since a line holds all runs
+within it. The same rarest words choose the texts, and a text is paired with a
+template only if it has `need` of its words at all. A run that reaches `need`
+still does so when it starts at its first template word, so those places are the
+only starts. A run must also have `threshold` of the template's words in the
+template's order: what stands on several lines is a notice only if it reads as one.
+
 Besides, `PHRASES` are found wherever their words stand consecutively.
 
 Everything is built-in functions. The templates and their words' frequencies
@@ -86,8 +95,51 @@ def _template_index(docs: DataFrame, threshold: float) -> list[dict]:
     ]
 
 
+def _run_length(template: str, threshold: float) -> int:
+    """Words of a run: the template's, and room for as many others as the threshold allows."""
+    return math.ceil(len(template.split()) / threshold - 1e-9)
+
+
+def _has_word(text: Column, words: str) -> Column:
+    return text.rlike(rf"(?<![0-9a-z\x80-\x{{10FFFF}}])(?:{words})(?![0-9a-z\x80-\x{{10FFFF}}])")
+
+
+def _in_order(words: Column, template: Column) -> Column:
+    """Length of the longest common subsequence of two arrays of words."""
+    places = F.sequence(F.lit(1), F.size(template))
+
+    def after(best: Column, word: Column) -> Column:
+        """The lengths for all beginnings of the template, with one more word of the text."""
+        longer = lambda row, j: F.when(template[j - 1] == word, best[j - 1] + 1).otherwise(F.greatest(best[j], F.element_at(row, -1)))
+        return F.aggregate(places, F.array(F.lit(0)), lambda row, j: F.concat(row, F.array(longer(row, j))))
+
+    return F.element_at(F.aggregate(words, F.array_repeat(F.lit(0), F.size(template) + 1), after), -1)
+
+
+def _wrapped(docs: DataFrame, index: list[dict], rare: str, threshold: float) -> DataFrame:
+    """(key, template, label, containment) of texts of several lines and templates: the best run that meets the threshold."""
+    names = {i: w for w, i in index[0]["order"].items()}
+    rows = []
+    for t in index:
+        template = TEMPLATES[t["template"]][1]
+        size = len(template.split())
+        rows.append((t["template"], t["label"], [names[w] for w in t["words"]], template.split(), t["need"], math.ceil(threshold * size - 1e-9), _run_length(template, threshold)))
+    table = docs.sparkSession.createDataFrame(rows, "template int, label string, own array<string>, notice array<string>, need int, ordered int, run int")
+    texts = docs.where(F.contains("text", F.lit("\n")) & _has_word(F.lower("text"), rare)).select("key", F.split(plain(F.col("text")), " ").alias("words"))
+    texts = texts.withColumn("known", F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(names.values())])))
+    pairs = texts.join(F.broadcast(table), F.size(F.array_intersect("known", "own")) >= F.col("need"))
+    # places and words of the template's words; a run has at most `run` of them
+    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains("own", x["w"]))
+    pairs = pairs.select("key", "template", "label", "own", "notice", "need", "ordered", "run", places.alias("places"))
+    run = lambda s, j: F.transform(F.filter(F.slice("places", j + 1, F.col("run")), lambda x: x["i"] < s["i"] + F.col("run")), lambda x: x["w"])
+    runs = F.filter(F.transform("places", run), lambda r: F.size(F.array_distinct(r)) >= F.col("need"))
+    runs = pairs.select("key", "template", "label", "own", "notice", "ordered", F.explode(runs).alias("words")).distinct()
+    found = runs.where(_in_order(F.col("words"), F.col("notice")) >= F.col("ordered"))
+    return found.select("key", "template", "label", (F.size(F.array_distinct("words")) / F.size("own")).alias("containment"))
+
+
 def contained_templates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, template, label, containment) of every line and template that meet the threshold; `docs` has key and text."""
+    """(key, template, label, containment) of every block and template that meet the threshold; `docs` has key and text."""
     index = _template_index(docs, threshold)
     order = index[0]["order"]
     names = {i: w for w, i in order.items()}
@@ -96,7 +148,7 @@ def contained_templates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFr
     rare = "|".join(sorted({names[p[4]] for p in prefix}))
     # word -> rank, for the few lines that hold one of the join keys
     ranks = F.create_map(*[F.lit(x) for pair in sorted(order.items()) for x in pair])
-    lines = _lines(docs).where(F.col("line").rlike(rf"(?<![0-9a-z\x80-\x{{10FFFF}}])(?:{rare})(?![0-9a-z\x80-\x{{10FFFF}}])"))
+    lines = _lines(docs).where(_has_word(F.col("line"), rare))
     blocks = lines.select(
         "key",
         F.array_sort(F.filter(F.transform(F.array_distinct(F.split(plain(F.col("line")), " ")), lambda w: F.try_element_at(ranks, w)), lambda r: r.isNotNull())).alias("block"),
@@ -106,7 +158,8 @@ def contained_templates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFr
         (F.size("block") >= F.col("need")) & (F.lit(1) + F.least(F.col("at"), F.col("place")) + F.least(F.size("words") - F.col("at") - 1, F.size("block") - F.col("place") - 1) >= F.col("need"))
     )
     same = F.size(F.array_intersect("block", "words"))
-    return pairs.where(same >= F.col("need")).select("key", "template", "label", (same / F.size("words")).alias("containment"))
+    of_lines = pairs.where(same >= F.col("need")).select("key", "template", "label", (same / F.size("words")).alias("containment"))
+    return of_lines.unionByName(_wrapped(docs, index, rare, threshold))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
