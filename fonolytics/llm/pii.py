@@ -16,8 +16,16 @@ domain; numbers that leave the domain are permuted on until they are back in it
 Results in special cases:
 - a null text stays null with no findings; an empty text stays empty.
 - what fails validation (a 16-digit number without a Luhn check, 2024-02-30)
-  stays as it is. Of overlapping candidates the first from the left counts, and
-  at one place the kind that comes first in `KINDS`.
+  stays as it is. Of overlapping candidates the first valid one from the left
+  counts, and at one place the kind that comes first in `KINDS`.
+- cards and IBANs may run into what follows them (expiry date, security code,
+  currency): a candidate is read in several ways that end at its separators, see
+  `_readings`. The order depends on the format alone, and every reading contains
+  the ones before it, so a card has the same pseudonym whatever follows, and the
+  pseudonym is read as the value was. Where a candidate that failed overlaps a
+  later one, that one's number is permuted on until it fails again; only then may
+  a value have another pseudonym than elsewhere. A card of 13 to 15 digits in
+  groups other than the usual ones isn't told from digits that follow it.
 - the domain part of an e-mail address, country codes, IBAN country and length
   stay. Dates stay within their span of 200 years (1900-2099, 1700-1899, ...).
 - repeated rows get equal results; rows are independent, so nothing is shuffled,
@@ -228,21 +236,82 @@ _CHANGE: dict[str, Callable[[str, bytes, bool], str | None]] = {
 }
 
 
+# Usual groups of card numbers; digits without separators are a group of 13 to 19.
+_CARD_GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
+
+# Lengths of IBANs by country.
+_IBAN_SIZE = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def _readings(kind: str, value: str) -> list[tuple[int, int]]:
+    """Spans of a candidate to validate in turn, by its format alone; each contains the ones before it.
+
+    First what has the usual form (a card's groups, a country's IBAN length), else the first of 16 digits or more
+    (a card), or the shortest (an IBAN); then the candidate's beginnings that contain it, up to the whole.
+    """
+    if kind not in ("card", "iban"):
+        return [(0, len(value))]
+    ends = [m.end() for m in re.finditer(r"[^ -]+", value)]
+    sizes = [len(g) for g in re.split("[ -]", value)]
+    starts = [e - n for e, n in zip(ends, sizes)]
+    until = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+    if kind == "iban":
+        usual = [e for e, n in zip(ends, until) if n == _IBAN_SIZE.get(value[:2])]
+        first = (0, usual[0] if usual else next((e for e, n in zip(ends, until) if n >= 15), len(value)))
+    else:
+        usual = [
+            (starts[i], ends[i + len(form) - 1])
+            for i in range(len(sizes))
+            for form in (*_CARD_GROUPS, (sizes[i],) if sizes[i] >= 13 else ())
+            if form and tuple(sizes[i : i + len(form)]) == form
+        ]
+        first = usual[0] if usual else (0, next((e for e, n in zip(ends, until) if n >= 16), len(value)))
+    return list(dict.fromkeys([first, *((0, e) for e in ends if e >= first[1])]))
+
+
+def _changed(text: str, kind: str, start: int, end: int, failed: list[tuple[str, int, int]], key: bytes, back: bool) -> str | None:
+    """The new value of a valid `text[start:end]`, with which what failed before still fails; else null."""
+    new = _CHANGE[kind](text[start:end], key, back)
+    if new is None or len(new) != end - start:
+        return new
+    over = [f for f in failed if f[1] < end and f[2] > start]
+    while any(_CHANGE[k]((text[:start] + new + text[end:])[a:b] if b > end or a < start else new[a - start : b - start], key, back) is not None for k, a, b in over):
+        new = _CHANGE[kind](new, key, back)
+    return new
+
+
 def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each in the new text. `back` restores a text from its pseudonyms."""
     if not _MAY_HOLD.search(text):
         return text, []
     out, found, done, size = [], [], 0, 0
-    for m in _PATTERN.finditer(text):
-        kind = m.lastgroup
-        new = _CHANGE[kind](m.group(), key, back)
-        if new is None:
-            continue
-        out += [text[done : m.start()], new]
-        size += m.start() - done
-        found.append((kind, size, size + len(new)))
-        size += len(new)
-        done = m.end()
+    failed: list[tuple[str, int, int]] = []
+    m = _PATTERN.search(text)
+    while m:
+        kind, at = m.lastgroup, m.start()
+        failed = [f for f in failed if f[2] > at]
+        for a, b in _readings(kind, m.group()):
+            a, b = at + a, at + b
+            new = _changed(text, kind, a, b, failed, key, back)
+            if new is not None:
+                out += [text[done:a], new]
+                size += a - done
+                found.append((kind, size, size + len(new)))
+                size += len(new)
+                done = b
+                break
+            failed.append((kind, a, b))
+        # behind a candidate that failed, the next may begin within it
+        m = _PATTERN.search(text, done if new is not None else at + 1)
     return "".join([*out, text[done:]]), found
 
 
