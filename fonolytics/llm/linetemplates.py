@@ -6,7 +6,12 @@ the start. Lines that meet in a leaf are alike in length and beginning; what
 they have in common becomes the leaf's template: at each place the word that
 more than half of the leaf's lines (counted by documents) have there, else `<*>`. A line
 belongs to it if it has the template's words at `SIMILAR` of all places or
-more; other lines of the leaf are templates of their own.
+more. A leaf can hold several templates: the lines that don't belong are a group
+that is treated as the leaf was, and a group to whose template no lines belong is
+split by its most telling place (the one where recurring words cover most of the
+group's lines; one group per such word, and one of all other lines). That goes on
+in rounds, each a written table, until no group has `MIN_DOCS` documents and a
+place to split by. Lines left over are templates of their own.
 
 A template that recurs in `MIN_DOCS` documents or more is dropped everywhere
 but in its first document (the smallest id), so every text survives once.
@@ -32,6 +37,8 @@ Results in special cases:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,29 +70,66 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("id", "h", "line", leaf.alias("leaf"), F.xxhash64("line").alias("hash"))
 
 
-def _generalised(docs: DataFrame, counted: DataFrame, similar: float, min_docs: int) -> DataFrame:
-    """(hash, template): the lines that belong to their leaf's template, where that covers several lines."""
-    leaves = counted.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("lines")).where((F.col("n") >= min_docs) & (F.col("lines") > 1))
-    leaves = broadcast_if_small(written(leaves.select("leaf"), "leaves"))
-    lines = _lines(docs).join(leaves, "leaf", "left_semi").groupBy("leaf", "hash", "line").agg(F.count("*").alias("n"))
-    lines = written(lines, "leaf-lines")
-    total = lines.groupBy("leaf").agg(F.sum("n").alias("all"))
-    words = lines.select("leaf", "n", F.posexplode(F.split("line", " ")).alias("place", "word")).groupBy("leaf", "place", "word").agg(F.sum("n").alias("n"))
-    common = words.join(total, "leaf").where(F.col("n") * 2 > F.col("all"))
-    # at most one common word per place, so a leaf's template is no longer than its lines
-    templates = common.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "word"))).alias("template"))
-    matched = lines.join(templates, "leaf").select(
-        "leaf",
+def _round(lines: DataFrame, similar: float, min_docs: int) -> DataFrame:
+    """The lines (group, hash, line, n) of groups, with `template` where they belong to their group's, else `next`: the group to try."""
+    total = lines.groupBy("group").agg(F.sum("n").alias("all"))
+    words = lines.select("group", "n", F.posexplode(F.split("line", " ")).alias("place", "word")).groupBy("group", "place", "word").agg(F.sum("n").alias("n"))
+    words = words.join(total, "group")
+    often = F.col("n") >= min_docs
+    # per place: the common word, if any, and what recurring words cover
+    places = words.groupBy("group", "place", "all").agg(
+        F.max(F.when(F.col("n") * 2 > F.col("all"), F.col("word"))).alias("common"),
+        F.sum(F.when(often, F.col("n")).otherwise(0)).alias("covered"),
+        F.count_if(often).alias("kinds"),
+        F.max("n").alias("most"),
+        F.collect_set(F.when(often, F.xxhash64("word"))).alias("often"),
+    )
+    splits = F.when((F.col("covered") > 0) & (F.col("most") < F.col("all")), F.struct("covered", (-F.col("kinds")).alias("few"), (-F.col("place")).alias("place"), "often"))
+    # at most one common word per place, so a group's template is no longer than its lines
+    groups = places.groupBy("group").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("common").isNotNull(), F.struct("place", "common")))).alias("template"),
+        F.max(splits).alias("split"),
+    )
+    matched = lines.join(groups, "group").select(
+        "group",
         "hash",
+        "line",
         "n",
+        "split",
         let(
             F.struct(F.split("line", " ").alias("w"), F.col("template").alias("t")),
             lambda s: F.size(F.filter(F.map_entries(s["t"]), lambda e: F.get(s["w"], e["key"]) == e["value"])) >= similar * F.size(s["w"]),
         ).alias("belongs"),
     )
-    members = matched.where("belongs").select("leaf", "hash")
-    several = members.groupBy("leaf").count().where("count > 1").select("leaf")
-    return members.join(several, "leaf", "left_semi").select("hash", F.xxhash64("leaf", F.lit(FIELD)).alias("template"))
+    members = matched.groupBy("group").agg((F.count_if("belongs") > 1).alias("several"))
+    word = F.xxhash64(F.get(F.split("line", " "), -F.col("split")["place"]))
+    return matched.join(members, "group").select(
+        "hash",
+        "line",
+        "n",
+        F.when(F.col("several") & F.col("belongs"), F.xxhash64("group", F.lit(FIELD))).alias("template"),
+        F.when(F.col("several"), F.xxhash64("group", F.lit("rest")))
+        .when(F.col("split").isNotNull(), F.xxhash64("group", F.col("split")["place"], F.when(F.array_contains(F.col("split")["often"], word), word)))
+        .alias("next"),
+    )
+
+
+def _generalised(docs: DataFrame, counted: DataFrame, similar: float, min_docs: int) -> DataFrame:
+    """(hash, template): the lines that belong to a template of their leaf, where that covers several lines."""
+    leaves = counted.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("lines")).where((F.col("n") >= min_docs) & (F.col("lines") > 1))
+    leaves = broadcast_if_small(written(leaves.select("leaf"), "leaves"))
+    lines = _lines(docs).join(leaves, "leaf", "left_semi").groupBy("leaf", "hash", "line").agg(F.count("*").alias("n"))
+    lines = written(lines.withColumnRenamed("leaf", "group"), "leaf-lines")
+    found = []
+    while not lines.isEmpty():
+        done = written(_round(lines, similar, min_docs), "groups")
+        found.append(done.where("template is not null").select("hash", "template"))
+        rest = done.where("template is null and next is not null").select(F.col("next").alias("group"), "hash", "line", "n")
+        on = rest.groupBy("group").agg(F.sum("n").alias("all"), F.count("*").alias("lines")).where((F.col("all") >= min_docs) & (F.col("lines") > 1))
+        lines = written(rest.join(on.select("group"), "group", "left_semi"), "rest")
+    if not found:
+        return lines.select("hash", F.col("group").alias("template"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def recurring_lines(docs: DataFrame, similar: float = SIMILAR, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:

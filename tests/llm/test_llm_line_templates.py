@@ -89,3 +89,22 @@ def test_all_columns_and_clashing_names(spark):
     assert out.columns == [*docs.columns, "dropped_lines"]
     assert out.count() == docs.count() and drop_recurring_lines(out).columns == out.columns
     check(spark, docs)
+
+
+def names(n):
+    return ["".join("abcdefghij"[int(c)] for c in f"{i:04d}") for i in range(n)]
+
+
+def test_a_leaf_holds_several_templates(spark):
+    texts = [f"posted in the {w} section yesterday" for w in names(100)]
+    alone = drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sum(len(r.dropped_lines) for r in alone.collect()) == 99
+    texts += [f"posted in the morning by {w}" for w in names(100)] + [f"posted in the {w} of yesterday" for w in names(7)]
+    got = drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got if not r.dropped_lines) == [0, 100, 200]
+
+
+def test_a_smaller_template_beside_the_majority(spark):
+    texts = [f"posted in the {w} section yesterday" for w in names(50)] + [f"posted in the morning by {w}" for w in names(9)] + ["posted in the dark of night"]
+    got = drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got if not r.dropped_lines) == [0, 50, 59]
