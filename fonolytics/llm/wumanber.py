@@ -20,18 +20,23 @@ Results in special cases:
 - an empty benchmark finds nothing; an empty table gives an empty result.
 
 Every task searches its own rows; nothing is shuffled. The benchmark's texts
-go to every task, so their total size is checked against `MAX_BYTES` first.
+go to every task, so a benchmark of more than `MAX_BYTES` is searched in parts of
+at most that size (an item that is larger by itself is a part of its own): the
+documents are written once with a row number, searched once per part, and the
+parts' hits, narrow rows, are joined per document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fonolytics.llm.store import written
 from fonolytics.llm.textarrays import ALNUM, LOWER, mix, ranges, slices, text_bytes, word_hashes, word_spans
 
 WINDOW = 10
@@ -173,11 +178,56 @@ def find_benchmark(
 ) -> DataFrame:
     """Per document: its id, n_words, spans (hit words as [first, after), from 0) and items (found ids as sorted strings)."""
     bench = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("text"))
-    size = bench.agg(F.sum(F.octet_length("text") + F.lit(32))).first()[0] or 0
-    if size > MAX_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; tables are built for {MAX_BYTES} at a time: search it in parts")
-    rows = [r for r in bench.collect() if r.text]
-    ids, texts = [r.id for r in rows], [r.text for r in rows]
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    if _size(bench) <= MAX_BYTES:
+        found = _find(own, [(r.id, r.text) for r in bench.collect() if r.text], window)
+        return found.withColumnRenamed("id", doc_id)
+    own = written(own.withColumn("row", F.monotonically_increasing_id()), "searched")
+    search = own.select(F.col("row").alias("id"), "text")
+    parts = [written(_find(search, part, window), "hits") for part in _parts(bench)]
+    hits = reduce(DataFrame.unionByName, [p.where(F.size("spans") > 0) for p in parts])
+    hits = hits.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = hits.select(F.col("id").alias("row"), _union(F.array_sort("spans")).alias("spans"), "items")
+    sizes = parts[0].select(F.col("id").alias("row"), "n_words", F.filter("spans", lambda s: F.lit(False)).alias("none"))
+    found = own.select("row", "id").join(sizes, "row").join(hits, "row", "left")
+    return found.select(F.col("id").alias(doc_id), "n_words", F.coalesce("spans", "none").alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _size(bench: DataFrame) -> int:
+    return bench.agg(F.sum(F.octet_length("text") + F.lit(32))).first()[0] or 0
+
+
+def _parts(bench: DataFrame) -> Iterator[list[tuple[str | None, str]]]:
+    """The items (id, text) in parts of at most `MAX_BYTES`; the driver holds one at a time."""
+    part, size = [], 0
+    for r in written(bench, "benchmark").toLocalIterator():
+        if not r.text:
+            continue
+        own = len(r.text.encode()) + 32
+        if part and size + own > MAX_BYTES:
+            yield part
+            part, size = [], 0
+        part.append((r.id, r.text))
+        size += own
+    yield part
+
+
+def _union(spans: Column) -> Column:
+    """Sorted spans with those that touch or overlap as one."""
+    last = lambda found: F.element_at(found, -1)
+    longer = lambda found, s: F.struct(last(found)["first"].alias("first"), F.greatest(last(found)["after"], s["after"]).alias("after"))
+    return F.aggregate(
+        spans,
+        F.slice(spans, 1, 1),
+        lambda found, s: F.when(s["first"] <= last(found)["after"], F.concat(F.slice(found, 1, F.size(found) - 1), F.array(longer(found, s)))).otherwise(
+            F.concat(found, F.array(s))
+        ),
+    )
+
+
+def _find(own: DataFrame, items: list[tuple[str | None, str]], window: int) -> DataFrame:
+    """Per row of `own` (id, text): id, n_words, spans and items."""
+    ids, texts = [i for i, _ in items], [t for _, t in items]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = _patterns(texts, window)
@@ -185,18 +235,19 @@ def find_benchmark(
             for part in slices(batch, "text"):
                 yield _scan_batch(part, groups, ids)
 
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    found = own.mapInArrow(scan, f"id {kind}, n_words long, spans array<struct<first: long, after: long>>, items array<string>")
-    return found.withColumnRenamed("id", doc_id)
+    return own.mapInArrow(scan, f"id {kind}, n_words long, spans array<struct<first: long, after: long>>, items array<string>")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose text holds no benchmark window."""
     bench = benchmark.select("text").where("text is not null")
-    size = bench.agg(F.sum(F.octet_length("text") + F.lit(32))).first()[0] or 0
-    if size > MAX_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; tables are built for {MAX_BYTES} at a time: search it in parts")
+    if _size(bench) > MAX_BYTES:
+        rows = written(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "searched")
+        search = rows.select(F.col("row").alias("id"), F.col("doc")[text].cast("string").alias("text"))
+        bench = bench.select(F.lit(None).cast("string").alias("id"), F.col("text").cast("string").alias("text"))
+        hits = [written(_find(search, part, window).where(F.size("spans") > 0).select(F.col("id").alias("row")), "hits") for part in _parts(bench)]
+        return rows.join(reduce(DataFrame.unionByName, hits), "row", "left_anti").select("doc.*")
     texts = [r.text for r in bench.collect()]
     made: list[list[Patterns]] = []
 

@@ -61,3 +61,9 @@ def test_planted_passages_at_every_place(spark):
 def test_awkward_rows(spark):
     check(spark, awkward(spark), [(3, "quick brown fox"), (None, "lazy dog"), (4, "漢字"), (3, "QUICK brown fox")])
     check(spark, awkward(spark), [(1, None)])
+
+
+def test_a_benchmark_of_several_parts(spark, monkeypatch):
+    monkeypatch.setattr("fonolytics.llm.wumanber.MAX_BYTES", 100)
+    items = [(3, "quick brown fox"), (None, "lazy dog"), (4, "漢字"), (3, "fox jumps over"), (5, "the dark green"), (6, None), (10, "over the lazy"), (4, "one")]
+    check(spark, awkward(spark), items)
