@@ -103,6 +103,41 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_read(spark, sf_dir, "documents"))
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the texts (by crc32 of the id) repeat a part of their words up to their end.
+
+    With h = crc32 of the id and g = h div 10: if h mod 10 is 0, each word i >= a becomes word a + (i - a) mod p,
+    where a = g mod n and p = 1 + (n - a) div (3 + g mod 8) for n words. A null id counts as the empty text.
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    rows = rows.select("*", F.expr("h div 10").alias("g"), F.size("words").alias("n"))
+    rows = rows.select("*", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int").alias("a"))
+    rows = rows.select("*", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)").alias("p"))
+    again = F.expr("concat(slice(words, 1, a), flatten(array_repeat(slice(words, a + 1, p), cast((n - a) div p as int))), slice(words, a + 1, cast((n - a) % p as int)))")
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fonolytics.llm.repeatruns import collapse_repeats
+
+    found = collapse_repeats(planted_repeats(_read(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    rows = found.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), F.array_join(lines, "").alias("lines"), longest.alias("top"))
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("top.s")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.p")).alias("period"),
+        F.expr("1000 * top.length div -top.p").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
@@ -114,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": op8_winnowing,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_license_scan": op10_license_scan,
+    "op12_lyndon_runs": op12_lyndon_runs,
 }
 
 _OP7_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

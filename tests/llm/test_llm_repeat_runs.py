@@ -1,0 +1,157 @@
+"""Runs against a brute-force search, and the registered query against its contract."""
+
+import hashlib
+import random
+import re
+import sys
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+sys.path.insert(0, str(Path(__file__).parent))
+from corpus_cases import awkward, rows_of  # noqa: E402
+
+from fonolytics.llm.queries import QUERIES, planted_repeats  # noqa: E402
+from fonolytics.llm.repeatruns import Extensions, collapse_repeats, lyndon_chains, runs_of  # noqa: E402
+
+
+def brute(values, least):
+    found = []
+    n = len(values)
+    v = np.asarray(values)
+    for p in range(1, n // 2 + 1):
+        equal = np.concatenate(([0], (v[:-p] == v[p:]).astype(np.int8), [0]))
+        edges = np.flatnonzero(np.diff(equal))
+        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            length = e - s + p
+            smaller = any(a <= s and s + length <= a + m for a, m, _ in found)
+            if length >= max(least, 2 * p) and not smaller:
+                found.append((s, length, p))
+    return sorted(x for x in found)
+
+
+@given(st.lists(st.integers(0, 2), max_size=40), st.integers(2, 13))
+@settings(max_examples=400, deadline=None)
+def test_runs_equal_brute_force(values, least):
+    # shorter runs with two periods decide what a smallest period is, so the brute search starts at two words
+    want = [r for r in brute(values, 2) if r[1] >= least]
+    assert runs_of(np.array(values, np.int64), least) == want
+
+
+def test_periodic_and_fibonacci_and_thue_morse_words():
+    fib, more = [0], [0, 1]
+    while len(more) < 400:
+        fib, more = more, more + fib
+    thue = [bin(i).count("1") % 2 for i in range(512)]
+    for values in (more, thue, [0] * 300, list(range(50)) * 6 + [3, 4], [1, 2, 3] * 5 + [7] + [1, 2, 3] * 5):
+        want = [r for r in brute(values, 2) if r[1] >= 12]
+        assert runs_of(np.array(values, np.int64), 12) == want
+
+
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_chains_hold_the_longest_lyndon_words(values):
+    def longest(i):
+        for j in range(len(values), i, -1):
+            w = values[i:j]
+            if all(w < w[k:] for k in range(1, len(w))):
+                return j - i
+
+    got = {}
+    for start, length, count in lyndon_chains(values):
+        for k in range(count):
+            got[start + k * length] = length
+    assert got == {i: longest(i) for i in range(len(values))}
+
+
+def test_divided_sequences_do_not_touch():
+    a = [1, 2] * 8
+    values = np.array(a + [-1] + a + [-2] + [2, 1] * 7, np.int64)
+    assert runs_of(values, 12) == [(0, 16, 2), (17, 16, 2), (34, 14, 2)]
+
+
+def test_extensions_equal_direct_comparison():
+    rng = random.Random(3)
+    values = np.array([rng.randrange(2) for _ in range(200)], np.int64)
+    pairs = [(a, b) for a in range(0, 150, 7) for b in range(a + 1, 200, 11)]
+    a, b = np.array(pairs).T
+    lce = Extensions(values)
+
+    def far(i, j, step):
+        n = 0
+        while 0 <= i + step * n and max(i, j) + step * n < 200 and min(i, j) + step * n >= 0 and values[i + step * n] == values[j + step * n]:
+            n += 1
+        return n
+
+    assert lce.right(a, b).tolist() == [far(i, j, 1) for i, j in pairs]
+    assert lce.left(a, b).tolist() == [far(i - 1, j - 1, -1) for i, j in pairs]
+
+
+def words_by_contract(doc_id, text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    h, n = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)
+    g = h // 10
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    return words
+
+
+def expected(doc_id, text):
+    words = words_by_contract(doc_id, text)
+    numbers: dict = {}
+    values = [numbers.setdefault(w, len(numbers)) for w in words]
+    runs = [r for r in brute(values, 2) if r[1] >= 12] if len(words) < 3000 else runs_of(np.array(values, np.int64))
+    dropped = {i for s, length, p in runs for i in range(s + p, s + length)}
+    kept = b" ".join(w for i, w in enumerate(words) if i not in dropped)
+    top = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else (None, None, None)
+    lines = "".join(f"{s},{length},{p}\n" for s, length, p in runs)
+    exponent = 1000 * top[1] // top[2] if runs else None
+    return (doc_id, len(runs), *top, exponent, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept).hexdigest())
+
+
+def key(row):
+    return tuple(str(x) for x in row)
+
+
+def test_query_equals_the_contract_on_the_smallest_tables(spark):
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
+    got = rows_of(QUERIES["op12_lyndon_runs"](spark, "/root/testdata/sf0.001"))
+    want = [expected(d["doc_id"], d["text"]) for d in docs]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert any(r[1] for r in got) and not all(r[1] for r in got)
+
+
+def test_planted_words_follow_the_contract(spark):
+    texts = ["a", "  a\tb\nc\x0bd\x0ce\rf ", "", None, " \n", " ".join(f"w{i}" for i in range(200))]
+    rows = [(i, texts[i % len(texts)]) for i in range(400)] + [(None, texts[-1]), (None, None)]
+    got = planted_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert sorted((str(r.doc_id), (r.text or "").encode().split()) for r in got) == sorted((str(i), words_by_contract(i, t)) for i, t in rows)
+
+
+def test_awkward_rows(spark):
+    twice = " ".join(["one two three four"] * 4)
+    docs = awkward(spark).union(awkward(spark, [(20, twice), (20, twice), (21, "x y " * 12), (22, "a " * 11), (23, "a\n" * 12)]))
+    got = sorted(rows_of(collapse_repeats(docs)), key=str)
+    runs = {r[0]: (r[1], r[2]) for r in got}
+    assert len(got) == docs.count()
+    assert [tuple(x) for x in runs[20][0]] == [(0, 16, 4)] and runs[20][1] == "one two three four"
+    assert [tuple(x) for x in runs[21][0]] == [(0, 12, 1)] and runs[21][1] == "x y"
+    assert runs[22] == ([], " ".join("a" * 11)) and runs[23][1] == "a"
+    assert runs[1] == ([], "") and runs[2] == ([], "") and runs[3] == ([], "")
+    assert rows_of(collapse_repeats(awkward(spark, []))) == []
+
+
+def test_interface(spark):
+    docs = spark.createDataFrame([("k", "a b a b", 1)], "name string, body string, runs int")
+    row = collapse_repeats(docs, "name", "body", min_length=4).first()
+    assert row.name == "k" and [tuple(x) for x in row.runs] == [(0, 4, 2)] and row.collapsed == "a b"
+    with pytest.raises(ValueError):
+        collapse_repeats(docs, "name", "body", min_length=1)
