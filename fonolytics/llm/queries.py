@@ -138,6 +138,12 @@ def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_dqds_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fonolytics.llm.whitening import whitened_components
+
+    return whitened_components(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
@@ -150,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_license_scan": op10_license_scan,
     "op12_lyndon_runs": op12_lyndon_runs,
+    "op13_dqds_whitening": op13_dqds_whitening,
 }
 
 _OP7_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
