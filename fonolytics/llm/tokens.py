@@ -10,6 +10,7 @@ it has seen, up to `KEEP` of them.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added):
+            raise ValueError("an added token that depends on what stands around it")
+        # as the library does by default, their strings are these tokens wherever they stand in a text
+        self.added = sorted((t.content for t in added), key=len, reverse=True)
         self._forget()
 
     def _forget(self) -> None:
@@ -116,6 +121,11 @@ class PieceEncoder:
         self.place = np.insert(self.place, at, place)
         self.count = np.insert(self.count, at, count)
 
+    def _added_spans(self, texts: list[str], offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Start and end of every added token in the texts, as places in all of them."""
+        pattern = re.compile("|".join(map(re.escape, self.added)))
+        return [(m.start() + a, m.end() + a) for t, a in zip(texts, offsets.tolist()) for m in pattern.finditer(t)]
+
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, an `end` after each, and the offsets between texts; a null is an empty text."""
         texts = [t or "" for t in column.to_pylist()]
@@ -123,7 +133,12 @@ class PieceEncoder:
         offsets = np.concatenate(([0], np.cumsum(sizes)))
         whole = "".join(texts)
         codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        starts = piece_starts(codes, offsets)
+        spans = self._added_spans(texts, offsets) if any(t in whole for t in self.added) else []
+        starts = piece_starts(codes, np.unique(np.concatenate((offsets, *spans))) if spans else offsets)
+        if spans:  # an added token is one piece
+            begin, end_of = np.array(spans).T
+            k = np.searchsorted(begin, starts, "right") - 1
+            starts = starts[(k < 0) | (starts == begin[k]) | (starts >= end_of[k])]
         ends = np.append(starts[1:], len(codes))[: len(starts)]
         uniq, first, back = np.unique(word_hashes(codes, starts, ends), return_index=True, return_inverse=True)
         if len(uniq):
