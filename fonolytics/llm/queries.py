@@ -103,6 +103,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from fonolytics.llm.recordfiles import read_records, write_records
+    from fonolytics.llm.store import fresh_folder
+
+    folder = fresh_folder(spark, "records")
+    write_records(_read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_records(spark, folder)
+
+
 def planted_repeats(docs: DataFrame) -> DataFrame:
     """doc_id and text, where a tenth of the texts (by crc32 of the id) repeat a part of their words up to their end.
 
@@ -155,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": op8_winnowing,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_license_scan": op10_license_scan,
+    "op11_record_files": op11_record_files,
     "op12_lyndon_runs": op12_lyndon_runs,
     "op13_dqds_whitening": op13_dqds_whitening,
 }
