@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fonolytics.config import SOURCE_BACKUP, SOURCE_LIVE, ProfileConfig
 from fonolytics.functions.phones import first_row, last_digits
-from fonolytics.operators.ranking import row_number_by_range
-from fonolytics.plans.materialize import materialize
+from fonolytics.operators.sorted_scan import row_number_by_range
+from fonolytics.plans.materialize import materialize_shared
 from fonolytics.sources.tables import ContactTables
 
 # Columns that make the order of attempts total (S4): time first, then our
@@ -28,11 +28,12 @@ def effective_outcomes(conclusiones: DataFrame, cfg: ProfileConfig) -> DataFrame
 def effective_codes(conclusiones: DataFrame, cfg: ProfileConfig) -> DataFrame:
     """(conclusion, copies): the effective codes with how often the catalogue lists them.
 
-    Written once to the shared folder and read back, so Spark plans the joins
-    with its true size: a small catalogue is broadcast, a large one shuffled.
+    Written to the shared folder and read back, so Spark plans the joins with
+    its true size: a small catalogue is broadcast, a large one shuffled. One
+    written copy serves all plans over the same, unchanged catalogue files.
     """
     effective = effective_outcomes(conclusiones, cfg).where(F.col("conclusion").isNotNull())
-    return materialize(effective.groupBy("conclusion").agg(F.count(F.lit(1)).cast("int").alias("copies")), "checkpoint")
+    return materialize_shared(effective.groupBy("conclusion").agg(F.count(F.lit(1)).cast("int").alias("copies")))
 
 
 def outcome_filter(
@@ -69,16 +70,19 @@ def _arm(
     if min_period is not None:
         # A period that is not a number drops out instead of failing.
         df = df.where(F.col("periodo").try_cast("int") >= F.lit(min_period))
-    df = keep_effective(df)
+    return _attempt_columns(keep_effective(df), F.lit(source), cfg)
+
+
+def _attempt_columns(df: DataFrame, source: Column, cfg: ProfileConfig) -> DataFrame:
     return df.select(
-        F.lit(source).alias("fuente"),
+        source.alias("fuente"),
         F.col("periodo").alias("mes"),
         F.col("contact_id").alias("cu"),
         "wrap_up",
         last_digits("dnis", cfg.phone_digits).alias("telefono"),
         "fecha_key",
         # the source tables have no attempt id: the other columns of the order then decide
-        (F.col("id_intento") if "id_intento" in intentos.columns else F.lit(None).cast("bigint")).alias("id_intento"),
+        (F.col("id_intento") if "id_intento" in df.columns else F.lit(None).cast("bigint")).alias("id_intento"),
         "dnis",
     )
 
@@ -99,6 +103,14 @@ def effective_attempts_backup(
     return _arm(tables.intentos_bkp, keep, cfg, SOURCE_BACKUP, cfg.backup_min_period)
 
 
+def effective_attempts_tagged(registro: DataFrame, cfg: ProfileConfig, keep_effective: Callable) -> DataFrame:
+    """D2 and D3 together from one table that holds both logs, told apart by ``fuente``: one scan, one join."""
+    recent = F.col("periodo").try_cast("int") >= F.lit(cfg.backup_min_period)
+    df = registro.where(F.col("campaign_name").isin(list(cfg.campaigns)))
+    df = df.where((F.col("fuente") == SOURCE_LIVE) | ((F.col("fuente") == SOURCE_BACKUP) & recent))
+    return _attempt_columns(keep_effective(df), F.col("fuente"), cfg)
+
+
 def rank_attempts(union: DataFrame) -> DataFrame:
     """``orden`` numbered inside each source (S1), by time, over the union of D2 and D3.
 

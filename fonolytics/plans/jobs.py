@@ -15,19 +15,24 @@ from fonolytics.config import FIXTURE_CONFIG, ProfileConfig
 from fonolytics.operators import callcenter as cc
 from fonolytics.operators.alerts import assigned_phones_long
 from fonolytics.operators.client360 import client_360, client_lookup, client_products
-from fonolytics.operators.rescore import phone_rescore, phone_scores
+from fonolytics.operators.rescore import phone_rescore, phone_rescore_asof, phone_scores, scores_asof
 from fonolytics.plans import oracle as o
+from fonolytics.plans.materialize import scratch_path
+from fonolytics.sources import fixtures as fx
 from fonolytics.sources.fixtures import table
 from fonolytics.sources.validated_load import (
     ORDER_RULES,
     QUARANTINE,
     R_AMOUNT,
+    R_AMOUNT_FINITE,
     R_AMOUNT_TEXT,
     R_CATEGORY,
     R_KEY_DUPLICATE,
     R_KEY_NULL,
     VALID,
+    load_checked,
     load_summary,
+    rule_counts,
     validate,
 )
 
@@ -60,17 +65,28 @@ def q_client_products(spark, sf_dir):
     return client_products(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 
 
-# A delivery with every kind of fault, as text, made of the line items: some orders come twice, some
-# lines without a key, with an amount that is no number, or not positive, or with an unknown category.
+# A delivery with every kind of fault, as text: every line item is a delivered row, so orders of several
+# lines come several times; some rows have no key, an amount that is no (finite) number, not positive or
+# missing, or an unknown category.
 FEED = """select case when l_suppkey % 10 <> 0 then l_orderkey end as o_orderkey,
-       case when l_partkey % 11 = 0 then 'n/a' when l_partkey % 13 = 0 then '-1' when l_partkey % 17 = 0 then null else '10.5' end as o_totalprice,
+       case when l_partkey % 11 = 0 then 'n/a' when l_partkey % 13 = 0 then '-1' when l_partkey % 17 = 0 then null
+            when l_partkey % 19 = 0 then 'NaN' when l_partkey % 23 = 0 then '-Infinity' else '10.5' end as o_totalprice,
        case when l_suppkey % 7 = 0 then l_returnflag else '1-URGENT' end as o_orderpriority
-from {lineitem} where l_linenumber = 1 or (l_linenumber = 2 and l_orderkey % 20 = 0)"""
+from {lineitem}"""
 
 
 def q_validated_load(spark, sf_dir):
+    """The whole job: the tables are written to the shared folder, the accounting is what was observed meanwhile."""
     feed = spark.sql(FEED, lineitem=table(spark, sf_dir, "lineitem"))
-    return load_summary(validate(feed, ORDER_RULES))
+    return load_checked(feed, scratch_path(spark, "load-target"), scratch_path(spark, "load-quarantine"), ORDER_RULES)
+
+
+def q_validated_orders(spark, sf_dir):
+    return load_summary(validate(table(spark, sf_dir, "orders"), ORDER_RULES))
+
+
+def q_validated_load_rules(spark, sf_dir):
+    return rule_counts(validate(spark.sql(FEED, lineitem=table(spark, sf_dir, "lineitem")), ORDER_RULES))
 
 
 # The clients that the registered look-up asks for.
@@ -94,7 +110,28 @@ def q_phone_rescore(spark, sf_dir):
     return rescore_for(stages_for(spark, sf_dir), FIXTURE_CONFIG)
 
 
+def q_attempt_scores_asof(spark, sf_dir):
+    """Every effective attempt with the score that its phone had when the call began."""
+    from fonolytics.plans.catalog import stages_for
+
+    calls = stages_for(spark, sf_dir).attempts_once.select("fuente", "mes", F.col("cu").alias("codunicocli"), "telefono", "fecha_key", "id_intento")
+    return scores_asof(calls, fx.score_history(spark, sf_dir), "fecha_key", strict=True)
+
+
+def q_phone_rescore_asof(spark, sf_dir):
+    """Assigned phones in the order of the scores valid when the target month begins."""
+    from fonolytics.plans.catalog import stages_for
+
+    slots = assigned_phones_long(stages_for(spark, sf_dir).d10_clean_phones, FIXTURE_CONFIG)
+    begin = F.to_timestamp(F.lit(fx.period_start(FIXTURE_CONFIG.target_period)))
+    return phone_rescore_asof(slots.withColumn("fecha", begin), fx.score_history(spark, sf_dir), FIXTURE_CONFIG)
+
+
 JOB_QUERIES = {
+    "attempt_scores_asof": q_attempt_scores_asof,
+    "phone_rescore_asof": q_phone_rescore_asof,
+    "validated_orders": q_validated_orders,
+    "validated_load_rules": q_validated_load_rules,
     "transfer_savings": q_transfer_savings,
     "recovery_uplift": q_recovery_uplift,
     "saturday_recovery": q_saturday_recovery,
@@ -191,21 +228,76 @@ select o.o_custkey as c_custkey, o.o_orderkey as producto,
 from orders o left join li on o.o_orderkey = li.l_orderkey"""
 
 
-def validated_load_sql(source: str) -> str:
+def _checked_ctes(source: str) -> str:
     r = ORDER_RULES
+    amount = f"try_cast(o.{r.amount} as double)"
     return f"""with feed as ({source}), dup as (
   select {r.key} from feed where {r.key} is not null group by 1 having count(*) > 1
 ), v as (
-  select case when o.{r.key} is null then {o.q(R_KEY_NULL)}
-              when d.{r.key} is not null then {o.q(R_KEY_DUPLICATE)}
-              when o.{r.amount} is not null and try_cast(o.{r.amount} as double) is null then {o.q(R_AMOUNT_TEXT)}
-              when o.{r.amount} is null or not (try_cast(o.{r.amount} as double) > 0) then {o.q(R_AMOUNT)}
-              when o.{r.category} is null or o.{r.category} not in ({o.in_list(r.categories)}) then {o.q(R_CATEGORY)}
-         end as motivo
+  select list_filter([
+      case when o.{r.key} is null then {o.q(R_KEY_NULL)} end,
+      case when d.{r.key} is not null then {o.q(R_KEY_DUPLICATE)} end,
+      case when o.{r.amount} is not null and {amount} is null then {o.q(R_AMOUNT_TEXT)} end,
+      case when not isfinite({amount}) then {o.q(R_AMOUNT_FINITE)} end,
+      case when o.{r.amount} is null or ({amount} <= 0 and not isnan({amount})) then {o.q(R_AMOUNT)} end,
+      case when o.{r.category} is null or o.{r.category} not in ({o.in_list(r.categories)}) then {o.q(R_CATEGORY)} end
+    ], lambda x: x is not null) as motivos
   from feed o left join dup d on o.{r.key} = d.{r.key}
-)
-select case when motivo is null then {o.q(VALID)} else {o.q(QUARANTINE)} end as estado, motivo, count(*) as filas
-from v group by 1, 2"""
+), por_motivo as (select unnest(motivos) as motivo, count(*) as filas from v group by 1)"""
+
+
+def validated_load_sql(source: str) -> str:
+    """Rows per status and first reason."""
+    return f"""{_checked_ctes(source)}
+select if(len(motivos) = 0, {o.q(VALID)}, {o.q(QUARANTINE)}) as estado, motivos[1] as motivo, count(*) as filas from v group by 1, 2"""
+
+
+def validated_load_full_sql(source: str) -> str:
+    return f"""{_checked_ctes(source)}
+select {o.q(VALID)} as estado, null as motivo, count(*) as filas, cast(null as bigint) as filas_con_motivo from v where len(motivos) = 0 having count(*) > 0
+union all
+select {o.q(QUARANTINE)}, p.motivo, (select count(*) from v where motivos[1] = p.motivo), p.filas from por_motivo p"""
+
+
+def _sql_score_history() -> str:
+    return f"""select o.o_custkey as codunicocli,
+       cast(900000000 + o.o_custkey * 100 + case when o.o_custkey % 10 = 0 then 1 else l.l_partkey % 13 + 1 end as varchar) as telefono,
+       l.l_shipdate + interval {fx.SCORE_DAYS} day as vigente_desde, cast(l.l_quantity as bigint) as puntaje,
+       l.l_orderkey * 10 + l.l_linenumber as id_puntaje
+from lineitem l join orders o on o.o_orderkey = l.l_orderkey"""
+
+
+# One row per phone and moment: the greatest id, by the rule for ties.
+_SCORES = """select distinct on (codunicocli, telefono, vigente_desde) * from puntajes
+order by codunicocli, telefono, vigente_desde, id_puntaje desc"""
+
+
+def _sql_attempt_scores(cfg: ProfileConfig) -> str:
+    extra = [("puntajes", _sql_score_history()), ("vigentes", _SCORES), ("llamadas", "from d2 union all from d3")]
+    final = """select c.fuente, c.mes, c.cu as codunicocli, c.telefono, c.fecha_key, c.id_intento, s.puntaje, s.vigente_desde
+from llamadas c asof left join vigentes s
+  on c.cu = s.codunicocli and c.telefono = s.telefono and c.fecha_key > s.vigente_desde"""
+    return o.with_chain(o.fixture_ctes(cfg) + o.stage_ctes(cfg) + extra, final)
+
+
+def _sql_rescore_asof(cfg: ProfileConfig) -> str:
+    n = cfg.n_phones
+    begin = f"timestamp {o.q(fx.period_start(cfg.target_period))}"
+    extra = [
+        ("puntajes", _sql_score_history()),
+        ("ultimo", f"""select codunicocli, telefono, arg_max(puntaje, (vigente_desde, id_puntaje)) as score
+from puntajes where vigente_desde <= {begin} group by all"""),
+        ("ranura", f"""select codunicocli, k as posicion, cast(numbers[k] as varchar) as telefono
+from (select codunicocli, [{', '.join(f'telefono{k}' for k in range(1, n + 1))}] as numbers from d6), unnest(range(1, {n + 1})) as u(k)
+where cast(numbers[k] as varchar) <> {o.q(o.EMPTY_PHONE)}"""),
+        ("ordenado", """select codunicocli, posicion, coalesce(score, 0) as score, telefono,
+       row_number() over (partition by codunicocli order by coalesce(score, 0) desc, posicion) as nueva
+from ranura left join ultimo using (codunicocli, telefono)"""),
+    ]
+    final = f"""select codunicocli, {', '.join(f'max(telefono) filter (nueva = {k}) as telefono{k}' for k in range(1, n + 1))},
+       cast(count(*) filter (nueva <> posicion) as bigint) as slots_cambiados, max(score) as mejor_score
+from ordenado group by codunicocli"""
+    return o.with_chain(o.fixture_ctes(cfg) + o.stage_ctes(cfg) + extra, final)
 
 
 def _sql_phone_rescore(cfg: ProfileConfig, with_fixture: bool = True) -> str:
@@ -251,7 +343,11 @@ def job_sql(cfg: ProfileConfig = FIXTURE_CONFIG) -> dict[str, str]:
         "client_360": _sql_client_360(),
         "client_products": _sql_client_products(),
         "client_360_lookup": f"select * from ({_sql_client_360()}) where c_mktsegment = {o.q(LOOKUP_SEGMENT)}",
-        "validated_load": validated_load_sql(FEED.format(lineitem="lineitem")),
+        "validated_load": validated_load_full_sql(FEED.format(lineitem="lineitem")),
+        "validated_load_rules": f"{_checked_ctes(FEED.format(lineitem='lineitem'))} select motivo, filas from por_motivo",
+        "validated_orders": validated_load_sql("from orders"),
+        "attempt_scores_asof": _sql_attempt_scores(cfg),
+        "phone_rescore_asof": _sql_rescore_asof(cfg),
         "phone_rescore": _sql_phone_rescore(cfg),
         # the streaming job must agree with the batch first contacts
         "first_contact_stream": o.stage_sql(cfg)["first_contact_per_period"],

@@ -73,7 +73,45 @@ def materialize(df: DataFrame, how: str = "none") -> DataFrame:
     raise ValueError(f"unknown materialisation {how!r}")
 
 
+def materialize_shared(df: DataFrame) -> DataFrame:
+    """``materialize``, with one written copy for equal plans over the same files while these don't change.
+
+    Plans without files (rows made in the program), or over many, are written each time.
+    """
+    spark = df.sparkSession
+    stamp = _input_stamp(spark, df.inputFiles())
+    if stamp is None:
+        return materialize(df, "checkpoint")
+    key = (ensure_checkpoint_dir(spark), df.semanticHash(), stamp)
+    for plan, path in _SHARED.get(key, []):
+        if _folder(spark, path)[0].exists(_folder(spark, path)[1]) and plan.sameSemantics(df):
+            return spark.read.schema(df.schema).parquet(path)
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    _SHARED.setdefault(key, []).append((df, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """Hadoop file system and path object of a location."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _input_stamp(spark: SparkSession, files: list[str], most: int = 1000) -> tuple | None:
+    """Name, length and time of change of each file; None for no files, too many, or none that can be asked for."""
+    if not files or len(files) > most or _context(spark) is None:
+        return None
+    found = []
+    for name in sorted(files):
+        fs, path = _folder(spark, name)
+        status = fs.getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 _SCRATCH: list[str] = []
+_SHARED: dict[tuple, list[tuple[DataFrame, str]]] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -85,10 +123,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def release(spark: SparkSession, since: int = 0) -> None:
     """Remove the scratch paths made after the first ``since`` ones. No result that reads them may be used afterwards."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in _SCRATCH[since:]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        fs, p = _folder(spark, path)
+        fs.delete(p, True)
+    gone = set(_SCRATCH[since:])
+    for key, copies in list(_SHARED.items()):
+        _SHARED[key] = [c for c in copies if c[1] not in gone]
     del _SCRATCH[since:]
 
 

@@ -72,12 +72,16 @@ class ContactStages:
     @cached_property
     def attempts_union(self) -> DataFrame:
         """D2 and D3 together, with the catalogue's copies (the attempt lists)."""
+        if self.tables.registro is not None:
+            return attempts.effective_attempts_tagged(self.tables.registro, self.cfg, self.keep_effective)
         return self.d2_live.unionByName(self.d3_backup)
 
     @cached_property
     def attempts_once(self) -> DataFrame:
         """Each effective attempt once: what first contacts and call counts read."""
         keep = self.keep_effective_once
+        if self.tables.registro is not None:
+            return attempts.effective_attempts_tagged(self.tables.registro, self.cfg, keep)
         return attempts.effective_attempts_live(self.tables, self.cfg, keep).unionByName(
             attempts.effective_attempts_backup(self.tables, self.cfg, keep)
         )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fonolytics.config import ProfileConfig
+from fonolytics.config import SOURCE_BACKUP, SOURCE_LIVE, ProfileConfig
 from fonolytics.sources.tables import ContactTables
 
 # Fixed values of the fixture mapping (FIXTURES.md): wrap-up code = return
@@ -36,6 +36,8 @@ FIXTURE_OTHER_STAGE = "judicial"
 FIXTURE_LIVE_FROM = "199902"
 FIXTURE_BACKUP_TO = "199902"
 FIXTURE_BACKUP_DUP_PERIOD = "200002"
+# Days from a call to the day from which its score is valid.
+SCORE_DAYS = 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,11 @@ def half_year(ts: Column) -> Column:
     return (F.year(ts) * 100 + half).cast("string")
 
 
+def period_start(period: str) -> str:
+    """First day of a ``half_year`` period."""
+    return f"{period[:4]}-{'01' if period.endswith('01') else '07'}-01"
+
+
 def _case_map(col: Column, mapping: dict[str, str], default: str | None = None) -> Column:
     expr = None
     for key, value in mapping.items():
@@ -55,6 +62,10 @@ def _case_map(col: Column, mapping: dict[str, str], default: str | None = None)
     return expr.otherwise(F.lit(default)) if default is not None else expr
 
 
+def dialled_slot() -> Column:
+    return F.when(F.col("o_custkey") % 10 == 0, F.lit(1)).otherwise(F.col("l_partkey") % 13 + 1)
+
+
 def attempts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attempts_from(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
 
@@ -67,12 +78,11 @@ def attempts_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
     od = orders.select("o_orderkey", "o_custkey", "o_orderdate")
     c = F.col("o_custkey")
-    slot = F.when(c % 10 == 0, F.lit(1)).otherwise(F.col("l_partkey") % 13 + 1)
     return li.join(od, li.l_orderkey == od.o_orderkey).select(
         half_year(F.col("o_orderdate")).alias("periodo"),
         c.alias("contact_id"),
         F.concat(F.col("l_returnflag"), F.lit("-"), F.col("l_linestatus")).alias("wrap_up"),
-        F.concat(F.lit("51"), (F.lit(900000000) + c * 100 + slot).cast("string")).alias("dnis"),
+        F.concat(F.lit("51"), (F.lit(900000000) + c * 100 + dialled_slot()).cast("string")).alias("dnis"),
         F.col("l_shipdate").alias("fecha_key"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id_intento"),
         F.concat(F.lit("cob_bpe_0"), (F.col("l_suppkey") % 5).cast("string")).alias("campaign_name"),
@@ -118,15 +128,41 @@ def assignment_history(spark: SparkSession, sf_dir: str, n_phones: int = 10) ->
     )
 
 
+def in_live() -> Column:
+    return F.col("periodo") >= FIXTURE_LIVE_FROM
+
+
+def in_backup() -> Column:
+    again = (F.col("periodo") == FIXTURE_BACKUP_DUP_PERIOD) & (F.col("contact_id") % 5 == 0)
+    return (F.col("periodo") <= FIXTURE_BACKUP_TO) | again
+
+
+def tagged(attempts: DataFrame) -> DataFrame:
+    """Both attempt logs in one pass: a row per log that holds the attempt, with ``fuente``."""
+    logs = F.array_compact(F.array(F.when(in_live(), F.lit(SOURCE_LIVE)), F.when(in_backup(), F.lit(SOURCE_BACKUP))))
+    return attempts.select("*", F.explode(logs).alias("fuente"))
+
+
+def score_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score table: every line item scores the phone that it dials, from ``SCORE_DAYS`` days after its shipping on."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate")
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return li.join(od, li.l_orderkey == od.o_orderkey).select(
+        F.col("o_custkey").alias("codunicocli"),
+        (F.lit(900000000) + F.col("o_custkey") * 100 + dialled_slot()).cast("string").alias("telefono"),
+        (F.col("l_shipdate") + F.expr(f"interval {SCORE_DAYS} days")).alias("vigente_desde"),
+        F.col("l_quantity").cast("long").alias("puntaje"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id_puntaje"),
+    )
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str, cfg: ProfileConfig | None = None) -> ContactTables:
     n_phones = cfg.n_phones if cfg is not None else 10
     att = attempts_all(spark, sf_dir)
     return ContactTables(
-        intentos=att.where(F.col("periodo") >= FIXTURE_LIVE_FROM),
-        intentos_bkp=att.where(
-            (F.col("periodo") <= FIXTURE_BACKUP_TO)
-            | ((F.col("periodo") == FIXTURE_BACKUP_DUP_PERIOD) & (F.col("contact_id") % 5 == 0))
-        ),
+        intentos=att.where(in_live()),
+        intentos_bkp=att.where(in_backup()),
+        registro=tagged(att),
         conclusiones=outcome_catalogue(spark, sf_dir),
         asignacion=assignment_history(spark, sf_dir, n_phones),
     )

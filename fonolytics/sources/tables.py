@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fonolytics.config import SOURCE_BACKUP, SOURCE_LIVE
+
 ATTEMPT_SCHEMA = T.StructType([
     T.StructField("periodo", T.StringType()),
     T.StructField("contact_id", T.LongType()),
@@ -61,6 +63,8 @@ class ContactTables:
     intentos_bkp: DataFrame    # backup attempts
     conclusiones: DataFrame    # outcome catalogue
     asignacion: DataFrame      # monthly assignment history
+    # both attempt logs in one table, told apart by ``fuente`` (live or bkp), where there is one: read once
+    registro: DataFrame | None = None
 
 
 def rename_columns(df: DataFrame, renames: dict[str, str]) -> DataFrame:
@@ -79,6 +83,7 @@ def normalise_text(tables: ContactTables) -> ContactTables:
         intentos_bkp=norm(tables.intentos_bkp, ["wrap_up", "campaign_name"]),
         conclusiones=norm(tables.conclusiones, ["conlusion_cloud", "tipo_resultado"]),
         asignacion=norm(tables.asignacion, ["tramo_asignacion"]),
+        registro=norm(tables.registro, ["wrap_up", "campaign_name"]) if tables.registro is not None else None,
     )
 
 
@@ -103,7 +108,8 @@ def read_contact_tables(
     """Read the four tables from storage (parquet, orc, csv, json, ...).
 
     ``paths`` maps ``intentos``, ``intentos_bkp``, ``conclusiones`` and
-    ``asignacion`` to locations. Parquet/ORC keep their own schema (and any
+    ``asignacion`` to locations; ``registro`` instead of the first two names a
+    table of both logs with a column ``fuente`` (live or bkp). Parquet/ORC keep their own schema (and any
     extra assignment columns, which the profile passes through); text formats
     are read as text by column name (a CSV file needs its header), renamed,
     and the known columns cast to the schemas above, malformed values to null;
@@ -122,9 +128,12 @@ def read_contact_tables(
         return df.withColumns({c: F.col(c).try_cast(t) for c, t in known.items() if t is not None})
 
     with string_partitions(spark):
+        both = read("registro", ATTEMPT_SCHEMA) if "registro" in paths else None
+        arm = lambda source: both.where(F.col("fuente") == source).drop("fuente")
         return ContactTables(
-            intentos=read("intentos", ATTEMPT_SCHEMA),
-            intentos_bkp=read("intentos_bkp", ATTEMPT_SCHEMA),
+            intentos=read("intentos", ATTEMPT_SCHEMA) if both is None else arm(SOURCE_LIVE),
+            intentos_bkp=read("intentos_bkp", ATTEMPT_SCHEMA) if both is None else arm(SOURCE_BACKUP),
+            registro=both,
             conclusiones=read("conclusiones", OUTCOME_SCHEMA),
             asignacion=read("asignacion", assignment_schema()),
         )

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fonolytics.operators import callcenter as cc
 from fonolytics.operators.client360 import client_360
-from fonolytics.operators.rescore import phone_rescore, phone_scores
-from fonolytics.sources.validated_load import ORDER_RULES, load_summary, validate, validated_load
+from fonolytics.operators.rescore import phone_rescore, phone_rescore_asof, phone_scores
+from fonolytics.sources.validated_load import ORDER_RULES, load_checked, load_summary, validate, validated_load
 from helpers import CFG
 
 
@@ -98,7 +98,38 @@ def test_registered_load_has_every_reason(spark):
     from fonolytics.plans.jobs import q_validated_load
 
     got = {r.motivo for r in q_validated_load(spark, SF001).collect()}
-    assert got == {None, "clave_nula", "clave_duplicada", "monto_no_numerico", "monto_no_positivo", "categoria_desconocida"}
+    assert got == {None, "clave_nula", "clave_duplicada", "monto_no_numerico", "monto_no_finito", "monto_no_positivo", "categoria_desconocida"}
+
+
+def test_load_accounting_equals_the_tables(spark, tmp_path):
+    """Observed while writing: first reasons add up to the rows, and every broken rule of a row is counted."""
+    t, q = str(tmp_path / "t"), str(tmp_path / "q")
+    feed = spark.createDataFrame(
+        [("1", "1.5", "1-URGENT"), (None, "NaN", "x"), ("2", "1e400", "1-URGENT"), ("3", "-Infinity", "5-LOW"), ("4", "abc", None),
+         ("5", None, "5-LOW"), ("6", "2", "5-LOW"), ("6", "-2", "nope")],
+        "o_orderkey string, o_totalprice string, o_orderpriority string")
+    got = {r.motivo: (r.filas, r.filas_con_motivo) for r in load_checked(feed, t, q, ORDER_RULES).collect()}
+    assert got == {None: (1, None), "clave_nula": (1, 1), "clave_duplicada": (2, 2), "monto_no_numerico": (1, 1),
+                   "monto_no_finito": (2, 3), "monto_no_positivo": (1, 3), "categoria_desconocida": (0, 3)}
+    rejects = spark.read.parquet(q)
+    assert spark.read.parquet(t).count() == got[None][0] and rejects.count() == sum(n for m, (n, _) in got.items() if m)
+    by_rule = {r.motivo: r["count"] for r in rejects.select(F.explode("motivos").alias("motivo")).groupBy("motivo").count().collect()}
+    assert by_rule == {m: n for m, (_, n) in got.items() if m}
+    assert load_checked(feed.limit(0), t, q, ORDER_RULES).collect() == []
+    assert spark.read.parquet(t).count() == spark.read.parquet(q).count() == 0
+
+
+def test_scores_valid_at_a_time_order_the_slots(spark):
+    slots = spark.createDataFrame([(1, 1, "a", 50), (1, 2, "b", 50), (1, 3, "c", 50), (2, 1, "a", 5)],
+                                  "codunicocli long, posicion int, telefono string, s long").withColumn("fecha", F.timestamp_seconds("s")).drop("s")
+    history = spark.createDataFrame(
+        [(1, "a", 10, 9, 1), (1, "a", 40, 2, 2), (1, "a", 60, 99, 3),  # the newest by then is 2
+         (1, "b", 50, 7, 4), (1, "b", 50, 8, 5),                       # from that moment on; the greater id counts
+         (2, "a", 6, 5, 6)],                                           # too late
+        "codunicocli long, telefono string, u long, puntaje long, id_puntaje long").withColumn("vigente_desde", F.timestamp_seconds("u"))
+    got = {r.codunicocli: r for r in phone_rescore_asof(slots, history, CFG).collect()}
+    assert (got[1].telefono1, got[1].telefono2, got[1].telefono3, got[1].mejor_score) == ("b", "a", "c", 8)
+    assert (got[2].telefono1, got[2].mejor_score, got[2].slots_cambiados) == ("a", 0, 0)
 
 
 def test_lookup_restricts_the_lines_first(spark):

@@ -1,0 +1,109 @@
+"""Range-partitioned numbering equals a window row_number, also with a hot key."""
+
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from fonolytics.operators.sorted_scan import asof_join, row_number_by_range
+
+
+def _expected(df, keys, order):
+    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+
+
+def test_hot_key_spread_over_partitions(spark):
+    n = 30000
+    df = spark.range(n).select(
+        # a third of the rows in one group, a null group, and many small ones
+        F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 101 == 1, F.lit(None)).otherwise(F.col("id") % 50).alias("k"),
+        ((F.col("id") * 7919) % 1000).alias("t"),
+        F.col("id").alias("tie"),
+    )
+    got = row_number_by_range(df, ["k"], ["t", "tie"], out="rn", num_partitions=16)
+    want = _expected(df, ["k"], ["t", "tie"])
+    assert got.count() == n
+    diff = got.select("k", "t", "tie", "rn").exceptAll(want.select("k", "t", "tie", "rn"))
+    assert diff.count() == 0
+
+
+def test_hot_group_is_not_in_one_task(spark):
+    # AQE would merge the tiny test partitions; switch that off to see the split
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(20000).select(F.lit(1).alias("k"), F.col("id").alias("t"))
+        got = row_number_by_range(df, ["k"], ["t"], out="rn", num_partitions=8)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) >= 4 and max(sizes) < 20000 / 2
+    assert got.agg(F.min("rn"), F.max("rn"), F.count_distinct("rn")).first() == (1, 20000, 20000)
+
+
+def test_null_order_values_come_first(spark):
+    df = spark.createDataFrame([(1, None, 3), (1, 5, 1), (1, 2, 2)], "k int, t int, tie int")
+    got = {r.tie: r.rn for r in row_number_by_range(df, ["k"], ["t", "tie"], out="rn").collect()}
+    assert got == {3: 1, 2: 2, 1: 3}
+
+
+def test_numbering_has_one_full_exchange(spark):
+    """The rows cross the network once: the written slices are read without another exchange."""
+    df = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("t"))
+    plan = row_number_by_range(df, ["k"], ["t"], out="rn")._jdf.queryExecution().executedPlan().toString()
+    big = [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning(_sc_pid" not in line]
+    # what is left are the markers: their window and their broadcast
+    assert "rangepartitioning" not in plan and len(big) <= 2, plan
+
+
+def _asof_by_hand(left, right, strict):
+    out = {}
+    for k, p, t, i in left:
+        ok = [(u, j) for kk, pp, u, j in right if None not in (k, p, t, u) and (kk, pp) == (k, p) and (u < t if strict else u <= t)]
+        out[i] = max(ok)[1] if ok else None
+    return out
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_join_equals_brute_force(spark, strict):
+    rng = random.Random(5)
+    pick = lambda n, none: None if rng.random() < none else rng.randint(0, n)
+    # a third of the rows on one key; ties in time, null keys and times; left rows before any right row
+    left = [(1 if i % 3 == 0 else pick(9, 0.05), rng.choice("ab"), pick(60, 0.02), i) for i in range(1500)]
+    right = [(1 if j % 3 == 0 else pick(9, 0.05), rng.choice("abc"), pick(60, 0.02) if j % 5 else 50, j) for j in range(900)]
+    a = spark.createDataFrame(left, "k long, p string, t long, i long").withColumn("t", F.timestamp_seconds("t")).repartition(4)
+    b = spark.createDataFrame(right, "k int, p string, u long, j long").withColumn("u", F.timestamp_seconds("u"))
+    for n in (1, 9):
+        got = asof_join(a, b, ["k", "p"], "t", "u", ["j"], tie=["j"], strict=strict, num_partitions=n)
+        assert got.columns == ["k", "p", "t", "i", "j"]
+        assert {r.i: r.j for r in got.collect()} == _asof_by_hand(left, right, strict)
+
+
+def test_asof_carries_over_partitions_without_rows_of_the_right_side(spark):
+    # one old score, then thousands of calls of one client: most slices never see the score
+    calls = spark.range(5000).select(F.lit(1).alias("k"), F.timestamp_seconds(F.col("id") + 10).alias("t"), "id")
+    score = spark.createDataFrame([(1, 5, 77), (2, 5, 88)], "k int, u long, s long").withColumn("u", F.timestamp_seconds("u"))
+    got = asof_join(calls, score, ["k"], "t", "u", ["s"], num_partitions=8)
+    assert got.groupBy("s").count().collect() == [(77, 5000)]
+
+
+def test_asof_makes_no_pairs_and_splits_a_hot_key(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        calls = spark.range(6000).select(F.lit(1).alias("k"), F.timestamp_seconds("id").alias("t"), "id")
+        scores = spark.range(6000).select(F.lit(1).alias("k"), F.timestamp_seconds("id").alias("u"), F.col("id").alias("s"))
+        got = asof_join(calls, scores, ["k"], "t", "u", ["s"], num_partitions=8)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got.where("s = id").count() == 6000
+    assert len(sizes) >= 4 and max(sizes) < 3000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "NestedLoop" not in plan
+
+
+def test_asof_on_empty_sides(spark):
+    calls = spark.range(3).select(F.col("id").alias("k"), F.timestamp_seconds("id").alias("t"))
+    scores = calls.select("k", F.col("t").alias("u"), F.lit(5).alias("s"))
+    assert asof_join(calls.limit(0), scores, ["k"], "t", "u", ["s"]).collect() == []
+    assert {r.s for r in asof_join(calls, scores.limit(0), ["k"], "t", "u", ["s"]).collect()} == {None}
