@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fonolytics.llm.components import components
-from fonolytics.llm.store import written
+from fonolytics.llm.store import frugal, written
 from fonolytics.llm.textarrays import ALNUM, LOWER, mix, ranges, slices, text_bytes, word_hashes, word_spans
 
 SHINGLE = 5
@@ -172,7 +172,7 @@ def signed(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, weighted: bool
                 )
 
     own, kind = _own(docs, doc_id, text)
-    return own.mapInArrow(run, f"id {kind}, node long, size long, keys array<long>")
+    return own.mapInArrow(frugal(run), f"id {kind}, node long, size long, keys array<long>")
 
 
 def _sets(docs: DataFrame, weighted: bool) -> DataFrame:
@@ -188,7 +188,7 @@ def _sets(docs: DataFrame, weighted: bool) -> DataFrame:
                     [pa.array(_nodes(hashes, counts, offsets)), cut(hashes), cut(counts.astype(np.uint32))], ["node", "shingles", "counts"]
                 )
 
-    return docs.mapInArrow(run, "node long, shingles binary, counts binary")
+    return docs.mapInArrow(frugal(run), "node long, shingles binary, counts binary")
 
 
 def _likeness(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
@@ -210,7 +210,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """(a, b, likeness) of the distinct pairs."""
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"{s}_shingles"), F.col("counts").alias(f"{s}_counts"))
-    return written(pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_compare, "a long, b long, likeness double"), name)
+    return written(pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(frugal(_compare), "a long, b long, likeness double"), name)
 
 
 def _hubs(members: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fonolytics.llm.store import frugal, give_back
+
 TOP = 300
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
@@ -116,7 +118,7 @@ def learn_profiles(docs: DataFrame, top: int = TOP, text: str = "text", lang: st
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     counts = (
         rows.where("lang is not null and text is not null")
-        .mapInArrow(_count_grams, "lang string, gram long, n long")
+        .mapInArrow(frugal(_count_grams), "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -154,9 +156,11 @@ def language(p: Profiles, text: str = "text") -> Column:
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
-    def found(texts: pa.Array) -> pa.Array:
-        got = [predict(t, p) for t in texts.to_pylist()]
-        return pa.array([{"lang_pred": a, "score": b} for a, b in got], kind)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            got = [predict(t.as_py(), p) for t in texts]
+            yield pa.array([{"lang_pred": a, "score": b} for a, b in got], kind)
+        give_back()
 
     return found(F.col(text).cast("string"))
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fonolytics.llm.store import written
+from fonolytics.llm.store import frugal, written
 from fonolytics.llm.textarrays import ranges, slices
 from fonolytics.llm.tokens import PieceEncoder
 
@@ -106,7 +106,7 @@ def token_pieces(
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
-    return own.mapInArrow(cut, schema).withColumnRenamed("id", doc_id)
+    return own.mapInArrow(frugal(cut), schema).withColumnRenamed("id", doc_id)
 
 
 def _pack_group(capacity: int):
@@ -134,7 +134,7 @@ def pack(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
     part = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-part.count() // group))
-    packed = part.repartition(groups).mapInArrow(_pack_group(capacity), schema)
+    packed = part.repartition(groups).mapInArrow(frugal(_pack_group(capacity)), schema)
     packed = packed.withColumn("sequence_id", F.col("sequence_id") * 2)
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1)
     return packed.unionByName(full.withColumn("offset", F.lit(0).cast("long")))

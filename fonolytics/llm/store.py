@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import shutil
 import tempfile
 import uuid
@@ -59,6 +63,31 @@ def mapped_array(uri: str, dtype: str) -> np.ndarray:
     return np.memmap(copy, dtype, "r")
 
 
+def frugal(work):
+    """`work` (over a task's Arrow batches), which gives the memory that it freed back to the system when the task ends.
+
+    Spark keeps Python workers for later stages; without this each would hold on to the largest task that it ever ran.
+    """
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only GNU's C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     """A written table of narrow rows, marked for broadcast if it has at most `most_rows`; beyond that the join shuffles it."""
     from pyspark.sql import functions as F

@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from fonolytics.llm.textarrays import ranges, word_hashes
 
-KEEP = 3_000_000
+KEEP = 600_000
 SPACE, LETTER, NUMBER, OTHER = range(4)
 _CLASS = np.zeros(0, np.uint8)
 

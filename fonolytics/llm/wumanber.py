@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fonolytics.llm.store import written
+from fonolytics.llm.store import frugal, written
 from fonolytics.llm.textarrays import ALNUM, LOWER, mix, ranges, slices, text_bytes, word_hashes, word_spans
 
 WINDOW = 10
@@ -236,7 +236,7 @@ def _find(own: DataFrame, items: list[tuple[str | None, str]], window: int) -> D
                 yield _scan_batch(part, groups, ids)
 
     kind = own.schema["id"].dataType.simpleString()
-    return own.mapInArrow(scan, f"id {kind}, n_words long, spans array<struct<first: long, after: long>>, items array<string>")
+    return own.mapInArrow(frugal(scan), f"id {kind}, n_words long, spans array<struct<first: long, after: long>>, items array<string>")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
