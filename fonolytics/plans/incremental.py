@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from fonolytics.config import ProfileConfig
 from fonolytics.operators.attempts import first_contacts
+from fonolytics.plans.materialize import folder
 from fonolytics.plans.stages import ContactStages
 from fonolytics.sources.tables import string_partitions
 
@@ -32,52 +33,65 @@ STORE_COLUMNS = ["fuente", "cu", "wrap_up", "telefono", "orden", "mes"]
 STORE_SCHEMA = "fuente string, cu bigint, wrap_up string, telefono string, orden bigint, mes string"
 
 
-def settings_folder(store: str, cfg: ProfileConfig) -> str:
-    """The part of the store for the settings that first contacts depend on; other settings have another."""
-    settings = [cfg.campaigns, cfg.outcome_types, cfg.phone_digits, cfg.backup_min_period, cfg.normalise_text, cfg.dedup]
+def catalogue_mark(codes: DataFrame) -> list[str]:
+    """What tells two sets of effective codes apart: their number and two order-free sums of hashes."""
+    h, g = F.xxhash64("conclusion"), F.xxhash64(F.lit(1), "conclusion")
+    found = codes.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(g.cast("decimal(38,0)")).alias("s")).first()
+    return [str(v) for v in found]
+
+
+def settings_folder(store: str, cfg: ProfileConfig, codes: DataFrame) -> str:
+    """The part of the store for the settings and the effective codes that first contacts depend on; others have another."""
+    settings = [cfg.campaigns, cfg.outcome_types, cfg.phone_digits, cfg.backup_min_period, cfg.normalise_text, cfg.dedup, catalogue_mark(codes)]
     return f"{store.rstrip('/')}/ajustes={hashlib.sha256(json.dumps(settings).encode()).hexdigest()[:16]}"
 
 
-def _folder(spark: SparkSession, path: str) -> tuple:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+# A file per complete month, below the settings folder (names with an underscore are no data to Spark).
+_DONE = "_completos"
 
 
-def stored_months(spark: SparkSession, folder: str) -> set[str]:
-    """Months present in a settings folder, from its folder names. Only a missing folder means none."""
-    fs, path = _folder(spark, folder)
+def stored_months(spark: SparkSession, part: str) -> set[str]:
+    """Complete months of a settings folder, also those without any contact. Only a missing folder means none."""
+    fs, path = folder(spark, f"{part}/{_DONE}")
     if not fs.exists(path):
         return set()
-    names = [f.getPath().getName() for f in fs.listStatus(path)]
-    return {n.removeprefix("mes=") for n in names if n.startswith("mes=")}
+    return {f.getPath().getName() for f in fs.listStatus(path)}
 
 
 def refresh_store(stages: ContactStages, store: str, recompute: Iterable[str] | None = None) -> list[str]:
     """Compute and write the window's months that are missing or to be redone; return them.
 
-    A month's old rows are removed first: a run that breaks off leaves it
-    missing, and the next run computes it again. A month without contacts has
-    no folder, so it is looked at again by each run.
+    A month is complete once its mark is there. The mark goes first and comes
+    back last, and the month's old rows are removed before new ones are
+    written: a run that breaks off at any step, also while Spark moves the
+    written files, leaves the month incomplete, and the next run does it again.
     """
     cfg = stages.cfg
     spark = stages.tables.intentos.sparkSession
-    folder = settings_folder(store, cfg)
+    part = settings_folder(store, cfg, stages.effective_codes)
     redo = set(recompute) if recompute is not None else {cfg.target_period}
-    months = sorted((set(cfg.periods) - stored_months(spark, folder)) | (redo & set(cfg.periods)))
+    months = sorted((set(cfg.periods) - stored_months(spark, part)) | (redo & set(cfg.periods)))
     if months:
-        for m in months:
-            fs, path = _folder(spark, f"{folder}/mes={m}")
+        for name in [f"{_DONE}/{m}" for m in months] + [f"mes={m}" for m in months]:
+            fs, path = folder(spark, f"{part}/{name}")
             fs.delete(path, True)
         fresh = first_contacts(stages.attempts_once.where(F.col("mes").isin(months)), by_source=not cfg.dedup)
-        fresh.select(*STORE_COLUMNS).write.mode("append").partitionBy("mes").parquet(folder)
+        fresh.select(*STORE_COLUMNS).write.mode("append").partitionBy("mes").parquet(part)
+        mark_complete(spark, part, months)
     return months
 
 
-def read_store(spark: SparkSession, folder: str, periods: Iterable[str]) -> DataFrame:
+def mark_complete(spark: SparkSession, part: str, months: Iterable[str]) -> None:
+    for m in months:
+        fs, path = folder(spark, f"{part}/{_DONE}/{m}")
+        fs.create(path, True).close()
+
+
+def read_store(spark: SparkSession, part: str, periods: Iterable[str]) -> DataFrame:
     """First contacts of the given months in a settings folder, in the D5 layout."""
     with string_partitions(spark):
         # a store without any contact has no files to tell the columns from
-        df = spark.read.schema(STORE_SCHEMA).parquet(folder)
+        df = spark.read.schema(STORE_SCHEMA).parquet(part)
     return df.where(F.col("mes").isin(list(periods))).select("fuente", "mes", "cu", "wrap_up", "telefono", "orden")
 
 
@@ -87,11 +101,12 @@ def with_first_contact_store(
     """The same stages, with D5 read from the refreshed month store.
 
     Runs with other campaigns, outcome types, phone digits, backup bound, text
-    normalisation or ``dedup`` use another part of the store.
+    normalisation, ``dedup`` or other effective codes in the catalogue use
+    another part of the store.
     """
     refresh_store(stages, store, recompute)
     spark = stages.tables.intentos.sparkSession
     return ContactStages(
         stages.tables, stages.cfg, base=stages.base_mode,
-        first_contacts=read_store(spark, settings_folder(store, stages.cfg), stages.cfg.periods),
+        first_contacts=read_store(spark, settings_folder(store, stages.cfg, stages.effective_codes), stages.cfg.periods),
     )

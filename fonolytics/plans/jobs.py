@@ -20,6 +20,8 @@ from fonolytics.plans import oracle as o
 from fonolytics.plans.materialize import scratch_path
 from fonolytics.sources import fixtures as fx
 from fonolytics.sources.fixtures import table
+from fonolytics.sources.sinks import write_report
+from fonolytics.sources.tables import string_partitions
 from fonolytics.sources.validated_load import (
     ORDER_RULES,
     QUARANTINE,
@@ -351,6 +353,8 @@ def job_sql(cfg: ProfileConfig = FIXTURE_CONFIG) -> dict[str, str]:
         "phone_rescore": _sql_phone_rescore(cfg),
         # the streaming job must agree with the batch first contacts
         "first_contact_stream": o.stage_sql(cfg)["first_contact_per_period"],
+        "alert_summary_report": f"select *, {o.q(cfg.target_period)} as periodo_objetivo from ({o.stage_sql(cfg)['alert_summary']})",
+        "first_contact_state_stream": o.stage_sql(cfg)["first_contact_per_period"],
     }
 
 
@@ -361,4 +365,25 @@ def q_first_contact_stream(spark, sf_dir):
     return run_fixture_stream(spark, sf_dir, FIXTURE_CONFIG)
 
 
+def q_alert_summary_report(spark, sf_dir):
+    """Query 3 as a reader gets it: an earlier report of the month is replaced by the new one, which is read back."""
+    from fonolytics.plans.catalog import stages_for
+
+    path = scratch_path(spark, "report")
+    summary = stages_for(spark, sf_dir).d18_summary(ordered=False)
+    write_report(summary.where(F.col("ranking_gravedad") == 1), path, FIXTURE_CONFIG)
+    write_report(summary, path, FIXTURE_CONFIG)
+    with string_partitions(spark):
+        return spark.read.parquet(path)
+
+
+def q_first_contact_state_stream(spark, sf_dir):
+    """D5 from the keyed-state stream, with the outcome catalogue applied when it is read."""
+    from fonolytics.streaming.contact_state import run_fixture_state_stream
+
+    return run_fixture_state_stream(spark, sf_dir, FIXTURE_CONFIG)
+
+
 JOB_QUERIES["first_contact_stream"] = q_first_contact_stream
+JOB_QUERIES["alert_summary_report"] = q_alert_summary_report
+JOB_QUERIES["first_contact_state_stream"] = q_first_contact_state_stream

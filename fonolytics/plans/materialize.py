@@ -84,7 +84,7 @@ def materialize_shared(df: DataFrame) -> DataFrame:
         return materialize(df, "checkpoint")
     key = (ensure_checkpoint_dir(spark), df.semanticHash(), stamp)
     for plan, path in _SHARED.get(key, []):
-        if _folder(spark, path)[0].exists(_folder(spark, path)[1]) and plan.sameSemantics(df):
+        if folder(spark, path)[0].exists(folder(spark, path)[1]) and plan.sameSemantics(df):
             return spark.read.schema(df.schema).parquet(path)
     path = scratch_path(spark, "table")
     df.write.parquet(path)
@@ -92,7 +92,7 @@ def materialize_shared(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _folder(spark: SparkSession, path: str) -> tuple:
+def folder(spark: SparkSession, path: str) -> tuple:
     """Hadoop file system and path object of a location."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -104,7 +104,7 @@ def _input_stamp(spark: SparkSession, files: list[str], most: int = 1000) -> tup
         return None
     found = []
     for name in sorted(files):
-        fs, path = _folder(spark, name)
+        fs, path = folder(spark, name)
         status = fs.getFileStatus(path)
         found.append((name, status.getLen(), status.getModificationTime()))
     return tuple(found)
@@ -124,7 +124,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def release(spark: SparkSession, since: int = 0) -> None:
     """Remove the scratch paths made after the first ``since`` ones. No result that reads them may be used afterwards."""
     for path in _SCRATCH[since:]:
-        fs, p = _folder(spark, path)
+        fs, p = folder(spark, path)
         fs.delete(p, True)
     gone = set(_SCRATCH[since:])
     for key, copies in list(_SHARED.items()):

@@ -16,16 +16,17 @@ A new outcome code is seen by a query from its next start on.
 
 The log holds one row per improvement. ``compact`` rewrites it to one row per
 group as a new version and then switches a pointer, so readers see the old or
-the new version, never a mixture.
+the new version, never a mixture. A log without any row reads as empty.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from fonolytics.config import SOURCE_BACKUP, SOURCE_LIVE, ProfileConfig
 from fonolytics.operators.attempts import ATTEMPT_ORDER, _arm
@@ -36,6 +37,12 @@ _EVENT = "_evento"
 # Below the log's folder: improvements, compacted versions, and a pointer file per complete version.
 _LOG, _VERSION, _POINTER = "log", "version-", "complete-"
 GROUP_KEYS = ["fuente", "cu", "mes"]
+_TYPES = {"fuente": "string", "cu": "bigint", "mes": "string", "wrap_up": "string"}
+_FIRST_TYPE = "struct<fecha_key: timestamp, id_intento: bigint, dnis: string, wrap_up: string, telefono: string>"
+
+
+def log_schema(keys: list[str]) -> str:
+    return ", ".join([*[f"{k} {_TYPES[k]}" for k in keys], f"{_FIRST} {_FIRST_TYPE}"])
 
 
 def first_contact_updates(arms: DataFrame, watermark_delay: str | None = None) -> DataFrame:
@@ -58,7 +65,8 @@ def effective_attempt_stream(live: DataFrame, backup: DataFrame, keep_effective,
 
 
 def start_changelog_sink(
-    updates: DataFrame, out_path: str, checkpoint: str, available_now: bool = True, name: str | None = None
+    updates: DataFrame, out_path: str, checkpoint: str, available_now: bool = True, name: str | None = None,
+    keys: list[str] | None = None,
 ) -> StreamingQuery:
     """Append each micro-batch's improved groups to the log in ``out_path``.
 
@@ -67,8 +75,9 @@ def start_changelog_sink(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select(*GROUP_KEYS, _FIRST).write.mode("append").parquet(f"{out_path}/{_LOG}")
+        batch.select(*(keys or GROUP_KEYS), _FIRST).write.mode("append").parquet(f"{out_path}/{_LOG}")
 
+    _drop_counter(updates.sparkSession)
     w = updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     if name:
         w = w.queryName(name)
@@ -92,38 +101,89 @@ def _versions(spark: SparkSession, out_path: str) -> list[str]:
     return sorted(n.removeprefix(_POINTER) for n in names if n.startswith(_POINTER))
 
 
-def read_log(spark: SparkSession, out_path: str) -> DataFrame:
+def _log_files(spark: SparkSession, out_path: str) -> list[str]:
+    """The log's data files; none where nothing was written yet."""
+    fs, path = _paths(spark, out_path)
+    log = path(f"{out_path}/{_LOG}")
+    if not fs.exists(log):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(log)]
+    return [f"{out_path}/{_LOG}/{n}" for n in names if not n.startswith(("_", "."))]
+
+
+def read_log(spark: SparkSession, out_path: str, keys: list[str] | None = None) -> DataFrame:
     """One row per group: the newest compacted version and all later improvements."""
-    log = spark.read.parquet(f"{out_path}/{_LOG}")
-    versions = _versions(spark, out_path)
-    if versions:
-        log = log.unionByName(spark.read.parquet(f"{out_path}/{_VERSION}{versions[-1]}"))
-    return log.groupBy(*GROUP_KEYS).agg(F.min(_FIRST).alias(_FIRST))
+    keys = keys or GROUP_KEYS
+    schema, versions = log_schema(keys), _versions(spark, out_path)
+    parts = [spark.read.schema(schema).parquet(f"{out_path}/{_LOG}")] if _log_files(spark, out_path) else []
+    parts += [spark.read.schema(schema).parquet(f"{out_path}/{_VERSION}{versions[-1]}")] if versions else []
+    log = spark.createDataFrame([], schema) if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return log.groupBy(*keys).agg(F.min(_FIRST).alias(_FIRST))
 
 
-def compact(spark: SparkSession, out_path: str) -> None:
-    """Rewrite the log to one row per group. Call it while no query writes to ``out_path``.
+def compact(spark: SparkSession, out_path: str, keys: list[str] | None = None) -> None:
+    """Rewrite the log to one row per group.
 
     The new version is complete before its pointer is created; only then are
-    the log's files and the older versions removed. A crash in between leaves
-    rows twice, which the minimum makes harmless.
+    the files that it was made from removed, one by one, and the older
+    versions. After a crash at any step the newest pointer names a complete
+    version, and rows that stand twice are harmless to the minimum.
     """
     fs, path = _paths(spark, out_path)
-    old = _versions(spark, out_path)
+    old, files = _versions(spark, out_path), _log_files(spark, out_path)
+    if not files:
+        return
     name = f"{int(old[-1]) + 1 if old else 1:08d}"
-    log = f"{out_path}/{_LOG}"
-    schema = spark.read.parquet(log).schema
-    read_log(spark, out_path).write.mode("overwrite").parquet(f"{out_path}/{_VERSION}{name}")
+    read_log(spark, out_path, keys).write.mode("overwrite").parquet(f"{out_path}/{_VERSION}{name}")
     fs.create(path(f"{out_path}/{_POINTER}{name}")).close()
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(log)
+    for f in files:
+        fs.delete(path(f), False)
     for v in old:
         fs.delete(path(f"{out_path}/{_POINTER}{v}"), False)
         fs.delete(path(f"{out_path}/{_VERSION}{v}"), True)
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows (partial minima per task) that the query's watermark made it ignore, over its recent progress."""
-    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+class _DropCounter(StreamingQueryListener):
+    """Adds up, over all progress reports of a run, the rows that its watermark made it ignore."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows[str(p.runId)] = self.rows.get(str(p.runId), 0) + sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+
+_COUNTERS: dict[int, _DropCounter] = {}
+
+
+def _drop_counter(spark: SparkSession) -> _DropCounter:
+    if id(spark) not in _COUNTERS:
+        _COUNTERS[id(spark)] = _DropCounter()
+        spark.streams.addListener(_COUNTERS[id(spark)])
+    return _COUNTERS[id(spark)]
+
+
+def dropped_rows(query: StreamingQuery, wait: float = 20.0) -> int:
+    """Rows (partial minima per task) that the watermark of a query started here made it ignore, over its whole run.
+
+    For a query that has ended, waits up to ``wait`` seconds for its last report.
+    """
+    counter, run = _drop_counter(query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()), str(query.runId)
+    end = time.monotonic() + wait
+    while not query.isActive and run not in counter.ended and time.monotonic() < end:
+        time.sleep(0.05)
+    return counter.rows.get(run, 0)
 
 
 def read_first_contacts(spark: SparkSession, out_path: str) -> DataFrame:
@@ -179,20 +239,24 @@ def run_fixture_stream(
     from fonolytics.operators.attempts import outcome_filter
     from fonolytics.sources import fixtures as fx
 
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = f"{base}/first_contact_stream/{uuid.uuid4().hex}"
-    li_schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    li_stream = spark.readStream.schema(li_schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/lineitem*.parquet")
-    attempts = fx.attempts_from(li_stream, fx.table(spark, sf_dir, "orders"))
+    run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/first_contact_stream/{uuid.uuid4().hex}"
     keep = outcome_filter(fx.outcome_catalogue(spark, sf_dir), cfg, replicate=False)
-    live = attempts.where(F.col("periodo") >= fx.FIXTURE_LIVE_FROM)
-    bkp = attempts.where(
-        (F.col("periodo") <= fx.FIXTURE_BACKUP_TO)
-        | ((F.col("periodo") == fx.FIXTURE_BACKUP_DUP_PERIOD) & (F.col("contact_id") % 5 == 0))
-    )
-    updates = first_contact_updates(effective_attempt_stream(live, bkp, keep, cfg), watermark_delay)
-    q = start_changelog_sink(updates, f"{run}/log", f"{run}/state")
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
+    updates = first_contact_updates(effective_attempt_stream(*fixture_logs(spark, sf_dir), keep, cfg), watermark_delay)
+    wait_for(start_changelog_sink(updates, f"{run}/log", f"{run}/state"))
     return read_first_contacts(spark, f"{run}/log")
+
+
+def fixture_logs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The live and the backup log of the test tables as streams of line-item files, one file per micro-batch."""
+    from fonolytics.sources import fixtures as fx
+
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/lineitem*.parquet")
+    attempts = fx.attempts_from(lines, fx.table(spark, sf_dir, "orders"))
+    return attempts.where(fx.in_live()), attempts.where(fx.in_backup())
+
+
+def wait_for(query: StreamingQuery) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()

@@ -1,5 +1,6 @@
 """Readers and writers: month-partitioned inputs prune, reports round-trip."""
 
+import pytest
 from conftest import SF001
 from pyspark.sql import functions as F
 
@@ -183,3 +184,44 @@ def test_a_run_leaves_the_shared_folder_as_it_was(spark, tmp_path):
     before, n = listed(), scratch_count()
     run_reports(fixture_tables(spark, SF001, FIXTURE_CONFIG), FIXTURE_CONFIG, str(tmp_path / "r"))
     assert listed() == before and scratch_count() == n
+
+
+def _report(spark, tmp_path, n, cfg, fail=False, **kw):
+    from fonolytics.sources.sinks import write_report
+
+    boom = F.raise_error(F.lit("lost")) if fail else F.lit("x")
+    write_report(spark.range(n).withColumn("v", F.when(F.col("id") == n - 1, boom).otherwise("x")), str(tmp_path / "r"), cfg, **kw)
+    return spark.read.parquet(str(tmp_path / "r"))
+
+
+def test_a_rerun_without_rows_replaces_the_old_report(spark, tmp_path):
+    from fonolytics.config import FIXTURE_CONFIG as cfg
+
+    assert _report(spark, tmp_path, 5, cfg).count() == 5
+    other = cfg.with_(target="200001")
+    assert _report(spark, tmp_path, 3, other).count() == 8
+    now = _report(spark, tmp_path, 0, cfg)
+    assert now.count() == 3 and now.columns == ["id", "v", "periodo_objetivo"]
+
+
+def test_a_failed_run_leaves_the_old_report(spark, tmp_path):
+    from fonolytics.config import FIXTURE_CONFIG as cfg
+
+    _report(spark, tmp_path, 5, cfg)
+    with pytest.raises(Exception, match="lost"):
+        _report(spark, tmp_path, 9, cfg, fail=True)
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 5
+    assert sorted(p.name for p in (tmp_path / "r").iterdir() if not p.name.startswith(".")) == ["periodo_objetivo=200002"]
+
+
+def test_a_run_lost_while_publishing_is_mended_by_the_next(spark, tmp_path):
+    from fonolytics.config import FIXTURE_CONFIG as cfg
+    from fonolytics.sources.sinks import recover_report
+
+    _report(spark, tmp_path, 5, cfg)
+    root = tmp_path / "r"
+    (root / "periodo_objetivo=200002").rename(root / "_anterior-200002")  # lost between the two moves
+    (root / "_nuevo-200002-abc").mkdir()
+    recover_report(spark, str(root), "200002")
+    assert spark.read.parquet(str(root)).count() == 5
+    assert _report(spark, tmp_path, 4, cfg).count() == 4

@@ -15,6 +15,8 @@ from helpers import CFG, OUTCOMES, attempt, ts
 P = "51900000001"
 
 
+import os
+
 import pytest
 
 
@@ -140,7 +142,129 @@ def test_compaction_keeps_the_result_and_later_improvements(spark, tmp_path):
         before = read_first_contacts(spark, out).collect()
         compact(spark, out)
         assert read_first_contacts(spark, out).collect() == before and before[0].telefono == phone[-9:]
-        assert spark.read.parquet(out + "/log").count() == 0
-    import os
-
+        assert not [n for n in os.listdir(out + "/log") if n.startswith("part-")]
     assert sorted(n for n in os.listdir(out) if not n.startswith(".")) == ["complete-00000003", "log", "version-00000003"]
+
+
+def _log_of(spark, out, rows):
+    from fonolytics.streaming.first_contact import GROUP_KEYS, log_schema
+
+    spark.createDataFrame([("live", cu, "202603", (ts(day), 1, phone, "CE", phone)) for cu, day, phone in rows], log_schema(GROUP_KEYS)).write.mode("append").parquet(out + "/log")
+
+
+def test_reading_before_the_first_improvement_is_empty(spark, tmp_path):
+    from fonolytics.streaming.first_contact import compact, start_first_contact_stream
+
+    assert read_first_contacts(spark, str(tmp_path / "nothing")).collect() == []
+    for n in ("live", "bkp"):
+        spark.createDataFrame([], ATTEMPT_SCHEMA).write.parquet(str(tmp_path / n))
+    codes = spark.createDataFrame(OUTCOMES, "conlusion_cloud string, tipo_resultado string")
+    out = str(tmp_path / "log")
+    start_first_contact_stream(spark, str(tmp_path / "live"), str(tmp_path / "bkp"), codes, CFG, out, str(tmp_path / "state"), available_now=True).awaitTermination()
+    compact(spark, out)
+    assert read_first_contacts(spark, out).collect() == []
+
+
+@pytest.mark.parametrize("step", ["create", "delete"])
+def test_compaction_that_breaks_off_loses_nothing(spark, tmp_path, monkeypatch, step):
+    """A crash before the pointer, or between any two removals, leaves a readable log with the same result."""
+    from fonolytics.streaming import first_contact as fc
+
+    out = str(tmp_path / "log")
+    _log_of(spark, out, [(1, 5, "b"), (2, 5, "c")])
+    fc.compact(spark, out)
+    _log_of(spark, out, [(1, 2, "a")])
+    want = sorted(read_first_contacts(spark, out).collect())
+    real, calls = fc._paths, []
+
+    def breaking(*args):
+        fs, path = real(*args)
+
+        class Fs:
+            def __getattr__(self, name):
+                if name == step:
+                    if len(calls) >= (0 if step == "create" else 1):
+                        raise RuntimeError("lost")
+                    calls.append(name)
+                return getattr(fs, name)
+
+        return Fs(), path
+
+    monkeypatch.setattr(fc, "_paths", breaking)
+    with pytest.raises(RuntimeError):
+        fc.compact(spark, out)
+    monkeypatch.undo()
+    assert sorted(read_first_contacts(spark, out).collect()) == want
+    fc.compact(spark, out)
+    assert sorted(read_first_contacts(spark, out).collect()) == want
+
+
+def test_state_stream_sees_a_code_that_is_added_midway(spark, tmp_path):
+    """Several files, one batch each; the catalogue gains a code between them: equal to the batch stage each time."""
+    from fonolytics.plans.stages import ContactStages
+    from fonolytics.streaming.contact_state import contacts_now, start_contact_state_stream
+    from helpers import tables
+
+    batches = [
+        [attempt("202603", 1, "CE", "51900000002", ts(5), 2), attempt("202603", 1, "NEW", "51900000003", ts(3), 3), attempt("202603", None, "CE", None, ts(9), 9)],
+        [attempt("202603", 1, "CE", "51900000004", ts(4), 4), attempt("202602", 1, "NEW", "51900000005", None, 5), attempt("202603", 2, None, "51900000006", ts(1), 6)],
+        [attempt("202603", 1, "NEW", "51900000001", ts(2), 1), attempt("202603", 2, "PDP", "51900000007", ts(8), 7, campaign="other")],
+    ]
+    more = [*OUTCOMES, ("NEW", "pdp")]
+    out, state = str(tmp_path / "log"), str(tmp_path / "state")
+    seen = []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, ATTEMPT_SCHEMA).write.parquet(str(tmp_path / "live" / f"b{i}"))
+        spark.createDataFrame(rows[:1], ATTEMPT_SCHEMA).write.parquet(str(tmp_path / "bkp" / f"b{i}"))
+        read = lambda n: spark.readStream.schema(ATTEMPT_SCHEMA).parquet(str(tmp_path / n / "*"))
+        start_contact_state_stream(read("live"), read("bkp"), CFG, out, state, available_now=True).awaitTermination()
+        seen += rows
+        for codes in (OUTCOMES, more):
+            t = tables(spark, live=seen, bkp=[b[0] for b in batches[: i + 1]], outcomes=codes)
+            want = ContactStages(t, CFG).d5_first_contacts
+            got = contacts_now(spark, out, t.conclusiones, CFG)
+            assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, (i, codes)
+    assert want.count() >= 4
+
+
+def test_state_stream_over_the_test_tables(spark, tmp_path):
+    from conftest import SF001
+    from fonolytics.config import FIXTURE_CONFIG
+    from fonolytics.plans.catalog import all_queries
+    from fonolytics.streaming.contact_state import run_fixture_state_stream
+
+    for name in os.listdir(SF001):
+        if not name.startswith("lineitem"):
+            os.symlink(f"{SF001}/{name}", tmp_path / name)
+    lines = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    lines.repartition(2, "l_linenumber", "l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = run_fixture_state_stream(spark, str(tmp_path), FIXTURE_CONFIG)
+    want = all_queries()["first_contact_per_period"](spark, SF001)
+    assert want.count() > 500 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_idle_groups_are_closed_and_open_again():
+    """The state of a group with a timer, driven by hand: a call that comes after the group was closed is emitted again."""
+    from types import SimpleNamespace as Obj
+
+    from fonolytics.streaming.contact_state import FirstAttemptPerCode
+
+    kept, timers = {}, []
+    state = Obj(containsKey=lambda k: k in kept, getValue=lambda k: kept[k], updateValue=kept.__setitem__, clear=kept.clear)
+    handle = Obj(getMapState=lambda *a: state, listTimers=lambda: list(timers), deleteTimer=timers.remove, registerTimer=timers.append)
+    clock = lambda ms: Obj(getCurrentProcessingTimeInMs=lambda: ms)
+    call = lambda t: Obj(wrap_up="CE", fecha_key=t, id_intento=None, dnis=None, telefono=f"p{t}")
+    p = FirstAttemptPerCode(2.0)
+    p.init(handle)
+    run = lambda t, ms: [r.telefono for r in p.handleInputRows(("live", 1, "202603"), iter([call(t)]), clock(ms))]
+    assert run(5, 0) == ["p5"] and run(6, 1000) == [] and run(4, 1500) == ["p4"]
+    assert timers == [3500] and len(kept) == 1
+    assert list(p.handleExpiredTimer(("live", 1, "202603"), clock(3500), None)) == [] and not kept
+    assert run(9, 4000) == ["p9"]  # the log already has p4, whose minimum decides
+
+
+def test_timers_need_a_running_query(spark, tmp_path):
+    from fonolytics.streaming.contact_state import start_contact_state_stream
+
+    with pytest.raises(ValueError):
+        start_contact_state_stream(None, None, CFG, str(tmp_path), str(tmp_path), available_now=True, idle_seconds=1.0)
