@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fonolytics.llm.store import frugal, give_back
+from fonolytics.llm.textarrays import slices
 
 TOP = 300
 MAX_LANGUAGES = 2000
@@ -39,6 +40,8 @@ UNKNOWN = "und"
 BLANK = 32
 # Distinct n-grams that a task gathers before it hands them on.
 FLUSH = 1_000_000
+# Bytes of text whose n-grams are sorted at a time.
+SLICE = 1 << 20
 
 _LETTER = np.zeros(0, bool)
 
@@ -87,14 +90,15 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
     for batch in batches:
-        by_lang: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            codes = _codes(text)
-            if len(codes) > 2:
-                by_lang.setdefault(lang, []).append(codes)
-        for lang, parts in by_lang.items():
-            for a in range(0, len(parts), 500):
-                found = _counted(_grams(np.concatenate(parts[a : a + 500])))
+        # a slice's n-grams take some fifty times its bytes while they are sorted
+        for rows in slices(batch, "text", SLICE):
+            by_lang: dict[str, list[np.ndarray]] = {}
+            for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist()):
+                codes = _codes(text)
+                if len(codes) > 2:
+                    by_lang.setdefault(lang, []).append(codes)
+            for lang, parts in by_lang.items():
+                found = _counted(_grams(np.concatenate(parts)))
                 held.setdefault(lang, []).append(found)
                 size += len(found[0])
         if size > FLUSH:

@@ -41,6 +41,8 @@ from fonolytics.llm.textarrays import ranges, slices
 from fonolytics.llm.tokens import PieceEncoder
 
 GROUP = 50_000
+# Bytes of text that are tokenized at a time.
+SLICE = 1 << 20
 
 
 def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +87,7 @@ def token_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 tokens, offsets = encoder.encode(part.column("text"), end)
                 size = np.diff(offsets)
                 n = -(-size // capacity)
