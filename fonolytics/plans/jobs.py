@@ -20,6 +20,7 @@ from fonolytics.plans import oracle as o
 from fonolytics.plans.materialize import scratch_path
 from fonolytics.sources import fixtures as fx
 from fonolytics.sources.fixtures import table
+from fonolytics.sources.lookup_store import LookupStore, write_lookup_store
 from fonolytics.sources.sinks import write_report
 from fonolytics.sources.tables import string_partitions
 from fonolytics.sources.validated_load import (
@@ -344,6 +345,11 @@ def job_sql(cfg: ProfileConfig = FIXTURE_CONFIG) -> dict[str, str]:
         "saturday_recovery": _sql_saturday(),
         "client_360": _sql_client_360(),
         "client_products": _sql_client_products(),
+        "client_360_by_identifier": f"""select i.tipo, i.valor, c.* from ({_sql_client_360()}) c join (
+  select c_custkey, 'CU' as tipo, cast(c_custkey as varchar) as valor from customer
+  union all select c_custkey, 'DOC', lpad(cast(c_custkey * 7919 + 10000019 as varchar), 12, '0') from customer
+  union all select c_custkey, 'CJ', 'J' || c_nationkey from customer where c_mktsegment = {o.q(fx.CJ_SEGMENT)}
+) i using (c_custkey)""",
         "client_360_lookup": f"select * from ({_sql_client_360()}) where c_mktsegment = {o.q(LOOKUP_SEGMENT)}",
         "validated_load": validated_load_full_sql(FEED.format(lineitem="lineitem")),
         "validated_load_rules": f"{_checked_ctes(FEED.format(lineitem='lineitem'))} select motivo, filas from por_motivo",
@@ -365,6 +371,13 @@ def q_first_contact_stream(spark, sf_dir):
     return run_fixture_stream(spark, sf_dir, FIXTURE_CONFIG)
 
 
+def q_client_by_identifier(spark, sf_dir):
+    """The stored client 360 asked for every identifier that there is."""
+    path, ids = scratch_path(spark, "lookup"), fx.client_identifiers(spark, sf_dir)
+    write_lookup_store(ids, q_client_360(spark, sf_dir), q_client_products(spark, sf_dir), path, "c_custkey")
+    return LookupStore(spark, path, "c_custkey").clients(ids.select("tipo", "valor").distinct())
+
+
 def q_alert_summary_report(spark, sf_dir):
     """Query 3 as a reader gets it: an earlier report of the month is replaced by the new one, which is read back."""
     from fonolytics.plans.catalog import stages_for
@@ -385,5 +398,6 @@ def q_first_contact_state_stream(spark, sf_dir):
 
 
 JOB_QUERIES["first_contact_stream"] = q_first_contact_stream
+JOB_QUERIES["client_360_by_identifier"] = q_client_by_identifier
 JOB_QUERIES["alert_summary_report"] = q_alert_summary_report
 JOB_QUERIES["first_contact_state_stream"] = q_first_contact_state_stream

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fonolytics.config import SOURCE_BACKUP, SOURCE_LIVE, ProfileConfig
+from fonolytics.sources.lookup_store import identifiers_of
 from fonolytics.sources.tables import ContactTables
 
 # Fixed values of the fixture mapping (FIXTURES.md): wrap-up code = return
@@ -38,6 +39,8 @@ FIXTURE_BACKUP_TO = "199902"
 FIXTURE_BACKUP_DUP_PERIOD = "200002"
 # Days from a call to the day from which its score is valid.
 SCORE_DAYS = 15
+# Market segment whose customers have a CJ code.
+CJ_SEGMENT = "MACHINERY"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,6 +159,15 @@ def score_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def client_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of the customers: CU = the key, DOC = a number made of it, CJ for one segment only (by nation, so it is shared)."""
+    c = table(spark, sf_dir, "customer")
+    doc = F.lpad((F.col("c_custkey") * 7919 + 10000019).cast("string"), 12, "0")
+    cj = F.when(F.col("c_mktsegment") == CJ_SEGMENT, F.concat(F.lit("J"), F.col("c_nationkey").cast("string")))
+    named = c.select("c_custkey", F.col("c_custkey").alias("cu"), doc.alias("doc"), cj.alias("cj"))
+    return identifiers_of(named, "c_custkey", {"CU": "cu", "DOC": "doc", "CJ": "cj"})
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str, cfg: ProfileConfig | None = None) -> ContactTables:
     n_phones = cfg.n_phones if cfg is not None else 10
     att = attempts_all(spark, sf_dir)

@@ -1,6 +1,7 @@
 """The streaming first-contact job: incremental batches, replay-safe change log."""
 
 import pyspark.sql.functions as F
+from pyspark.sql import Row
 
 from fonolytics.operators.attempts import outcome_filter
 from fonolytics.sources.tables import ATTEMPT_SCHEMA
@@ -253,7 +254,7 @@ def test_idle_groups_are_closed_and_open_again():
     state = Obj(containsKey=lambda k: k in kept, getValue=lambda k: kept[k], updateValue=kept.__setitem__, clear=kept.clear)
     handle = Obj(getMapState=lambda *a: state, listTimers=lambda: list(timers), deleteTimer=timers.remove, registerTimer=timers.append)
     clock = lambda ms: Obj(getCurrentProcessingTimeInMs=lambda: ms)
-    call = lambda t: Obj(wrap_up="CE", fecha_key=t, id_intento=None, dnis=None, telefono=f"p{t}")
+    call = lambda t: Row(wrap_up="CE", fecha_key=t, id_intento=None, dnis=None, telefono=f"p{t}")
     p = FirstAttemptPerCode(2.0)
     p.init(handle)
     run = lambda t, ms: [r.telefono for r in p.handleInputRows(("live", 1, "202603"), iter([call(t)]), clock(ms))]
