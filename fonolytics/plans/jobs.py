@@ -18,6 +18,7 @@ from fonolytics.operators.client360 import client_360, client_lookup, client_pro
 from fonolytics.operators.rescore import phone_rescore, phone_rescore_asof, phone_scores, scores_asof
 from fonolytics.plans import oracle as o
 from fonolytics.plans.materialize import scratch_path
+from fonolytics.plans.month_bitmaps import assigned_clients, presence_from_bitmaps, read_bitmaps, refresh_bitmaps
 from fonolytics.sources import fixtures as fx
 from fonolytics.sources.fixtures import table
 from fonolytics.sources.lookup_store import LookupStore, write_lookup_store
@@ -359,6 +360,12 @@ def job_sql(cfg: ProfileConfig = FIXTURE_CONFIG) -> dict[str, str]:
         "phone_rescore": _sql_phone_rescore(cfg),
         # the streaming job must agree with the batch first contacts
         "first_contact_stream": o.stage_sql(cfg)["first_contact_per_period"],
+        "presence_from_bitmaps": o.stage_sql(cfg)["presence_matrix"],
+        "assigned_clients": o.with_chain(o.fixture_ctes(cfg), f"""
+select p.codmes, count(distinct codunicocli) filter (a.codmes = p.codmes) as clientes, count(distinct codunicocli) as clientes_acumulados
+from (select unnest([{o.in_list(cfg.periods)}]) as codmes) p
+join (from asignacion where list_contains([{o.in_list(cfg.stages)}], tramo_asignacion) and list_contains([{o.in_list(cfg.periods)}], codmes)) a on a.codmes <= p.codmes
+group by all"""),
         "alert_summary_report": f"select *, {o.q(cfg.target_period)} as periodo_objetivo from ({o.stage_sql(cfg)['alert_summary']})",
         "first_contact_state_stream": o.stage_sql(cfg)["first_contact_per_period"],
     }
@@ -378,6 +385,22 @@ def q_client_by_identifier(spark, sf_dir):
     return LookupStore(spark, path, "c_custkey").clients(ids.select("tipo", "valor").distinct())
 
 
+def _stored_bitmaps(spark, sf_dir):
+    """Month bitmaps as two runs leave them: all months but the target one, then that one."""
+    asignacion, store = fx.assignment_history(spark, sf_dir), scratch_path(spark, "bitmaps")
+    refresh_bitmaps(asignacion, FIXTURE_CONFIG, store, FIXTURE_CONFIG.periods[:-1])
+    refresh_bitmaps(asignacion, FIXTURE_CONFIG, store, FIXTURE_CONFIG.periods)
+    return read_bitmaps(spark, FIXTURE_CONFIG, store)
+
+
+def q_presence_from_bitmaps(spark, sf_dir):
+    return presence_from_bitmaps(_stored_bitmaps(spark, sf_dir), FIXTURE_CONFIG)
+
+
+def q_assigned_clients(spark, sf_dir):
+    return assigned_clients(_stored_bitmaps(spark, sf_dir), FIXTURE_CONFIG.periods)
+
+
 def q_alert_summary_report(spark, sf_dir):
     """Query 3 as a reader gets it: an earlier report of the month is replaced by the new one, which is read back."""
     from fonolytics.plans.catalog import stages_for
@@ -399,5 +422,7 @@ def q_first_contact_state_stream(spark, sf_dir):
 
 JOB_QUERIES["first_contact_stream"] = q_first_contact_stream
 JOB_QUERIES["client_360_by_identifier"] = q_client_by_identifier
+JOB_QUERIES["presence_from_bitmaps"] = q_presence_from_bitmaps
+JOB_QUERIES["assigned_clients"] = q_assigned_clients
 JOB_QUERIES["alert_summary_report"] = q_alert_summary_report
 JOB_QUERIES["first_contact_state_stream"] = q_first_contact_state_stream
