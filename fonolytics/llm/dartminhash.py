@@ -15,10 +15,12 @@ is missed with probability 0.00003). Documents with equal shingle sets are one
 node from the start. A bucket never makes all its pairs: each member is held
 against the bucket's hub (the node with the most bucket mates), and members that
 it didn't take against a second hub. Members of buckets that then still hold
-several components get finer signatures (`FINE_ROWS` by `FINE_BANDS`); those that
-are apart from their hub are held against what shares a finer band with them.
-Every link is decided by the exact similarity of the shingle sets, after a test
-of the sizes. Classes are the components.
+several components go through an exact similarity join: what a text shares with no
+other component is of no use to a link, so who has less than the threshold's part
+left is out, until few more fall out; the rest meets by its rarest shingles, under
+bounds by size and by what follows the match. These bounds lose no link. Every
+link is decided by the exact similarity of the shingle sets. Classes are the
+components.
 
 Results in special cases:
 - a text without words (null, empty, signs only) is alone in its class.
@@ -44,9 +46,6 @@ from fonolytics.llm.textarrays import ALNUM, LOWER, mix, ranges, slices, text_by
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 7, 45
-# Signatures of the few texts that hubs leave apart: a pair of similarity 0.8 shares a band with probability 0.999, one of
-# 0.6 with 0.04 (0.72 by the bands above).
-FINE_ROWS, FINE_BANDS = 18, 380
 # Shingles and darts of texts that are worked on at a time.
 DARTS = 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -213,6 +212,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return written(pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(frugal(_compare), "a long, b long, likeness double"), name)
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per node and shingle."""
+    for t in batches:
+        for at in range(0, len(t), 256):
+            part = t.slice(at, 256)
+            hashes, counts = ([np.frombuffer(x, kind) for x in part.column(c).to_pylist()] for c, kind in (("shingles", np.int64), ("counts", np.uint32)))
+            size = [len(x) for x in hashes]
+            repeated = [np.repeat(part.column(c).to_numpy(), size) for c in ("node", "root", "size")]
+            arrays = [*repeated, np.concatenate(hashes), np.concatenate(counts).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["node", "root", "size", "shingle", "count"])
+
+
+def _linkable(mate: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of different components among the rows (node, size, root) that can still have a link: an exact join.
+
+    A link needs the threshold's part of either text in shingles that another component has, too. Who has less is out and
+    takes its shingles along, so others may follow. The rest meets by rare shingles: the commonest ones that stay below the
+    threshold's part can't make a link alone, so a link shares one of the others, and from the rarest that it shares on
+    both sides have enough.
+    """
+    rows = written(sets.join(mate, "node").select("node", "root", "size", "shingles", "counts").mapInArrow(frugal(_spread), "node long, root long, size long, shingle long, count long"), "mate-shingles")
+    enough = lambda weight: F.col(weight) >= threshold * F.col("size") - 1e-9
+    able, left = mate, mate.count()
+    while True:
+        here = rows.join(able.select("node"), "node", "left_semi")
+        common = here.groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high"))
+        here = written(here.join(common.where("low < high").select("shingle", "nodes"), "shingle"), "shared-shingles")
+        able = here.groupBy("node", "size").agg(F.sum("count").alias("shared")).where(enough("shared"))
+        able = written(able.select("node"), "linkable")
+        before, left = left, able.count()
+        if left > 0.9 * before or not left:
+            break
+    # what a text has from a shingle on, rarest first: a window is one text
+    rest = F.sum("count").over(Window.partitionBy("node").orderBy(F.desc("nodes"), "shingle").rowsBetween(Window.unboundedPreceding, 0))
+    here = here.join(able, "node", "left_semi").withColumn("rest", rest).where(enough("rest"))
+    x, y = (here.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "root", "size", "rest")]) for s in "xy")
+    pairs = x.join(y, "shingle").where(
+        (F.col("x_node") < F.col("y_node"))
+        & (F.col("x_root") != F.col("y_root"))
+        & (F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size") - 1e-9)
+        & ((1 + threshold) * F.least("x_rest", "y_rest") >= threshold * (F.col("x_size") + F.col("y_size")) - 1e-9)
+    )
+    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+
+
 def _hubs(members: DataFrame) -> DataFrame:
     best = members.groupBy("key").agg(F.max(F.struct("mates", "node", "size")).alias("hub"))
     return best.select("key", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"))
@@ -266,20 +310,11 @@ def near_duplicate_classes(
         found = roots.select(F.col("node").alias(node), F.col("root").alias(root))
         return rows.join(found, node, "left").withColumn(root, F.coalesce(root, node))
 
-    # what is still apart from its hub: its bucket mates are compared by finer signatures, which few dissimilar texts share
-    # (a bucket of two has had its only pair decided)
-    placed = written(labelled(labelled(first.where("bucket > 2").select("key", "node", "hub")), "hub", "hub_root"), "placed")
+    # the members of buckets that still hold several components (a bucket of two has had its only pair decided)
+    placed = written(labelled(labelled(first.where("bucket > 2").select("key", "node", "size", "hub")), "hub", "hub_root"), "placed")
     open_keys = placed.where("root <> hub_root").select("key").distinct()
-    mate = written(placed.join(open_keys, "key").groupBy("node").agg(F.max(F.col("root") != F.col("hub_root")).alias("open"), F.first("root").alias("root")), "mates")
-    ids = mate.select("node").join(nodes, "node").select("id").distinct()
-    fine = signed(own.join(ids, own["id"].eqNullSafe(ids["id"]), "left_semi").select(F.col("id").alias(doc_id), F.col("text").alias(text)), FINE_ROWS, FINE_BANDS, weighted, doc_id, text)
-    fine = written(fine.dropDuplicates(["node"]).join(mate, "node").select("node", "size", "root", "open", F.explode("keys").alias("key")), "fine")
-    x, y = (fine.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "root", "open")]) for s in "xy")
-    open_pairs = x.where("x_open").join(y, "key").where(
-        (F.col("x_root") != F.col("y_root"))
-        & (F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size"))
-        & (~F.col("y_open") | (F.col("x_node") < F.col("y_node")))
-    ).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+    mate = placed.join(open_keys, "key", "left_semi").select("node", "size", "root").distinct()
+    open_pairs = _linkable(written(mate, "mates"), sets, threshold)
     done = links1.unionByName(links2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links3 = _verified(open_pairs.distinct().join(done, ["a", "b"], "left_anti"), sets, "rest")
     if true_links(links3).first() is not None:

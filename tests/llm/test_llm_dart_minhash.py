@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from corpus_cases import awkward  # noqa: E402
 
 from fonolytics.llm.components import components  # noqa: E402
-from fonolytics.llm.dartminhash import BANDS, ROWS, THRESHOLD, keep_one_per_class, near_duplicate_classes, shingle_sets, signatures  # noqa: E402
+from fonolytics.llm.dartminhash import BANDS, ROWS, THRESHOLD, _linkable, keep_one_per_class, near_duplicate_classes, shingle_sets, signatures  # noqa: E402
 
 
 def shingles(text):
@@ -84,6 +84,37 @@ def test_a_large_group_with_links_at_all_distances(spark):
     assert sorted(sorted(map(str, v)) for v in found.values()) == plain_classes(rows)
 
 
+def test_the_join_of_the_rest_loses_no_link(spark):
+    # weighted sets at all distances around the threshold, each a component of its own but for every third
+    rng = random.Random(11)
+    sets, roots = {}, {}
+    for group in range(6):
+        base = {rng.randrange(2**40): rng.choice([1, 1, 2, 5]) for _ in range(rng.choice([5, 40]))}
+        for i in range(25):
+            own = {rng.randrange(2**40) if rng.random() < rng.choice([0, 0.05, 0.12, 0.3]) else h: c for h, c in base.items()}
+            sets[n := 100 * group + i], roots[n] = own, 100 * group + (i - i % 3 if rng.random() < 0.5 else i)
+    mate = spark.createDataFrame([(n, sum(s.values()), roots[n]) for n, s in sets.items()], "node long, size long, root long")
+    packed = [(n, *(bytearray(np.array([f(h) for h in sorted(s)], k).tobytes()) for f, k in ((int, np.uint64), (s.get, np.uint32)))) for n, s in sets.items()]
+    packed = spark.createDataFrame(packed, "node long, shingles binary, counts binary")
+    got = {(r.a, r.b) for r in _linkable(mate, packed, THRESHOLD).collect()}
+    links = 0
+    for a, x in sets.items():
+        for b, y in sets.items():
+            both = sum(min(x[h], y[h]) for h in x.keys() & y.keys())
+            if a < b and roots[a] != roots[b] and both >= THRESHOLD * (sum(x.values()) + sum(y.values()) - both) - 1e-12:
+                links += 1
+                assert (a, b) in got
+    assert links > 100 and len(got) < 3 * links
+
+
+def test_a_group_whose_links_are_at_the_threshold(spark):
+    # texts apart from their hubs: every one is linked to its neighbours in a ring only, at 0.80 to 0.85
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join(words[i * 12 : i * 12 + 124])) for i in range(300)]
+    got = near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0}
+
+
 def test_missed_pairs_are_rare():
     # a pair at the threshold shares at least one band but for 3 in 100,000
     assert (1 - THRESHOLD**ROWS) ** BANDS < 4e-5
