@@ -1,37 +1,36 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a run of consecutive words of about the template's length
-(`_run_length`) wherever the line ends fall, so a notice that is wrapped is found
-too. A template is contained in a block when the block has at least `threshold`
-of the template's distinct words. The join finds every such pair of a line and a
-template without comparing each with each:
-
-- the templates' words are ordered by how many blocks of the whole corpus have
-  them, rarest first (other words cannot count for any template);
-- prefix filter: a block that lacks the `size - need + 1` rarest words of a
-  template cannot reach `need` of its words, so only those words are join keys,
-  and only lines with one of them are cut into words at all;
-- length filter: the block has at least `need` template words;
-- positional filter: words before the match are spent on either side, so the
-  match's places in the ordered lists bound what can still agree;
-- the pairs that are left are decided by intersection.
-
-Runs are looked at in texts of several lines only, since a line holds all runs
-within it. The same rarest words choose the texts, and a text is paired with a
-template only if it has `need` of its words at all. A run that reaches `need`
-still does so when it starts at its first template word, so those places are the
-only starts. A run must also have `threshold` of the template's words in the
-template's order: what stands on several lines is a notice only if it reads as one.
+A template is the set of its pairs of neighbouring words, so that order counts
+and line ends don't. A block is a run of consecutive words of about the
+template's length, wherever it starts. The block contains the template when it
+has at least `threshold` of the template's pairs, among them all that hold one
+of its telling words: those that set licenses apart (a version, `noncommercial`,
+the family's name) must not be the missing ones. The join finds every such text
+and template without comparing each with each:
+
+- the pairs are ordered by how many texts of the whole corpus have them, rarest
+  first;
+- prefix filter: a block that lacks the `size - need + 1` rarest pairs of a
+  template cannot reach `need` of them, so only those are join keys;
+- length and positional filter: a stretch of the text must have `need` of the
+  template's pairs from the match on in that order;
+- what is left is decided run by run; a run that reaches `need` still does so
+  when it starts at its first template pair, so those places are the only starts.
+
+Texts are read once for this: the places of the templates' pairs are a narrow
+table. They are grouped by stretches of `STRETCH` words (and what a run that
+starts there can reach), so no row grows with its text, and equal texts fall
+together.
 
 Besides, `PHRASES` are found wherever their words stand consecutively.
 
-Everything is built-in functions. The templates and their words' frequencies
-are a few dozen rows, and are the only thing broadcast. Only narrow rows of
-lines with a match are shuffled.
+Everything is built-in functions. The templates' pairs and their frequencies
+are a few hundred rows, and are the only thing broadcast. Only narrow rows are
+shuffled.
 
 Results in special cases:
 - a null text is an empty text: no words, no labels, score 0, null places.
-- ties in word frequency go to alphabetical order (the result doesn't depend on it).
+- ties in frequency go to alphabetical order (the result doesn't depend on it).
 - repeated rows, and rows with a null id, get results of their own.
 - an empty table gives an empty result; whole texts are read.
 """
@@ -43,7 +42,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fonolytics.llm.expressions import n_words, plain
+from fonolytics.llm.expressions import let, n_words, plain
+from fonolytics.llm.store import written
 
 THRESHOLD = 0.8
 
@@ -54,17 +54,32 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# Notices by which works name their license, with a label each.
+# Words of a text that are looked at together.
+STRETCH = 400
+
+# Notices by which works name their license, with a label each and the words that tell it from others.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("all-rights-reserved", "all rights reserved"),
+    ("mit", ("mit",), "released under the mit license"),
+    ("mit", ("mit",), "licensed under the mit license"),
+    ("mit", ("obtaining",), "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("isc", ("fee",), "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("apache-2", ("apache", "2"), "licensed under the apache license version 2 0"),
+    ("gpl-2", ("general", "2"), "this work is licensed under the gnu general public license version 2"),
+    ("gpl-3", ("general", "3"), "this work is licensed under the gnu general public license version 3"),
+    ("gpl-2", ("general", "2"), "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3", ("general", "3"), "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-3", ("lesser", "3"), "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("mpl-2", ("mozilla", "2"), "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("cc-by", ("by", "4"), "licensed under cc by 4 0"),
+    ("cc-by-sa", ("sa",), "licensed under cc by sa 4 0"),
+    ("cc-by-nc", ("nc",), "licensed under cc by nc 4 0"),
+    ("cc-by", ("attribution", "4"), "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", ("sharealike", "4"), "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc", ("noncommercial", "4"), "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("bsd", ("bsd",), "released under the bsd license"),
+    ("bsd", (), "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("unlicense", ("unencumbered",), "this is free and unencumbered software released into the public domain"),
+    ("all-rights-reserved", ("all", "rights", "reserved"), "all rights reserved"),
 )
 
 
@@ -78,88 +93,70 @@ def _places(words: Column, phrase: str) -> tuple[Column, Column, Column]:
     return count, F.when(here, n_words(F.trim(parts[0]))), F.when(here, n_words(words) - n_words(F.trim(F.element_at(parts, -1))) - size)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("key", F.explode(F.split(F.lower("text"), "\n")).alias("line"))
-
-
-def _template_index(docs: DataFrame, threshold: float) -> list[dict]:
-    """The templates with their words as ranks in the global order, rarest first."""
-    sets = [(label, sorted(set(t.split()))) for label, t in TEMPLATES]
-    universe = sorted({w for _, t in sets for w in t})
-    found = _lines(docs).select(F.explode(F.array_distinct(F.split(plain(F.col("line")), " "))).alias("w")).where(F.col("w").isin(universe))
-    count = {r.w: r["count"] for r in found.groupBy("w").count().collect()}
-    order = {w: i for i, w in enumerate(sorted(universe, key=lambda w: (count.get(w, 0), w)))}
-    return [
-        {"template": i, "label": label, "words": sorted(order[w] for w in t), "need": math.ceil(threshold * len(t) - 1e-9), "order": order}
-        for i, (label, t) in enumerate(sets)
-    ]
-
-
-def _run_length(template: str, threshold: float) -> int:
-    """Words of a run: the template's, and room for as many others as the threshold allows."""
-    return math.ceil(len(template.split()) / threshold - 1e-9)
-
-
-def _has_word(text: Column, words: str) -> Column:
-    return text.rlike(rf"(?<![0-9a-z\x80-\x{{10FFFF}}])(?:{words})(?![0-9a-z\x80-\x{{10FFFF}}])")
-
+def _pairs(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
 
-def _in_order(words: Column, template: Column) -> Column:
-    """Length of the longest common subsequence of two arrays of words."""
-    places = F.sequence(F.lit(1), F.size(template))
 
-    def after(best: Column, word: Column) -> Column:
-        """The lengths for all beginnings of the template, with one more word of the text."""
-        longer = lambda row, j: F.when(template[j - 1] == word, best[j - 1] + 1).otherwise(F.greatest(best[j], F.element_at(row, -1)))
-        return F.aggregate(places, F.array(F.lit(0)), lambda row, j: F.concat(row, F.array(longer(row, j))))
+def template_sets(threshold: float = THRESHOLD) -> list[dict]:
+    """Per template: its label, distinct word pairs, how many of them a block needs, those it can't do without, and a block's words."""
+    out = []
+    for number, (label, telling, text) in enumerate(TEMPLATES):
+        words = text.split()
+        own = sorted(set(_pairs(words)))
+        must = [p for p in own if set(p.split()) & set(telling)]
+        run = math.ceil(len(words) / threshold - 1e-9)
+        out.append({"template": number, "label": label, "own": own, "need": math.ceil(threshold * len(own) - 1e-9), "must": must, "run": run})
+    return out
 
-    return F.element_at(F.aggregate(words, F.array_repeat(F.lit(0), F.size(template) + 1), after), -1)
 
-
-def _wrapped(docs: DataFrame, index: list[dict], rare: str, threshold: float) -> DataFrame:
-    """(key, template, label, containment) of texts of several lines and templates: the best run that meets the threshold."""
-    names = {i: w for w, i in index[0]["order"].items()}
-    rows = []
-    for t in index:
-        template = TEMPLATES[t["template"]][1]
-        size = len(template.split())
-        rows.append((t["template"], t["label"], [names[w] for w in t["words"]], template.split(), t["need"], math.ceil(threshold * size - 1e-9), _run_length(template, threshold)))
-    table = docs.sparkSession.createDataFrame(rows, "template int, label string, own array<string>, notice array<string>, need int, ordered int, run int")
-    texts = docs.where(F.contains("text", F.lit("\n")) & _has_word(F.lower("text"), rare)).select("key", F.split(plain(F.col("text")), " ").alias("words"))
-    texts = texts.withColumn("known", F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(names.values())])))
-    pairs = texts.join(F.broadcast(table), F.size(F.array_intersect("known", "own")) >= F.col("need"))
-    # places and words of the template's words; a run has at most `run` of them
-    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains("own", x["w"]))
-    pairs = pairs.select("key", "template", "label", "own", "notice", "need", "ordered", "run", places.alias("places"))
-    run = lambda s, j: F.transform(F.filter(F.slice("places", j + 1, F.col("run")), lambda x: x["i"] < s["i"] + F.col("run")), lambda x: x["w"])
-    runs = F.filter(F.transform("places", run), lambda r: F.size(F.array_distinct(r)) >= F.col("need"))
-    runs = pairs.select("key", "template", "label", "own", "notice", "ordered", F.explode(runs).alias("words")).distinct()
-    found = runs.where(_in_order(F.col("words"), F.col("notice")) >= F.col("ordered"))
-    return found.select("key", "template", "label", (F.size(F.array_distinct("words")) / F.size("own")).alias("containment"))
+def _template_pairs(docs: DataFrame, universe: list[str]) -> DataFrame:
+    """(key, places) of the texts that have word pairs of the templates: where (number of the first word) and which."""
+    words = docs.select("key", F.split(plain(F.col("text")), " ").alias("words"))
+    # the last word has no pair: null
+    pairs = words.select("key", F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b)).alias("pairs"))
+    places = F.transform("pairs", lambda p, i: F.when(p.isin(universe), F.struct(i.alias("i"), p.alias("p"))))
+    return pairs.select("key", F.array_compact(places).alias("places")).where(F.size("places") > 0)
 
 
 def contained_templates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, template, label, containment) of every block and template that meet the threshold; `docs` has key and text."""
-    index = _template_index(docs, threshold)
-    order = index[0]["order"]
-    names = {i: w for w, i in order.items()}
-    prefix = [(t["template"], t["label"], t["words"], t["need"], w, at) for t in index for at, w in enumerate(t["words"][: len(t["words"]) - t["need"] + 1])]
-    table = docs.sparkSession.createDataFrame(prefix, "template int, label string, words array<int>, need int, w int, at int")
-    rare = "|".join(sorted({names[p[4]] for p in prefix}))
-    # word -> rank, for the few lines that hold one of the join keys
-    ranks = F.create_map(*[F.lit(x) for pair in sorted(order.items()) for x in pair])
-    lines = _lines(docs).where(_has_word(F.col("line"), rare))
-    blocks = lines.select(
-        "key",
-        F.array_sort(F.filter(F.transform(F.array_distinct(F.split(plain(F.col("line")), " ")), lambda w: F.try_element_at(ranks, w)), lambda r: r.isNotNull())).alias("block"),
-    )
-    tokens = blocks.select("key", "block", F.posexplode("block").alias("place", "w"))
+    """(key, template, label, containment) of every text and template with a block that meets the threshold: the best block's share.
+
+    `docs` has key and text; rows of equal keys are equal texts.
+    """
+    templates = template_sets(threshold)
+    universe = sorted({p for t in templates for p in t["own"]})
+    found = written(_template_pairs(docs, universe), "license-pairs")
+    # one row per pair of the templates: rarest first, ties in alphabetical order
+    count = {r.p: r["count"] for r in found.select(F.explode(F.array_distinct("places.p")).alias("p")).groupBy("p").count().collect()}
+    order = {p: n for n, p in enumerate(sorted(universe, key=lambda p: (count.get(p, 0), p)))}
+    prefix = []
+    for t in templates:
+        own = sorted(t["own"], key=order.get)
+        prefix += [(p, t["template"], t["label"], own, own[at:], t["need"], t["must"], t["run"]) for at, p in enumerate(own[: len(own) - t["need"] + 1])]
+    table = docs.sparkSession.createDataFrame(prefix, "w string, template int, label string, own array<string>, rest array<string>, need int, must array<string>, run int")
+    keys = sorted({row[0] for row in prefix})
+
+    # bounded stretches of a text, each with what a run that starts in it can reach; equal texts fall together
+    reach = max(t["run"] for t in templates)
+    near = found.where(F.exists("places.p", lambda p: p.isin(keys))).select("key", F.explode("places").alias("at"))
+    own_stretch = F.floor(F.col("at.i") / STRETCH)
+    both = F.when((F.col("at.i") % STRETCH < reach) & (own_stretch > 0), F.array(own_stretch - 1, own_stretch)).otherwise(F.array(own_stretch))
+    stretches = near.select("key", F.explode(both).alias("stretch"), "at").groupBy("key", "stretch").agg(F.array_sort(F.collect_set("at")).alias("places"))
+    tokens = stretches.select("key", "places", F.explode(F.array_distinct(F.filter("places.p", lambda p: p.isin(keys)))).alias("w"))
+    # one match per stretch and template, the rarest pair in common, so only commoner ones follow it
     pairs = tokens.join(F.broadcast(table), "w").where(
-        (F.size("block") >= F.col("need")) & (F.lit(1) + F.least(F.col("at"), F.col("place")) + F.least(F.size("words") - F.col("at") - 1, F.size("block") - F.col("place") - 1) >= F.col("need"))
+        (F.size(F.array_intersect("places.p", "rest")) >= F.col("need")) & (F.size(F.array_intersect("places.p", "rest")) == F.size(F.array_intersect("places.p", "own")))
     )
-    same = F.size(F.array_intersect("block", "words"))
-    of_lines = pairs.where(same >= F.col("need")).select("key", "template", "label", (same / F.size("words")).alias("containment"))
-    return of_lines.unionByName(_wrapped(docs, index, rare, threshold))
+
+    def best(places: Column) -> Column:
+        """Pairs of the best run, null if none meets the threshold."""
+        run = lambda s, n: F.array_distinct(F.filter(F.slice(places, n + 1, F.col("run") - 1), lambda x: x["i"] < s["i"] + F.col("run") - 1)["p"])
+        whole = lambda r: (F.size(r) >= F.col("need")) & (F.size(F.array_except("must", r)) == 0)
+        return F.array_max(F.transform(F.filter(F.transform(places, run), whole), lambda r: F.size(r)))
+
+    most = let(F.filter("places", lambda x: F.array_contains("own", x["p"])), best)
+    found = pairs.select("key", "template", "label", (most / F.size("own")).alias("containment"))
+    return found.groupBy("key", "template", "label").agg(F.max("containment").alias("containment")).where("containment is not null")
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,7 +166,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     """
     own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # equal rows share their matches
-    own = own.withColumn("key", F.xxhash64("text"))
+    own = own.withColumn("key", F.md5("text"))
     matches = contained_templates(own.select("key", "text"), threshold).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))
     words = F.col("words")
     base = own.select("id", "key", plain(F.col("text")).alias("words"))

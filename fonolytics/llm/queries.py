@@ -203,24 +203,31 @@ from d left join hit using (row_no) left join item using (row_no)"""
 def _op10_sql() -> str:
     from fonolytics.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
 
-    between = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = ", ".join(f"(string_split('{p}', ' '), '{label}')" for p, label in PHRASES)
-    templates = ", ".join(f"({i}, '{label}', list_distinct(string_split('{t}', ' ')))" for i, (label, t) in enumerate(TEMPLATES))
+    notices = ", ".join(f"('{label}', [{', '.join(repr(w) for w in telling)}]::varchar[], string_split('{t}', ' '))" for label, telling, t in TEMPLATES)
+    pairs = "list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])"
     return f"""with d as (
-  select row_number() over () as row_no, doc_id, regexp_extract_all({_LOWER}, '{_OP7_WORDS}') as words, {_LOWER} as lowered from documents
-), phrase(words, label) as (values {phrases}), template(template_no, label, words) as (values {templates}),
+  select row_number() over () as row_no, doc_id, regexp_extract_all({_LOWER}, '{_OP7_WORDS}') as words from documents
+), phrase(words, label) as (values {phrases}), notice(label, telling, words) as (values {notices}),
 place as (
   select row_no, i - 1 as start, phrase.label
   from d, phrase, unnest(range(1, len(d.words) - len(phrase.words) + 2)) as u(i)
   where d.words[i] = phrase.words[1] and d.words[i : i + len(phrase.words) - 1] = phrase.words
 ), base as (
   select row_no, count(*) as n_base, min(start) as first_word, max(start) as last_word, list(distinct label) as labels from place group by 1
+), template as (
+  select label, list_distinct({pairs}) as own, cast(ceil(len(words) / {THRESHOLD} - 1e-9) as bigint) as run,
+         list_distinct(list_filter({pairs}, lambda p: len(list_intersect(string_split(p, ' '), telling)) > 0)) as must
+  from notice
+), paired as (select row_no, {pairs} as pairs from d),
+hopeful as (
+  select row_no, pairs, template.* from paired, template where len(list_intersect(pairs, own)) >= {THRESHOLD} * len(own) - 1e-9
 ), block as (
-  select row_no, list_distinct(string_split(trim(regexp_replace(line, '{between}', ' ', 'g')), ' ')) as words
-  from (select row_no, unnest(string_split(lowered, chr(10))) as line from d)
+  select row_no, label, own, must, list_intersect(pairs[i : i + run - 2], own) as had
+  from hopeful, unnest(range(1, len(pairs) + 1)) as u(i)
 ), met as (
-  select row_no, template.label, len(list_intersect(block.words, template.words)) / len(template.words) as containment
-  from block, template where len(list_intersect(block.words, template.words)) >= ceil({THRESHOLD} * len(template.words) - 1e-9)
+  select row_no, label, len(had) / len(own) as containment
+  from block where len(had) >= {THRESHOLD} * len(own) - 1e-9 and len(list_intersect(had, must)) = len(must)
 ), more as (select row_no, list(distinct label) as labels, max(containment) as most from met group by 1)
 select doc_id, cast(len(d.words) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
