@@ -29,6 +29,8 @@ from fonolytics.sources.tables import string_partitions
 SCHEMA = "bloque bigint, mapa binary, codmes string"
 # Fixed value: bits of one of Spark's bitmaps.
 BITS = 32768
+# Places that are taken out of a bitmap together, and bytes that are looked at first.
+WORD, PIECE = 32, 128
 
 
 def month_bitmaps(asignacion: DataFrame, cfg: ProfileConfig) -> DataFrame:
@@ -64,20 +66,37 @@ def read_bitmaps(spark: SparkSession, cfg: ProfileConfig, store: str) -> DataFra
         return spark.read.schema(SCHEMA).parquet(stages_folder(store, cfg))
 
 
-def _bit(hexed: Column, place: Column) -> Column:
-    """Whether the bit at ``place`` is set, in a bitmap as hexadecimal text (two signs a byte, low bits first within a byte)."""
-    sign = F.substring(hexed, (F.floor(place / 4).cast("int")).bitwiseXOR(F.lit(1)) + 1, F.lit(1))
-    return F.conv(sign, 16, 10).cast("int").bitwiseAND(F.pow(F.lit(2), place % 4).cast("int")) != 0
+def _words(bitmap: Column) -> Column:
+    """(palabra, bits) of a bitmap's words of `WORD` places, without those of pieces that are all zero; the bytes of a word come highest first."""
+    size, per_piece = WORD // 8, PIECE // (WORD // 8)
+    used = F.filter(F.sequence(F.lit(0), F.lit(BITS // 8 // PIECE - 1)), lambda t: F.substring(bitmap, t * PIECE + 1, F.lit(PIECE)) != F.lit(bytes(PIECE)))
+    bits = lambda w: F.conv(F.hex(F.substring(bitmap, w * size + 1, F.lit(size))), 16, 10).cast("bigint")
+    word = lambda w: F.struct(w.alias("palabra"), bits(w).alias("bits"))
+    return F.flatten(F.transform(used, lambda t: F.transform(F.sequence(t * per_piece, (t + 1) * per_piece - 1), word)))
+
+
+def _set(bits: Column, place: Column) -> Column:
+    """Whether a word's bit at ``place`` is set: places go up from the low bits of the first byte."""
+    return F.getbit(bits, place.bitwiseXOR(F.lit(WORD - 8))) == 1
 
 
 def presence_from_bitmaps(bitmaps: DataFrame, cfg: ProfileConfig) -> DataFrame:
-    """D7 from bitmaps: equal to ``presence_matrix`` over the assignment that they were made of."""
+    """D7 from bitmaps: equal to ``presence_matrix`` over the assignment that they were made of.
+
+    Bitmaps are cut into words before months meet: a row carries a word per
+    month, and only places that are set in some month become rows.
+    """
     window = bitmaps.where(F.col("codmes").between(cfg.period_lo, cfg.period_hi))
-    # a block's months: as many as the window has, 8 KB each
-    blocks = window.groupBy("bloque").agg(F.collect_list(F.struct("codmes", F.hex("mapa").alias("bits"))).alias("meses"))
-    ids = blocks.withColumn("lugar", F.explode(F.when(F.col("bloque").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(BITS - 1)))))
-    present = F.filter("meses", lambda m: F.col("bloque").isNull() | _bit(m["bits"], F.col("lugar")))
-    found = ids.select("bloque", "lugar", F.transform(present, lambda m: m["codmes"]).alias("meses")).where(F.size("meses") > 0)
+    # the null client: the first place of a block without a number
+    nobody = F.array(F.struct(F.lit(0).alias("palabra"), F.lit(1 << WORD - 8).cast("bigint").alias("bits")))
+    words = window.select("bloque", "codmes", F.explode(F.when(F.col("bloque").isNull(), nobody).otherwise(_words(F.col("mapa")))).alias("w"))
+    words = words.select("bloque", "codmes", "w.palabra", "w.bits").where("bits != 0")
+    # a word's months: as many as the window has, some 20 bytes each
+    met = words.groupBy("bloque", "palabra").agg(F.collect_list(F.struct("codmes", "bits")).alias("meses"), F.bit_or("bits").alias("alguno"))
+    set_places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda p: _set(F.col("alguno"), p))
+    ids = met.select("bloque", "palabra", "meses", F.explode(set_places).alias("sitio"))
+    present = F.transform(F.filter("meses", lambda m: _set(m["bits"], F.col("sitio"))), lambda m: m["codmes"])
+    found = ids.select("bloque", (F.col("palabra") * WORD + F.col("sitio")).alias("lugar"), present.alias("meses"))
     client = F.when(F.col("bloque") >= 1, (F.col("bloque") - 1) * BITS + F.col("lugar") + 1).otherwise(F.col("bloque") * BITS - F.col("lugar"))
     return found.select(
         client.cast("bigint").alias("cu"),

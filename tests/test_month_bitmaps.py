@@ -29,6 +29,18 @@ def test_ids_at_the_edges_of_blocks(spark):
     assert presence_from_bitmaps(month_bitmaps(df.limit(0), CFG), CFG).count() == 0
 
 
+def test_rows_carry_words_instead_of_bitmaps(spark):
+    """Blocks with few, many and all places set; no row that is made per place carries a block's bitmaps along."""
+    ids = [*range(1, BITS + 1), *range(BITS + 1, 3 * BITS, 37), 10 * BITS + 5, -40, -70 * BITS]
+    rows = spark.createDataFrame([(c, k) for k, c in enumerate(ids)], "c long, k long")
+    df = rows.select(F.col("c").alias("codunicocli"), F.explode(F.slice(F.array(*map(F.lit, CFG.periods)), (F.col("k") % 7 + 1).cast("int"), 2)).alias("codmes"), F.lit("tardia").alias("tramo_asignacion"))
+    found = presence_from_bitmaps(month_bitmaps(df, CFG), CFG)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [line for line in plan.splitlines() if "collect_list" in line]
+    assert len(gathered) == 1 and "palabra" in gathered[0] and "mapa" not in gathered[0], plan
+    assert found.count() == len(ids) and _same(found, presence_matrix(df, CFG))
+
+
 def test_a_new_month_reads_that_month_only(spark, tmp_path):
     src, store = str(tmp_path / "asignacion"), str(tmp_path / "store")
     assignment_history(spark, SF001).write.partitionBy("codmes").parquet(src)
