@@ -3,16 +3,21 @@
 ``first_contact.py`` filters attempts by the catalogue as it stands when the
 query starts, so a code added later needs a restart, and calls seen before are
 lost to it. Here the stream keeps the first attempt per (source, client,
-month) and outcome code, whatever the code means, in a map of the group's
-state; the reader joins the change log with the catalogue of that moment. A
-code that becomes effective midway (or stops being so) counts at once, for the
-calls before it too, without touching the query.
+month) and outcome code, whatever the code means, in its state; the reader
+joins the change log with the catalogue of that moment. A code that becomes
+effective midway (or stops being so) counts at once, for the calls before it
+too, without touching the query.
 
 State holds one row per group and code that occurred in it (RocksDB, on the
-executors' disks, saved with the checkpoint). The change log decides, and its
-minimum does not mind repeated or late rows, so state may be forgotten at any
-time: ``idle_seconds`` sets a timer per group that closes it once no call came
-for so long; a later call opens it again. No row is dropped.
+executors' disks, saved with the checkpoint). Without timers that is a running
+minimum, which Spark keeps inside the JVM; a processor in Python would wait for
+the JVM several times per group.
+
+The change log decides, and its minimum does not mind repeated or late rows,
+so state may be forgotten at any time: with ``idle_seconds`` a processor on the
+keyed state API has a map and a timer per group, and closes the group once no
+call came for so long; a later call opens it again. No row is dropped. The two
+kinds of query can't share a checkpoint, but can follow each other on a log.
 
 Each task first reduces its rows of a micro-batch to the first one per group
 and code, so a group with a third of all calls sends a few rows per task.
@@ -113,10 +118,12 @@ class FirstAttemptPerCode(StatefulProcessor):
 def first_attempt_updates(attempts: DataFrame, idle_seconds: float | None = None) -> DataFrame:
     """The running first attempt per group and code, as (group, code, first) rows when it improves."""
     attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    if idle_seconds is None:
+        timed = attempts.withColumn("fecha_key", F.col("fecha_key").cast("timestamp"))
+        return timed.groupBy(*CODE_KEYS).agg(F.min(F.struct(*ATTEMPT_ORDER, "telefono")).alias(_FIRST))
     numbered = attempts.withColumn("fecha_key", F.unix_micros(F.col("fecha_key").cast("timestamp")))
     reduced = numbered.mapInArrow(_first_per_code, _COLUMNS)
-    mode = "None" if idle_seconds is None else "ProcessingTime"
-    kept = reduced.groupBy(*GROUP_KEYS).transformWithState(FirstAttemptPerCode(idle_seconds), _COLUMNS, "Update", mode)
+    kept = reduced.groupBy(*GROUP_KEYS).transformWithState(FirstAttemptPerCode(idle_seconds), _COLUMNS, "Update", "ProcessingTime")
     kept = kept.withColumn("fecha_key", F.timestamp_micros("fecha_key"))
     return kept.select(*CODE_KEYS, F.struct(*ATTEMPT_ORDER, "telefono").alias(_FIRST))
 

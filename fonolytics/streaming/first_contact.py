@@ -30,13 +30,15 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from fonolytics.config import SOURCE_BACKUP, SOURCE_LIVE, ProfileConfig
 from fonolytics.operators.attempts import ATTEMPT_ORDER, _arm
-from fonolytics.plans.materialize import ensure_checkpoint_dir
+from fonolytics.plans.materialize import ensure_checkpoint_dir, folder, scratch_path
 
 _FIRST = "_first"
 _EVENT = "_evento"
 # Below the log's folder: improvements, compacted versions, and a pointer file per complete version.
 _LOG, _VERSION, _POINTER = "log", "version-", "complete-"
 GROUP_KEYS = ["fuente", "cu", "mes"]
+# Fixed value: micro-batches that the attempts of the test tables come in.
+DELIVERIES = 4
 _TYPES = {"fuente": "string", "cu": "bigint", "mes": "string", "wrap_up": "string"}
 _FIRST_TYPE = "struct<fecha_key: timestamp, id_intento: bigint, dnis: string, wrap_up: string, telefono: string>"
 
@@ -233,9 +235,8 @@ def start_first_contact_stream(
 def run_fixture_stream(
     spark: SparkSession, sf_dir: str, cfg: ProfileConfig, watermark_delay: str | None = None
 ) -> DataFrame:
-    """The streaming job over the test tables: line items arrive as a file
-    stream (one file per micro-batch), joined to the static orders (stream-static join), and the result
-    is read back from the change log written to the shared checkpoint folder."""
+    """The streaming job over the test tables: attempts arrive as file streams (``fixture_logs``), and the
+    result is read back from the change log written to the shared checkpoint folder."""
     from fonolytics.operators.attempts import outcome_filter
     from fonolytics.sources import fixtures as fx
 
@@ -247,13 +248,30 @@ def run_fixture_stream(
 
 
 def fixture_logs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The live and the backup log of the test tables as streams of line-item files, one file per micro-batch."""
+    """The live and the backup log of the test tables as streams of attempt files.
+
+    Line items are joined to orders once, ahead of the streams: a join within
+    them would read all orders in every micro-batch. The lines of an order are
+    delivered apart, and there are about `DELIVERIES` micro-batches however
+    many files the tables have.
+    """
     from fonolytics.sources import fixtures as fx
 
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/lineitem*.parquet")
-    attempts = fx.attempts_from(lines, fx.table(spark, sf_dir, "orders"))
-    return attempts.where(fx.in_live()), attempts.where(fx.in_backup())
+    lines = spark.read.schema(schema).parquet(f"{sf_dir}/lineitem*.parquet")
+    attempts = fx.tagged(fx.attempts_from(lines, fx.table(spark, sf_dir, "orders")))
+    path = scratch_path(spark, "attempt-log")
+    turn = F.coalesce(F.pmod("id_intento", F.lit(DELIVERIES)), F.lit(0)).alias("entrega")
+    attempts.select("*", turn).write.partitionBy("fuente", "entrega").parquet(path)
+
+    def stream(source: str) -> DataFrame:
+        fs, log = folder(spark, f"{path}/fuente={source}")
+        fs.mkdirs(log)  # a log without any attempt
+        n_files = fs.getContentSummary(log).getFileCount()
+        reader = spark.readStream.schema(attempts.drop("fuente").schema).option("recursiveFileLookup", "true")
+        return reader.option("maxFilesPerTrigger", max(1, -(-n_files // DELIVERIES))).parquet(f"{path}/fuente={source}")
+
+    return stream(SOURCE_LIVE), stream(SOURCE_BACKUP)
 
 
 def wait_for(query: StreamingQuery) -> None:

@@ -269,3 +269,41 @@ def test_timers_need_a_running_query(spark, tmp_path):
 
     with pytest.raises(ValueError):
         start_contact_state_stream(None, None, CFG, str(tmp_path), str(tmp_path), available_now=True, idle_seconds=1.0)
+
+
+def test_micro_batches_do_not_grow_with_files_and_join_nothing(spark, tmp_path):
+    """Many small files of line items come in a few micro-batches, whose plans read attempts only."""
+    from conftest import SF001
+    from fonolytics.config import FIXTURE_CONFIG
+    from fonolytics.plans.catalog import all_queries
+    from fonolytics.sources.fixtures import outcome_catalogue
+    from fonolytics.streaming.contact_state import contacts_now, first_attempt_updates, attempt_log_stream
+    from fonolytics.streaming.contact_state import CODE_KEYS
+    from fonolytics.streaming.first_contact import DELIVERIES, fixture_logs
+
+    os.symlink(f"{SF001}/orders.parquet", tmp_path / "orders.parquet")
+    lines = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    lines.repartition(12, "l_orderkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    updates = first_attempt_updates(attempt_log_stream(*fixture_logs(spark, str(tmp_path)), FIXTURE_CONFIG))
+    plan = updates._jdf.queryExecution().logical().toString()
+    assert "Join" not in plan and "TransformWithState" not in plan, plan
+    out = str(tmp_path / "log")
+    query = start_changelog_sink(updates, out, str(tmp_path / "state"), keys=CODE_KEYS)
+    query.awaitTermination()
+    assert 2 <= sum(p["numInputRows"] > 0 for p in query.recentProgress) <= 2 * DELIVERIES
+    got, want = contacts_now(spark, out, outcome_catalogue(spark, SF001), FIXTURE_CONFIG), all_queries()["first_contact_per_period"](spark, SF001)
+    assert want.count() > 500 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_a_log_without_attempts(spark, tmp_path):
+    """All calls are of the backup's months, or no order matches: the live log, then both, are empty folders."""
+    from conftest import SF001
+    from fonolytics.config import FIXTURE_CONFIG
+    from fonolytics.streaming.contact_state import run_fixture_state_stream
+
+    lines, orders = (spark.read.parquet(f"{SF001}/{n}.parquet") for n in ("lineitem", "orders"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders.where("year(o_orderdate) = 1997").write.parquet(str(tmp_path / "orders.parquet"))
+    assert {r.fuente for r in run_fixture_state_stream(spark, str(tmp_path), FIXTURE_CONFIG).select("fuente").distinct().collect()} == {"bkp"}
+    orders.limit(0).write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
+    assert run_fixture_state_stream(spark, str(tmp_path), FIXTURE_CONFIG).count() == 0
