@@ -114,11 +114,11 @@ def _round(lines: DataFrame, similar: float, min_docs: int) -> DataFrame:
     )
 
 
-def _generalised(docs: DataFrame, counted: DataFrame, similar: float, min_docs: int) -> DataFrame:
+def _generalised(texts: DataFrame, counted: DataFrame, similar: float, min_docs: int) -> DataFrame:
     """(hash, template): the lines that belong to a template of their leaf, where that covers several lines."""
     leaves = counted.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("lines")).where((F.col("n") >= min_docs) & (F.col("lines") > 1))
     leaves = broadcast_if_small(written(leaves.select("leaf"), "leaves"))
-    lines = _lines(docs).join(leaves, "leaf", "left_semi").groupBy("leaf", "hash", "line").agg(F.count("*").alias("n"))
+    lines = texts.join(leaves, "leaf", "left_semi").groupBy("leaf", "hash", "line").agg(F.count("*").alias("n"))
     lines = written(lines.withColumnRenamed("leaf", "group"), "leaf-lines")
     found = []
     while not lines.isEmpty():
@@ -137,9 +137,11 @@ def recurring_lines(docs: DataFrame, similar: float = SIMILAR, min_docs: int = M
 
     `docs` has id, h (a hash of the text) and text.
     """
-    lines = written(_lines(docs).select("id", "h", "leaf", "hash"), "lines")
+    # masking is most of the work: it is done once, and only readers of the texts read their column
+    texts = written(_lines(docs), "lines")
+    lines = texts.select("id", "h", "leaf", "hash")
     counted = written(lines.groupBy("leaf", "hash").agg(F.count("*").alias("n"), F.min("id").alias("first")), "counted")
-    member = written(_generalised(docs, counted, similar, min_docs), "members")
+    member = written(_generalised(texts, counted, similar, min_docs), "members")
     few = broadcast_if_small(member)
     single = counted.where(F.col("n") >= min_docs).join(few, "hash", "left_anti").select("hash", "first")
     # a document with several lines of a template counts once
@@ -169,16 +171,12 @@ def drop_recurring_lines(
     dropped = dropped.groupBy("id", "h").agg(F.collect_set("hash").alias("hashes"))
     keys = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "dropped_lines"]).alias("row"), F.col(doc_id).alias("row_id"), F.xxhash64(body).alias("row_h"), body.alias("body"))
     rows = keys.join(dropped, keys["row_id"].eqNullSafe(dropped["id"]) & (keys["row_h"] == dropped["h"]), "left")
-    gone = lambda line, hashes: F.array_contains(hashes, F.xxhash64(F.trim(masked(line))))
+    gone = lambda line: F.array_contains("hashes", F.xxhash64(F.trim(masked(line))))
+    marked = F.transform(F.split("body", "\n"), lambda x: F.struct(x.alias("line"), gone(x).alias("gone")))
+    of = lambda lines, dropped: F.transform(F.filter(lines, lambda x: x["gone"] == dropped), lambda x: x["line"])
     parts = F.when(
         F.col("hashes").isNotNull(),
-        let(
-            F.struct(F.split("body", "\n").alias("lines"), F.col("hashes").alias("hashes")),
-            lambda s: F.struct(
-                F.array_join(F.filter(s["lines"], lambda x: ~gone(x, s["hashes"])), "\n").alias("text"),
-                F.filter(s["lines"], lambda x: gone(x, s["hashes"])).alias("dropped"),
-            ),
-        ),
+        let(marked, lambda lines: F.struct(F.array_join(of(lines, False), "\n").alias("text"), of(lines, True).alias("dropped"))),
     )
     rows = rows.select("row", "body", parts.alias("parts"))
     names = [c for c in docs.columns if c != "dropped_lines"]

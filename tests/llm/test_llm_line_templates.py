@@ -108,3 +108,17 @@ def test_a_smaller_template_beside_the_majority(spark):
     texts = [f"posted in the {w} section yesterday" for w in names(50)] + [f"posted in the morning by {w}" for w in names(9)] + ["posted in the dark of night"]
     got = drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got if not r.dropped_lines) == [0, 50, 59]
+
+
+def test_lines_are_masked_once(spark, monkeypatch):
+    """Masking is most of the work: once for the lines of all texts, once for those of texts that lose lines."""
+    from fonolytics.llm import linetemplates
+
+    calls, real = [], linetemplates.masked
+    monkeypatch.setattr(linetemplates, "masked", lambda text: calls.append(text) or real(text))
+    texts = [f"posted in the {w} section yesterday\nown {w} of text" for w in names(9)]
+    got = drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert len(calls) == 2
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows if not r.dropped_lines) == [0]
+    assert all(r.text == texts[r.doc_id].split("\n")[1] and r.dropped_lines == texts[r.doc_id].split("\n")[:1] for r in rows if r.doc_id)
