@@ -25,10 +25,15 @@ def awkward(spark, rows: list[tuple] | None = None):
     return spark.createDataFrame([(i, t, None if i is None else "en", "s", len(t or ""), 0, "k", "s", "w", 0, "l", 0, 0, 0, 0) for i, t in texts], SCHEMA)
 
 
-def write_tables(spark, folder: str, docs, benchmark=(), labels=()) -> str:
+# Vectors: the first three are whole, the others are null or hold null or non-finite entries.
+VECTORS = [(0, [1.0, 0.5]), (1, [-1.0, 2.0]), (2, [0.25, -3.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0, float("inf")])]
+
+
+def write_tables(spark, folder: str, docs, benchmark=(), labels=(), vectors=()) -> str:
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(vectors), "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-from corpus_cases import awkward, write_tables  # noqa: E402
+from corpus_cases import VECTORS, awkward, write_tables  # noqa: E402
 
 from fonolytics.llm.queries import QUERIES  # noqa: E402
 
@@ -16,7 +16,7 @@ LABELS = [(6, 1, 1), (5, 1, 0), (None, 1, 1), (7, 1, None), (99, 1, 1)]
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
-    full = write_tables(spark, str(tmp_path_factory.mktemp("full")), awkward(spark), BENCH, LABELS)
+    full = write_tables(spark, str(tmp_path_factory.mktemp("full")), awkward(spark), BENCH, LABELS, VECTORS)
     none = write_tables(spark, str(tmp_path_factory.mktemp("none")), awkward(spark, []))
     return full, none
 
@@ -26,6 +26,8 @@ def test_awkward_rows_keep_every_row(spark, tables, name):
     rows = QUERIES[name](spark, tables[0]).collect()
     if name.startswith("op9"):
         assert sorted((r.doc_id or 0) for r in rows if r.piece == 0) == [0, 1, 2, 3, 4, 5, 6, 6, 7, 8, 9]
+    elif name.startswith("op13"):
+        assert sorted((r.vec_id, r.component) for r in rows) == [(v, c) for v in range(3) for c in (1, 2)]
     else:
         assert sorted((r.doc_id or 0) for r in rows) == [0, 1, 2, 3, 4, 5, 6, 6, 7, 8, 9]
 
