@@ -307,3 +307,31 @@ def test_a_log_without_attempts(spark, tmp_path):
     assert {r.fuente for r in run_fixture_state_stream(spark, str(tmp_path), FIXTURE_CONFIG).select("fuente").distinct().collect()} == {"bkp"}
     orders.limit(0).write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
     assert run_fixture_state_stream(spark, str(tmp_path), FIXTURE_CONFIG).count() == 0
+
+
+def test_streams_with_and_without_timers_agree(spark, tmp_path):
+    """With timers a query has no end of its own: it is stopped once its log is as the other one's, or time is up."""
+    import time
+
+    from fonolytics.streaming.contact_state import contacts_now, start_contact_state_stream
+
+    rows = [
+        attempt("202603", 1, "CE", "51900000002", ts(5), 2), attempt("202603", 1, "CE", "51900000001", ts(5), None),
+        attempt("202603", None, "CE", None, ts(9), 9), attempt("202603", 1, "PDP", "51900000004", ts(4), 4),
+        attempt("202602", 2, None, "51900000006", None, 6), attempt("202603", 2, "CE", "51900000007", None, 7),
+    ]
+    for n in ("live", "bkp"):
+        spark.createDataFrame(rows, ATTEMPT_SCHEMA).write.parquet(str(tmp_path / n))
+    read = lambda n: spark.readStream.schema(ATTEMPT_SCHEMA).parquet(str(tmp_path / n))
+    codes = spark.createDataFrame(OUTCOMES, "conlusion_cloud string, tipo_resultado string")
+    now = lambda out: sorted(contacts_now(spark, str(tmp_path / out), codes, CFG).collect(), key=str)
+    start = lambda out, **how: start_contact_state_stream(read("live"), read("bkp"), CFG, str(tmp_path / out), str(tmp_path / f"state-{out}"), **how)
+    start("plain", available_now=True).awaitTermination()
+    want = now("plain")
+    query, end = start("timed", idle_seconds=3600.0), time.monotonic() + 60
+    try:
+        while (got := now("timed")) != want and query.isActive and time.monotonic() < end:
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert len(want) >= 3 and got == want
